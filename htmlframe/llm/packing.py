@@ -19,6 +19,7 @@ import bisect
 import json
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from itertools import islice
@@ -36,7 +37,12 @@ NODES = 4000
 #: Fillings looked at for one sequence.
 FILLINGS = 24
 #: Words in each half of the memo of a worker.
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
+
+
+#: The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class WordTokenizer:
@@ -72,13 +78,27 @@ class WordTokenizer:
             and (parts[1]["type"], parts[1]["add_prefix_space"], parts[1].get("use_regex")) == ("ByteLevel", False, False)
             and r"[^\s\p{L}\p{N}]+" in parts[0]["pattern"]["Regex"]
         )
+        self.ends = {c: np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:!?"}
         self.most, self.memo, self.older = most_words, {}, {}
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of letters: the library's model takes it whole, in its alphabet of bytes."""
+        got = self.memo.get(word) or self.older.get(word)
+        if got is None:
+            ids = [x.id for x in self.library.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        self.memo[word] = got
+        return got
+
     def _learn(self, words: set[str]) -> None:
         new = []
         for w in words:
-            if (got := self.older.get(w)) is not None:
+            if w.isalpha():
+                self._word(w)
+            elif (got := self.older.get(w)) is not None:
                 self.memo[w] = got
+            elif w[-1] in self.ends and w[:-1].isalpha():
+                self.memo[w] = self._word(w[:-1]) + self.ends[w[-1]]
             else:
                 new.append(w)
         if new:
