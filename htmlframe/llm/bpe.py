@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from htmlframe.llm.common import prepare, table
 
 #: Entries of the table of transitions before it is dropped and begun anew, and of each half of the memo of whole pieces.
-MOST_TRANSITIONS = 500_000
-MOST_PIECES = 250_000
+MOST_TRANSITIONS = 700_000
+MOST_PIECES = 350_000
 #: Above every rank.
 NEVER = 1 << 60
 #: Pieces or tokens handled at a time.
@@ -128,28 +128,46 @@ class Transducer:
         return ok
 
     def _step(self, state: int, b: int) -> tuple[int, tuple[int, ...]]:
+        """Make one transition. Configurations stay in the order in which their tokens began, so equal sets are equal
+        tuples; the one that ends here comes last, and as there is only one, no other completion is tried after it."""
+        child, inner, token_at, fits = self.child, self.inner, self.token_at, self.fits
         reached = []
-        for pending, last, node in self.states[state]:
-            nxt = self.child.get(node << 8 | b)
+        whole = None
+        for config in self.states[state]:
+            pending, last, node = config
+            nxt = child.get(node << 8 | b)
             if nxt is None:
                 continue
-            if self.inner[nxt]:
+            if inner[nxt]:
                 reached.append((pending, last, nxt))
-            token = self.token_at[nxt]
-            if token >= 0 and self._compatible(last, token):
-                reached.append(((*pending, token), token, 0))
-        common = 0
+            if whole is None:
+                token = token_at[nxt]
+                if token >= 0:
+                    ok = fits.get(last << 32 | token) if last >= 0 else True
+                    if ok or ok is None and self._compatible(last, token):
+                        whole = ((*pending, token), token, 0)
+        reached.append(whole)
         first = reached[0][0]
-        while common < len(first) and all(len(p) > common and p[common] == first[common] for p, _, _ in reached):
-            common += 1
-        emitted = first[:common]
-        target = tuple(sorted((p[common:], last, node) for p, last, node in reached))
+        if first:
+            common = len(first)
+            for config in reached:
+                other = config[0]
+                if other[:common] != first:
+                    common = next(i for i, x in enumerate(first) if i >= len(other) or other[i] != x)
+                    if not common:
+                        break
+                    first = first[:common]
+            if common:
+                reached = [(p[common:], last, node) for p, last, node in reached]
+            else:
+                first = ()
+        target = tuple(reached)
         to = self.number.get(target)
         if to is None:
             to = self.number[target] = len(self.states)
             self.states.append(target)
-            self.final.append(next(p for p, _, node in target if node == 0))
-        self.moves[state << 8 | b] = move = (to, emitted)
+            self.final.append(target[-1][0])
+        self.moves[state << 8 | b] = move = (to, first)
         return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
