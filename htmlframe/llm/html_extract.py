@@ -4,7 +4,7 @@ Markup is stripped to lines, one for each block element. A line weighs its chara
 headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, and if the page marks its article,
 lines outside it weigh nothing either. The weights are summed over sliding windows of WINDOW lines. A surge point is a
 line with weight whose window rises to the threshold after one that was empty; the next dive point is where the window
-falls back to nothing. The text from the surge to the dive with the most weight is the main text (in a marked article:
+falls back to nothing; lines with weight right before a surge belong to it. The text from the surge to the dive with the most weight is the main text (in a marked article:
 from its first to its last line).
 
 Null and empty pages and pages without main text give an empty string. Repeated rows give repeated rows; only the columns
@@ -181,6 +181,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         if start is None:
             if i < len(own) and own[i] and sums[i] >= surge:
                 start = i
+                while start and own[start - 1]:  # short lines right before it, such as a heading
+                    start -= 1
         elif i == len(own) or not sums[i]:
             total = sum(own[start:i])
             if total > most:

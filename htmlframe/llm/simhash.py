@@ -58,16 +58,17 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """One row (id long, fp long) for each row: the fingerprint as a signed 64-bit number."""
+    """One row (id long, fp long, th long) for each row: the fingerprint as a signed 64-bit number, and a hash of the text."""
     prepare(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("th", pa.int64())])
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64), pa.int64())], schema)
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64), pa.int64()), batch.column(2)], schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, "id long, fp long, th long")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -152,23 +153,26 @@ def link_components(fps: DataFrame, most_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most_bits: int = 4) -> DataFrame:
-    """One row (id, fp, component) for each row; component is the smallest id that links reach."""
+    """One row (id, fp, component, stays) for each row; component is the smallest id that links reach. Of each component
+    the rows with that id stay, or, if it has more than one text, those with one of them."""
     marked = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    distinct = marked.groupBy("fp").agg(F.min(first).alias("least"))
     linked = link_components(distinct.select("fp"), most_bits)
     named = linked.join(distinct, "fp")
     names = named.groupBy("component").agg(F.min("least").alias("name"))
-    by_fp = named.select("fp", "component").join(names, "component").select("fp", F.col("name").alias("component"))
-    return marked.join(by_fp, "fp").select("id", "fp", "component")
+    by_fp = named.select("fp", "component").join(names, "component").select("fp", "name")
+    stays = F.col("id").eqNullSafe(F.col("name.id")) & (F.col("th") == F.col("name.th"))
+    return marked.join(by_fp, "fp").select("id", "fp", F.col("name.id").alias("component"), stays.alias("stays"), "th")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most_bits: int = 4) -> DataFrame:
-    """The rows of docs without those of a component that have another id than its smallest. Of repeated ids one row stays."""
+    """The rows of docs with one row left of each component."""
     found = cut(near_duplicates(docs, id_col, text_col, words, most_bits))
-    again = found.groupBy("id").count().where("count > 1").limit(1).count()
-    lost = found.where("not (id <=> component)").select(F.col("id").alias("lost_")).distinct()
-    left = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("lost_")), "left_anti")
-    return left.dropDuplicates([id_col]) if again else left
+    again = found.where("stays").groupBy("id", "th").count().where("count > 1").limit(1).count()
+    lost = found.where("not stays").select(F.col("id").alias("lost_"), F.col("th").alias("lost_th_")).distinct()
+    left = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("lost_")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("lost_th_")), "left_anti")
+    return left.dropDuplicates([id_col, text_col]) if again else left
 
 
 def query(spark, sf_dir):
