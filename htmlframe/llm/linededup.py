@@ -1,18 +1,20 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words (split at white space); lines of less than MIN_WORDS different words are left alone. Two
-lines match if their Jaccard likeness is THRESHOLD or more, and a line that matches an earlier one (by id, then text,
-then place in the text) is removed, whether that one stays or not.
+A line is the set of its words (what stands between blanks); lines of less than MIN_WORDS different words are left
+alone. Two lines match if their Jaccard likeness is THRESHOLD or more, and a line that matches an earlier one (by id, then
+text, then place in the text) is removed, whether that one stays or not.
 
-1. Lines with equal sets collapse to the earliest; the others are removed.
+1. Every line is hashed once, and its words' numbers are written as a table. Lines with equal sets collapse to the
+   earliest; the others are removed.
 2. Words are ordered by rarity: how often the words of a hash bucket occur in the whole corpus, rarest first.
 3. A line's rarest words, |x| - ceil(t|x|) + 1 of them, are its prefix; lines that match share a word of it. So lines are
    joined on prefix words under the length filter, the positional filter (what can still be shared after the word's
    places) and a bitmap filter (words that differ in two sets flip at least as many bits of their parity bitmaps).
-4. Pairs that are left are verified on their whole sets.
+   Numbers that two words have in common make pairs here, but lose none.
+4. Pairs that are left are verified on the words themselves.
 
-Dense groups of like lines don't make all their pairs: before the join, each line is verified against the earliest line
-under each BAND of its prefix, and a line that this removes takes part in the join only as an earlier one.
+Dense groups of like lines don't make all their pairs: before the join, each line is verified against the HEADS earliest
+lines under each BAND of its prefix, and a line that this removes takes part in the join only as an earlier one.
 
 Null texts have no lines and stay null. Rows with the same id and text are one document for the order, and lose the same
 lines; of an empty table nothing is left to do. A null id comes first.
@@ -23,17 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from htmlframe.llm.common import cut, table
+from htmlframe.llm.common import cut, kept, table
 
 THRESHOLD, MIN_WORDS = 0.8, 5
 #: Buckets of the counts that give the order of words. They are gathered on the driver, whatever the corpus' size.
 BUCKETS = 1 << 14
-#: Words of a prefix in a band.
-BAND = 3
+#: Words of a prefix in a band, and the earliest lines of a band that others are compared with.
+BAND, HEADS = 1, 4
 #: Sides of at most this many rows are broadcast; larger ones are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Added to a word's place if its line looks for no others: it makes the positional filter fail.
+NOWHERE = 1 << 28
+#: Lines of more words have parity bitmaps of 128 bits, others of 64.
+WIDE = 64
 
-WORDS = "array_distinct(array_remove(split(line, '\\\\s+'), ''))"
+WORDS = "array_remove(split(line, ' '), '')"
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -47,82 +53,88 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
 
 
-def rarity(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """array<int>: for each hash bucket of words its place by how often its words occur, rarest first."""
-    words = lines(docs, id_col, text_col).select(F.explode(F.expr(f"transform({WORDS}, x -> cast(xxhash64(x) & {BUCKETS - 1}L as int))")).alias("bucket"))
-    counts = {r["bucket"]: r["count"] for r in words.groupBy("bucket").count().collect()}
-    place = [0] * BUCKETS
-    for at, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
-        place[bucket] = at
-    return F.expr(f"cast(split('{','.join(map(str, place))}', ',') as array<int>)")
-
-
-def sets(of_lines: DataFrame, places: Column, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, th, ln, s, n, sig): the sorted words as numbers, rarest first; their number; a 128-bit digest of the set."""
-    hashed = of_lines.select("doc", "th", "ln", F.expr(f"transform({WORDS}, x -> xxhash64(x))").alias("h")).where(F.size("h") >= min_words)
-    bits = BUCKETS.bit_length() - 1
-    number = F.transform("h", lambda x: F.shiftleft(F.get(places, x.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")).cast("long"), 63 - bits).bitwiseOR(F.shiftrightunsigned(x, bits + 1)))
-    ordered = hashed.select("doc", "th", "ln", F.sort_array(number).alias("s"))
-    return ordered.select("doc", "th", "ln", "s", F.size("s").alias("n"), F.xxhash64("s").alias("sig"), F.xxhash64(F.lit(1), "s").alias("sig2"))
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc, th, ln, n, s, sig, sig2): number of words, the words' numbers, and a 128-bit digest of the set."""
+    h = lines(docs, id_col, text_col).select("doc", "th", "ln", F.expr("sort_array(array_remove(array_distinct(transform(split(line, ' '), x -> xxhash64(x))), xxhash64('')))").alias("h")).where(F.size("h") >= min_words)
+    return h.select("doc", "th", "ln", F.size("h").alias("n"), F.expr("transform(h, x -> cast(shiftright(x, 32) as int))").alias("s"), F.xxhash64("h").alias("sig"), F.xxhash64(F.lit(1), "h").alias("sig2"))
 
 
-def _prefix_length(t: float) -> str:
-    return f"cast(n - ceil({t}D * n - 1e-9D) + 1 as int)"
+def rarity(every: DataFrame) -> Column:
+    """array<bigint>: for each hash bucket of words its place by how often its words occur, rarest first, times 2^32."""
+    buckets = every.select(F.explode("s").alias("x")).select(F.expr(f"x & {BUCKETS - 1}").alias("bucket"))
+    counts = {r["bucket"]: r["count"] for r in buckets.groupBy("bucket").count().collect()}
+    place = [0] * BUCKETS
+    for at, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
+        place[bucket] = at << 32
+    return F.expr(f"cast(split('{','.join(map(str, place))}', ',') as array<bigint>)")
 
 
 def _overlap_needed(a: str, b: str, t: float) -> str:
     return f"ceil({t / (1 + t)!r}D * ({a} + {b}) - 1e-9D)"
 
 
-def _filters(t: float) -> Column:
-    """Length, positional and bitmap filters for a line (n, p, b0, b1) and another (n2, p2, c0, c1)."""
-    need = _overlap_needed("n", "n2", t)
-    return F.expr(f"n2 >= {t}D * n - 1e-9D and n >= {t}D * n2 - 1e-9D and 1 + least(n - p, n2 - p2) >= {need} and bit_count(b0 ^ c0) + bit_count(b1 ^ c1) <= n + n2 - 2 * {need}")
-
-
-def matches(pairs: DataFrame, docs: DataFrame, places: Column, id_col: str, text_col: str, t: float, min_words: int) -> DataFrame:
-    """(sig) of lines that pairs (sig, doc, sig2, doc2) verify to match an earlier one."""
-    pairs = cut(pairs.select("sig", "doc", F.col("other").alias("other"), "other_doc").distinct())
-    ends = _small(cut(pairs.select("sig", "doc").union(pairs.select("other", "other_doc")).distinct().select(F.col("sig").alias("end"), F.col("doc").alias("end_doc"))))
-    found = sets(lines(docs, id_col, text_col), places, min_words)
-    whole = found.join(ends, (F.col("sig") == F.col("end")) & F.col("doc").eqNullSafe(F.col("end_doc"))).select("sig", "s", F.struct("doc", "th", "ln").alias("at"))
-    whole = cut(whole.groupBy("sig").agg(F.min("at").alias("at"), F.first("s").alias("s")))
-    a, b = whole.select("sig", F.col("s").alias("s1"), F.col("at").alias("at1")), whole.select(F.col("sig").alias("other"), F.col("s").alias("s2"), F.col("at").alias("at2"))
-    both = pairs.select("sig", "other").join(a, "sig").join(b, "other").withColumn("shared", F.size(F.array_intersect("s1", "s2")))
-    like = both.where(F.expr(f"shared >= {t}D * (size(s1) + size(s2) - shared) - 1e-9D"))
+def _filters(t: float, x: str, y: str, p: str, p2: str) -> str:
+    """Length, positional and bitmap filters for two lines x and y (n, b0, b1) and the places p and p2 of a word in them."""
+    n, n2 = f"{x}.n", f"{y}.n"
+    need = _overlap_needed(n, n2, t)
+    differ = f"{n} + {n2} - 2 * {need}"
+    length = f"{n2} >= {t}D * {n} - 1e-9D and {n} >= {t}D * {n2} - 1e-9D"
+    place = f"1 + least({n} - {p}, {n2} - {p2}) >= {need}"
+    narrow = f"bit_count({x}.b0 ^ {x}.b1 ^ {y}.b0 ^ {y}.b1) <= {differ}"
+    wide = f"({n} <= {WIDE} or {n2} <= {WIDE} or bit_count({x}.b0 ^ {y}.b0) + bit_count({x}.b1 ^ {y}.b1) <= {differ})"
+    return f"{length} and {place} and {narrow} and {wide}"
+
+
+def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
+    """(sig) of the later lines of those pairs (sig, other) that match. first: (sig, doc, th, ln) of each line."""
+    pairs = cut(pairs.select("sig", "other").distinct())
+    ends = _small(cut(pairs.select("sig").union(pairs.select("other")).distinct()))
+    places = cut(first.join(ends, "sig").select("sig", F.col("doc").alias("doc_"), F.col("th").alias("th_"), F.col("ln").alias("ln_")))
+    met = lines(docs, id_col, text_col).join(_small(places), (F.col("th") == F.col("th_")) & (F.col("ln") == F.col("ln_")) & F.col("doc").eqNullSafe(F.col("doc_")))
+    words = cut(met.select("sig", F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["sig"]))
+    a, b = words.select("sig", F.col("w").alias("w1"), F.col("at").alias("at1")), words.select(F.col("sig").alias("other"), F.col("w").alias("w2"), F.col("at").alias("at2"))
+    both = pairs.join(a, "sig").join(b, "other").withColumn("shared", F.size(F.array_intersect("w1", "w2")))
+    like = both.where(F.expr(f"shared >= {t}D * (size(w1) + size(w2) - shared) - 1e-9D"))
     return like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("sig")).alias("sig")).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, th, ln) of the lines to remove."""
     t = threshold
-    places = rarity(docs, id_col, text_col)
-    every = sets(lines(docs, id_col, text_col), places, min_words)
-    parity = lambda half: f"aggregate(s, 0L, (a, x) -> a ^ if((x & 64) = {half}, shiftleft(1L, cast(x & 63 as int)), 0L))"
-    payload = F.struct(F.col("n"), F.expr(parity(0)).alias("b0"), F.expr(parity(64)).alias("b1"), F.expr(f"slice(s, 1, {_prefix_length(t)})").alias("prefix"))
-    first = every.withColumn("payload", payload).groupBy("sig", "sig2").agg(F.min(F.struct("doc", "th", "ln")).alias("at"), F.first("payload").alias("payload"), F.count("*").alias("copies"))
-    kept = cut(first.select("sig", "at", "copies", F.col("at.doc").alias("doc"), "payload.*"))
-
-    # each line against the earliest one under each band of its prefix
-    bands = kept.select("sig", "doc", "n", "b0", "b1", F.explode(F.expr(f"transform(sequence(0, cast((size(prefix) - 1) div {BAND} as int)), i -> xxhash64(i, slice(prefix, i * {BAND} + 1, {BAND})))")).alias("band"))
+    every = kept(hashed_lines(docs, id_col, text_col, min_words), "lines")
+    half = lambda bit: f"aggregate(s, 0L, (a, x) -> a ^ if((x & 64) = {bit}, shiftleft(1L, x & 63), 0L))"
+    b0 = f"if(n > {WIDE}, {half(0)}, aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, x & 63)))"
+    b1 = f"if(n > {WIDE}, {half(64)}, 0L)"
+    place = rarity(every)
+    by_rarity = F.sort_array(F.transform("s", lambda x: F.get(place, x.bitwiseAND(F.lit(BUCKETS - 1))).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    prefix = F.slice(by_rarity, 1, F.expr(f"cast(n - ceil({t}D * n - 1e-9D) + 1 as int)"))
+    payload = F.struct("n", F.expr(b0).alias("b0"), F.expr(b1).alias("b1"), prefix.alias("prefix"))
+    grouped = every.select("sig", "sig2", F.struct("doc", "th", "ln").alias("at"), payload.alias("payload")).groupBy("sig", "sig2").agg(F.min("at").alias("at"), F.first("payload").alias("payload"), F.count("*").alias("copies"))
+    first = kept(grouped.select("sig", "copies", "at.*", "payload.*"), "sets")
+
+    # each line against the earliest ones under each band of its prefix
+    bands = first.select("sig", "doc", "n", "b0", "b1", F.explode(F.expr(f"transform(sequence(0, cast((size(prefix) - 1) div {BAND} as int)), i -> xxhash64(i, slice(prefix, i * {BAND} + 1, {BAND})))")).alias("band"))
     under = Window.partitionBy("band").orderBy("doc", "sig").rowsBetween(Window.unboundedPreceding, 0)
-    heads = bands.withColumn("head", F.first(F.struct("sig", "doc", "n", "b0", "b1")).over(under))
-    near = heads.select("sig", "doc", "n", "b0", "b1", F.lit(1).alias("p"), F.lit(1).alias("p2"), F.col("head.sig").alias("other"), F.col("head.doc").alias("other_doc"), F.col("head.n").alias("n2"), F.col("head.b0").alias("c0"), F.col("head.b1").alias("c1"))
-    gone = cut(matches(near.where("sig <> other").where(_filters(t)), docs, places, id_col, text_col, t, min_words))
-
-    # the prefix join; a line that is gone already looks for no earlier one
-    marked = kept.join(_small(gone.select(F.col("sig").alias("gone"))), F.col("sig") == F.col("gone"), "left")
-    rows = marked.select("sig", "doc", "n", "b0", "b1", F.col("gone").isNotNull().alias("done"), F.posexplode("prefix").alias("p", "word")).withColumn("p", F.col("p") + 1)
-    later = rows.where("not done").drop("done")
-    earlier = rows.select("word", F.col("sig").alias("other"), F.col("doc").alias("other_doc"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
-    pairs = later.join(earlier, "word").where("sig <> other and coalesce(other_doc <= doc, other_doc is null)").where(_filters(t))
-    more = matches(pairs, docs, places, id_col, text_col, t, min_words)
+    own = F.struct("sig", "n", "b0", "b1")
+    early = bands.select(own.alias("x"), F.array(*[F.nth_value(own, k).over(under) for k in range(1, HEADS + 1)]).alias("heads"))
+    heads = early.select("x", F.explode(F.filter("heads", lambda h: h.isNotNull() & (h["sig"] != F.col("x.sig")))).alias("y"))
+    near = heads.where(F.expr(_filters(t, "x", "y", "1", "1"))).select(F.col("x.sig").alias("sig"), F.col("y.sig").alias("other"))
+    gone = cut(matches(near, first, docs, id_col, text_col, t))
+
+    # the prefix join; a line that is gone already looks for no earlier one. Both sides are the same rows, shuffled once
+    marked = first.join(_small(gone.select(F.col("sig").alias("gone"))), F.col("sig") == F.col("gone"), "left")
+    rows = marked.select("sig", "doc", "n", "b0", "b1", F.col("gone").isNotNull().alias("done"), F.posexplode("prefix").alias("p", "word"))
+    rows = rows.select("word", "sig", "doc", "n", F.expr(f"p + 1 + if(done, {NOWHERE}, 0)").alias("p"), "b0", "b1")
+    earlier = "x.word = y.word and x.sig <> y.sig and coalesce(y.doc <= x.doc, y.doc is null)"
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"{earlier} and {_filters(t, 'x', 'y', 'x.p', f'(y.p & {NOWHERE - 1})')}")).select(F.col("x.sig").alias("sig"), F.col("y.sig").alias("other"))
+    more = matches(pairs, first, docs, id_col, text_col, t)
     out = cut(gone.union(more).distinct())
 
     # copies of the earliest line with a set, and earliest lines that match an earlier one
-    fates = kept.join(out.select(F.col("sig").alias("gone")), F.col("sig") == F.col("gone"), "left").where("copies > 1 or gone is not null").select("sig", F.col("at").alias("first_at"), F.col("gone").isNotNull().alias("gone"))
-    placed = every.select("sig", "doc", "th", "ln").join(_small(cut(fates)), "sig")
-    return placed.where(F.col("gone") | (F.struct("doc", "th", "ln") != F.col("first_at"))).select("doc", "th", "ln")
+    lost = first.join(_small(out.select(F.col("sig").alias("gone"))), F.col("sig") == F.col("gone"), "left").where("copies > 1 or gone is not null")
+    fates = cut(lost.select("sig", F.struct("doc", "th", "ln").alias("first_at"), F.col("gone").isNotNull().alias("gone")))
+    placed = every.select("sig", "doc", "th", "ln").join(_small(fates), "sig")
+    return placed.where(F.col("gone") | ~F.struct("doc", "th", "ln").eqNullSafe(F.col("first_at"))).select("doc", "th", "ln")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
