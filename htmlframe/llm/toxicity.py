@@ -144,7 +144,7 @@ class Evidence:
                 hits = self._chunk(chunk)
             if hits:
                 found.update(hits)
-        if found and self.cue.search(text):
+        if self.cue.search(text):
             at = len(self.terms) + len(LEXICONS)
             found.update(at + i for i, p in enumerate(self.patterns) if p.search(text))
         return sorted(found)

@@ -280,6 +280,17 @@ def test_toxicity_learns():
     assert p[0] > 0.9 and p[40] < 0.1 and accuracy.min() > 0.6 and corr.shape == (3, 3)
 
 
+def test_toxicity_patterns_alone():
+    e = toxicity.Evidence([])
+    command, naming = e.width - 2, e.width - 1
+    assert e.of("Now shut up, please") == e.of("go to hell") == e.of("get lost") == e.of("drop dead") == [command]
+    assert e.of("a bunch of idiots") == e.of("such morons, total losers") == [naming]
+    assert e.of("idiots sit there") == e.of("a calm text") == []
+    rows = [(f"the garden number {i} is green", 0) for i in range(200)] + [(f"shut up about house {i}", 1) for i in range(60)]
+    voted = toxicity.votes(toxicity.Evidence([]), [toxicity.Evidence([]).of(t) for t, _ in rows], [y for _, y in rows])
+    assert (voted[-1, -2], voted[0, -2]) == (0, -1) and 1 in voted[-1, :-2]
+
+
 def test_classifiers_odd_rows(spark):
     df = clash(spark)
     for module, model in ((quality, quality.train([])), (toxicity, toxicity.train([]))):
