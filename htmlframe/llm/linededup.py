@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words (what stands between blanks); lines of less than MIN_WORDS different words are left
+A line is the set of its words (what stands between white space); lines of less than MIN_WORDS different words are left
 alone. Two lines match if their Jaccard likeness is THRESHOLD or more, and a line that matches an earlier one (by id, then
 text, then place in the text) is removed, whether that one stays or not.
 
@@ -39,6 +39,8 @@ NOWHERE = 1 << 28
 #: Lines of more words have parity bitmaps of 128 bits, others of 64.
 WIDE = 64
 
+#: White space inside a line, besides the blank.
+SPACES = "\t\x0b\f\r"
 WORDS = "array_remove(split(line, ' '), '')"
 
 
@@ -48,9 +50,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, ln, line): th tells apart texts of the same id."""
+    """(doc, th, ln, line): th tells apart texts of the same id. In line, blanks stand for all white space."""
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return own.select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    spaced = F.when(F.expr(" or ".join(f"contains(text, chr({ord(c)}))" for c in SPACES)), F.translate("text", SPACES, " " * len(SPACES))).otherwise(F.col("text"))
+    return own.select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split(spaced, "\n", -1)).alias("ln", "line"))
 
 
 def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:

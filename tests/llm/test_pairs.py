@@ -175,6 +175,15 @@ def test_lines_odd_rows(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_white_space(spark):
+    words = ["one", "two", "three", "four", "five", "six"]
+    rows = [(1, " ".join(words)), (2, "\t".join(words) + "\r"), (3, "  ".join(words) + "\r\nleft alone in this line here\r"), (4, "a\tb\tc\td\te\na\tb\tc\td\te"), (5, "one\x0btwo\fthree four five six")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = plain_removed([(k, t.translate(dict.fromkeys(map(ord, "\t\r\x0b\f"), " "))) for k, t in rows])
+    assert gone == {(2, 0), (3, 0), (4, 1), (5, 0)}
+    assert got == {1: (rows[0][1], 0), 2: ("", 1), 3: ("left alone in this line here\r", 1), 4: ("a\tb\tc\td\te", 1), 5: ("", 1)}
+
+
 # -- nearest neighbours
 
 
