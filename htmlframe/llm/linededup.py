@@ -1,8 +1,9 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words (what stands between white space); lines of less than MIN_WORDS different words are left
-alone. Two lines match if their Jaccard likeness is THRESHOLD or more, and a line that matches an earlier one (by id, then
-text, then place in the text) is removed, whether that one stays or not.
+A line is the set of its words (what stands between white space); lines of less than min_words different words are left
+alone: MIN_WORDS by default and in the pipeline, but in op10 only blank lines. Two lines match if their Jaccard likeness
+is THRESHOLD or more, and a line that matches an earlier one (by id, then text, then place in the text) is removed,
+whether that one stays or not.
 
 1. Every line is hashed once, and its words' numbers are written as a table. Lines with equal sets collapse to the
    earliest; the others are removed.
@@ -115,8 +116,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = every.select("sig", "sig2", F.struct("doc", "th", "ln").alias("at"), payload.alias("payload")).groupBy("sig", "sig2").agg(F.min("at").alias("at"), F.first("payload").alias("payload"), F.count("*").alias("copies"))
     first = kept(grouped.select("sig", "copies", "at.*", "payload.*"), "sets")
 
-    # each line against the earliest ones under each band of its prefix
-    bands = first.select("sig", "doc", "n", "b0", "b1", F.explode(F.expr(f"transform(sequence(0, cast((size(prefix) - 1) div {BAND} as int)), i -> xxhash64(i, slice(prefix, i * {BAND} + 1, {BAND})))")).alias("band"))
+    # each line against the earliest ones under each band of its prefix. Lines so short that one word more makes them
+    # unlike match equal sets only, which have collapsed
+    able = first.where(F.expr(f"n >= {t}D * (n + 1) - 1e-9D"))
+    bands = able.select("sig", "doc", "n", "b0", "b1", F.explode(F.expr(f"transform(sequence(0, cast((size(prefix) - 1) div {BAND} as int)), i -> xxhash64(i, slice(prefix, i * {BAND} + 1, {BAND})))")).alias("band"))
     under = Window.partitionBy("band").orderBy("doc", "sig").rowsBetween(Window.unboundedPreceding, 0)
     own = F.struct("sig", "n", "b0", "b1")
     early = bands.select(own.alias("x"), F.array(*[F.nth_value(own, k).over(under) for k in range(1, HEADS + 1)]).alias("heads"))
@@ -125,7 +128,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = cut(matches(near, first, docs, id_col, text_col, t))
 
     # the prefix join; a line that is gone already looks for no earlier one. Both sides are the same rows, shuffled once
-    marked = first.join(_small(gone.select(F.col("sig").alias("gone"))), F.col("sig") == F.col("gone"), "left")
+    marked = able.join(_small(gone.select(F.col("sig").alias("gone"))), F.col("sig") == F.col("gone"), "left")
     rows = marked.select("sig", "doc", "n", "b0", "b1", F.col("gone").isNotNull().alias("done"), F.posexplode("prefix").alias("p", "word"))
     rows = rows.select("word", "sig", "doc", "n", F.expr(f"p + 1 + if(done, {NOWHERE}, 0)").alias("p"), "b0", "b1")
     earlier = "x.word = y.word and x.sig <> y.sig and coalesce(y.doc <= x.doc, y.doc is null)"
@@ -153,5 +156,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir):
-    """Every document without lines that match an earlier line of the table."""
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    """Every document without lines that match an earlier line of the table, however short."""
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "text", "n_lines", "n_removed")

@@ -184,6 +184,16 @@ def test_lines_white_space(spark):
     assert got == {1: (rows[0][1], 0), 2: ("", 1), 3: ("left alone in this line here\r", 1), 4: ("a\tb\tc\td\te", 1), 5: ("", 1)}
 
 
+def test_short_lines_of_the_query(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(i, "\n".join(" ".join(rnd.choices("abcdefg", k=rnd.randint(0, 7))) for _ in range(6))) for i in range(60)] + [(60, "The " * 99), (61, "The " * 98), (62, "字字字\n字字字\n\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = plain_removed(rows, least=1)
+    want = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in rows}
+    assert {r.doc_id: r.text for r in linededup.query(spark, str(tmp_path)).collect()} == want
+    assert want[61] == "" and want[62] == "字字字\n\n"
+
+
 # -- nearest neighbours
 
 
