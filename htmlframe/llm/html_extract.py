@@ -1,11 +1,12 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line weighs its characters outside links; lines in menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, and if the page marks its article,
-lines outside it weigh nothing either. The weights are summed over sliding windows of WINDOW lines. A surge point is a
-line with weight whose window rises to the threshold after one that was empty; the next dive point is where the window
-falls back to nothing; lines with weight right before a surge belong to it. The text from the surge to the dive with the most weight is the main text (in a marked article:
-from its first to its last line).
+Markup is stripped to lines, one for each block element. Lines in menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments are left out. A line weighs its characters outside links, and nothing if it is mostly links; if
+the page marks its article or articles, their lines weigh SURGE at least and lines outside them weigh nothing. On every
+page the weights are summed over sliding windows of WINDOW lines. A surge point is a line with weight whose window
+rises to the threshold after one that was empty; the next dive point is where the window falls back to nothing; lines
+with weight right before a surge belong to it. The lines from each surge to its dive, those wholly of links too, are the
+main text; on a page with marked articles lines between them are not. If there is no surge, all lines with weight are.
 
 Null and empty pages and pages without main text give an empty string. Repeated rows give repeated rows; only the columns
 named are read.
@@ -59,7 +60,7 @@ def _is_boiler(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, article) of each line: weight 0 for what isn't main text; article is 0 outside a marked one."""
+    """(text, weight, article) of each line that isn't boilerplate; article is 0 outside a marked one."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, int, bool]] = []  # name, boilerplate, article, article's own header
     parts: list[str] = []
@@ -71,10 +72,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         nonlocal in_links
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text:
-            drop = boiler or own_header and not any(s[0] in HEADINGS for s in stack)
-            weight = 0 if drop else max(0, len(text) - in_links) or (1 if article else 0)
-            out.append((text, weight, article))
+        if text and not boiler and (not own_header or any(s[0] in HEADINGS for s in stack)):
+            out.append((text, max(0, len(text) - in_links), article))
         in_links = 0
 
     def say(text: str) -> None:
@@ -165,18 +164,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page: its blocks in page order, one a line."""
     found = lines(page or "")
-    weights: dict[int, int] = {}
-    for _, weight, article in found:
-        if article:
-            weights[article] = weights.get(article, 0) + weight
-    if weights and max(weights.values()):
-        best = max(weights, key=lambda a: (weights[a], -a))
-        found = [(t, w if a == best else 0, a) for t, w, a in found]
-        kept = [i for i, (_, w, _) in enumerate(found) if w]
-        return "\n".join(found[i][0] for i in kept)
-    own = [0 if len(t) > 2 * w else w for t, w, _ in found]
+    marked = any(article for _, _, article in found)
+    own = [(max(w, surge) if article else 0) if marked else 0 if len(t) > 2 * w else w for t, w, article in found]
     sums = [sum(own[i : i + window]) for i in range(len(own))]
-    best_span, most, start = None, 0, None
+    spans, start = [], None
     for i in range(len(own) + 1):
         if start is None:
             if i < len(own) and own[i] and sums[i] >= surge:
@@ -184,13 +175,11 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
                 while start and own[start - 1]:  # short lines right before it, such as a heading
                     start -= 1
         elif i == len(own) or not sums[i]:
-            total = sum(own[start:i])
-            if total > most:
-                best_span, most = (start, i), total
+            spans.append((start, i))
             start = None
-    if best_span is None:
+    if not spans:
         return "\n".join(t for (t, _, _), w in zip(found, own, strict=True) if w)
-    return "\n".join(found[i][0] for i in range(*best_span) if found[i][1])
+    return "\n".join(t for span in spans for t, _, article in found[slice(*span)] if article or not marked)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

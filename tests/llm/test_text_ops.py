@@ -215,6 +215,19 @@ def test_main_text():
         assert html_extract.main_text(t) in ("", "<", "<p")
 
 
+LONG = "This sentence is long enough for a window to rise over the threshold of a surge."
+
+
+def test_main_text_marked_pages():
+    parts = [f"<article><h2>{n}</h2><p>{LONG} {n}</article>" + "<p>Outside line." * 4 for n in ("One", "Two")]
+    want = f"One\n{LONG} One\nTwo\n{LONG} Two"
+    assert html_extract.main_text("".join(parts)) == want
+    assert html_extract.main_text("".join(parts) + "<article><p>Short.</article>") == want + "\nShort."
+    # the windows run on marked pages, too: without one that can rise, no span is found
+    assert html_extract.main_text(f"<article><p>{LONG}</article>", window=0) == LONG
+    assert html_extract.main_text(f"<article><p>{LONG}<p><a href=x>Only a link</a><p>End.</article>") == f"{LONG}\nOnly a link\nEnd."
+
+
 def test_main_text_query(spark, sf):
     import duckdb
 
