@@ -39,6 +39,9 @@ MARKS = re.compile(
     r"|comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|responses|widget\w*|toolbar|pager|pagination|copyright|legal|disclaimer|skip|tags|byline|meta)(?=$|[\s_-])",
     re.I,
 )
+# Words of class and id attributes that say what a layout has or lacks, and the mark of a page's heading.
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]*", re.I)
+TOP = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead|banner)(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(r"""<!--(?s:.*?)(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?/][^>]*>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -51,6 +54,10 @@ def _is_boiler(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
+        if key in ("class", "id"):
+            value = LAYOUT.sub("", value)
+            if name in HEADINGS:
+                value = TOP.sub("", value)
         if key in ("class", "id") and name not in ("main",) and MARKS.search(value):
             if name != "article" or re.search("comment|repl|related|promo|sponsor|advert", value):
                 return True

@@ -228,6 +228,21 @@ def test_main_text_marked_pages():
     assert html_extract.main_text(f"<article><p>{LONG}<p><a href=x>Only a link</a><p>End.</article>") == f"{LONG}\nOnly a link\nEnd."
 
 
+def test_main_text_unmarked_pages():
+    box = "<div class=ad><p>Buy<p>this<p>now<p>please</div>"
+    assert html_extract.main_text(f"<div><h1>T</h1><p>{LONG} 1{box}<p>{LONG} 2 and {LONG}</div>") == f"T\n{LONG} 1\n{LONG} 2 and {LONG}"
+    links = "<p><a href=x>first link</a><p><a href=y>second link</a>"
+    assert html_extract.main_text(f"<p>{LONG} 1{links}<p>{LONG} 2") == f"{LONG} 1\nfirst link\nsecond link\n{LONG} 2"
+    assert html_extract.main_text(f"<p>{LONG} 1{links * 3}<p>{LONG} 2 and {LONG}") == f"{LONG} 1\n{LONG} 2 and {LONG}"
+
+
+@pytest.mark.parametrize("attribute", ["class='wrap has-sidebar'", "id='no-sidebar'", "class='page-with-sidebar-left x'"])
+def test_main_text_layout_classes(attribute):
+    assert html_extract.main_text(f"<div {attribute}><h1 class='page-header'>T</h1><p>{LONG}</div>") == f"T\n{LONG}"
+    assert html_extract.main_text(f"<div {attribute}><article><p>{LONG}</article><p>Outside.</div>") == LONG
+    assert html_extract.main_text(f"<div class='has-x sidebar'><p>{LONG}</div><h2 class='comments-header'>{LONG}</h2>") == ""
+
+
 def test_main_text_query(spark, sf):
     import duckdb
 
