@@ -20,7 +20,7 @@ from htmlframe.operators import dom
 from htmlframe.operators import parse as ps
 from htmlframe.plans.selector_plan import select_nodes
 from htmlframe.sources.pages import joined_output, read_table, stream_pages
-from htmlframe.streaming.events import run_to_memory, stream_events
+from htmlframe.streaming.events import run_to_table, stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,8 +274,8 @@ def links_udtf(spark, sf_dir):
 @query("stream_events", "SELECT 'StartTag' AS type, CAST(sum(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]'))) AS BIGINT) AS n FROM pages")
 def stream_events_query(spark, sf_dir):
     """The event stream under Structured Streaming."""
-    got = run_to_memory(stream_events(stream_pages(spark, sf_dir)))
-    return got.where("type = 'StartTag'").groupBy("type").agg(F.count("*").alias("n"))
+    got = run_to_table(stream_events(stream_pages(spark, sf_dir)).where("type = 'StartTag'").select("type"))
+    return got.groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("raw_tokens", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS BIGINT) AS n FROM pages")

@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and benches, and shipping the package to executors."""
+"""Session helpers: a local session for tests and benches, shipping the package to executors, and the shared folder."""
 
 from __future__ import annotations
 
@@ -45,3 +45,19 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("htmlframe", os.path.relpath(full, PACKAGE)))
     sc.addPyFile(path)
     _shipped[sc.applicationId] = path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, as the session's checkpoint folder.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if where is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="htmlframe-checkpoint-")
+        sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()

@@ -19,9 +19,11 @@ def read_files(spark: SparkSession, path: str, hint: str | None = None, glob: st
 
 
 def stream_pages(spark: SparkSession, folder: str, glob: str = "pages.parquet", files_per_trigger: int = 16) -> DataFrame:
-    """A stream of the pages in Parquet files below a folder."""
+    """A stream of the pages in a folder's Parquet files, or folders of Parquet files, whose names match glob."""
     schema = "page_id bigint, url string, html string"
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    # a plain name would have to be that of a folder
+    glob = glob if any(c in glob for c in "*?[{") else f"{glob[:-1]}[{glob[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{glob}")
 
 
 def write_nodes(nodes: DataFrame, table: str, buckets: int = 64) -> None:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from htmlframe.operators.parse import pages_events
+from htmlframe.session import shared_folder
 
 
 def stream_events(pages: DataFrame, **options) -> DataFrame:
@@ -20,3 +21,11 @@ def run_to_memory(stream: DataFrame) -> DataFrame:
     name = f"events_{uuid.uuid4().hex}"
     stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there now, into Parquet files in the shared folder, and give these as a table."""
+    folder = f"{shared_folder(stream.sparkSession)}/events-{uuid.uuid4().hex}"
+    sink = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -98,6 +98,15 @@ def test_files_streams_and_tables(spark, sf, tmp_path, nodes):
     spark.sql("drop table t.nodes")
 
 
+def test_stream_of_part_files(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    tables = spark.catalog.listTables()
+    want = [tuple(r) for r in q.QUERIES["stream_events"](spark, sf).collect()]
+    assert want[0][1] > 0 and [tuple(r) for r in q.QUERIES["stream_events"](spark, str(tmp_path)).collect()] == want
+    assert spark.catalog.listTables() == tables  # no memory sink
+
+
 def test_parse_reads_two_columns_and_does_not_shuffle(spark, sf):
     plan = ps.parse_nodes(spark.read.parquet(f"{sf}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "url" not in plan and "MapInArrow" in plan and "hashpartitioning" not in plan
