@@ -1,152 +1,165 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
-
-A line is the set of its words (what stands between white space); lines of less than min_words different words are left
-alone: MIN_WORDS by default and in the pipeline, but in op10 only blank lines. Two lines match if their Jaccard likeness
-is THRESHOLD or more, and a line that matches an earlier one (by id, then text, then place in the text) is removed,
-whether that one stays or not.
-
-1. Every line is hashed once, and its words' numbers are written as a table. Lines with equal sets collapse to the
-   earliest; the others are removed.
-2. Words are ordered by rarity: how often the words of a hash bucket occur in the whole corpus, rarest first.
-3. A line's rarest words, |x| - ceil(t|x|) + 1 of them, are its prefix; lines that match share a word of it. So lines are
-   joined on prefix words under the length filter, the positional filter (what can still be shared after the word's
-   places) and a bitmap filter (words that differ in two sets flip at least as many bits of their parity bitmaps).
-   Numbers that two words have in common make pairs here, but lose none.
+r"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+
+A line is the set of its words (what stands between white space). Two lines match if their Jaccard likeness is THRESHOLD
+or more, and a line that matches an earlier one (by id, then text, then place in the text) is removed, whether that one
+stays or not. Lines of fewer than min_words different words (1 by default: blank lines) are left alone.
+
+1. The words of all lines are counted in BUCKETS hash buckets; the rarer its bucket, the earlier a word stands in a line.
+2. Each line becomes numbers of its words, rarest first. Of these a table keeps the prefix, |x| - ceil(t|x|) + 1 words,
+   a parity bitmap, and a 128-bit digest of the set. Equal sets collapse to the earliest line; the others are removed.
+3. Lines that match share a word of their prefixes. Lines are joined on these under the length filter, the positional
+   filter (what can still be shared after the word's places) and the bitmap filter (words that differ in two sets flip at
+   least as many bits). Numbers that two words have in common make pairs here, but lose none.
 4. Pairs that are left are verified on the words themselves.
 
-Dense groups of like lines don't make all their pairs: before the join, each line is verified against the HEADS earliest
-lines under each BAND of its prefix, and a line that this removes takes part in the join only as an earlier one.
+Dense groups of like lines don't make all their pairs: before the join, the lines under a word that more than DENSE lines
+have in their prefixes are verified against a few early ones of these lines, in rounds, and a line that this removes takes
+part in the join only as an earlier one.
 
-Null texts have no lines and stay null. Rows with the same id and text are one document for the order, and lose the same
-lines; of an empty table nothing is left to do. A null id comes first.
+Null texts have no lines and stay null; empty texts stay empty. Rows with the same id and text are one document for the
+order, and lose the same lines. A null id comes first. Lines of any length are compared as wholes. Of an empty table
+nothing is left to do. Only the id and text columns are read; dedup_lines() keeps the others, which mustn't be called
+doc_, th_ or gone_.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from htmlframe.llm.common import cut, kept, table
 
-THRESHOLD, MIN_WORDS = 0.8, 5
-#: Buckets of the counts that give the order of words. They are gathered on the driver, whatever the corpus' size.
-BUCKETS = 1 << 14
-#: Words of a prefix in a band, and the earliest lines of a band that others are compared with.
-BAND, HEADS = 1, 4
-#: Sides of at most this many rows are broadcast; larger ones are joined by a shuffle.
+THRESHOLD, MIN_WORDS = 0.8, 1
+#: Buckets of the counts that give the order of words: a table of as many small numbers, whatever the corpus' size.
+BUCKETS = 1 << 19
+#: A prefix word of more lines is dense. Its lines are first compared with HEADS of its lines in each of ROUNDS rounds.
+DENSE, HEADS, ROUNDS = 64, 4, 3
+#: Sides of at most this many rows of a few numbers are broadcast; larger ones are joined by a shuffle.
 MOST_BROADCAST = 200_000
-#: Added to a word's place if its line looks for no others: it makes the positional filter fail.
-NOWHERE = 1 << 28
-#: Lines of more words have parity bitmaps of 128 bits, others of 64.
-WIDE = 64
+#: Added to what stands after a word if its line looks for no others.
+DONE = 1 << 28
 
 #: White space inside a line, besides the blank.
 SPACES = "\t\x0b\f\r"
 WORDS = "array_remove(split(line, ' '), '')"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A checkpointed table, marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A checkpointed table, marked for broadcast if its counted rows (or the numbers it holds, if given) are few."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= MOST_BROADCAST else df
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, ln, line): th tells apart texts of the same id. In line, blanks stand for all white space."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    spaced = F.when(F.expr(" or ".join(f"contains(text, chr({ord(c)}))" for c in SPACES)), F.translate("text", SPACES, " " * len(SPACES))).otherwise(F.col("text"))
-    return own.select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split(spaced, "\n", -1)).alias("ln", "line"))
+def _spaced() -> Column:
+    """The text with blanks for all white space but line ends."""
+    other = F.expr(" or ".join(f"contains(text, chr({ord(c)}))" for c in SPACES))
+    return F.when(other, F.translate("text", SPACES, " " * len(SPACES))).otherwise(F.col("text"))
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
-def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, th, ln, n, s, sig, sig2): number of words, the words' numbers, and a 128-bit digest of the set."""
-    h = lines(docs, id_col, text_col).select("doc", "th", "ln", F.expr("sort_array(array_remove(array_distinct(transform(split(line, ' '), x -> xxhash64(x))), xxhash64('')))").alias("h")).where(F.size("h") >= min_words)
-    return h.select("doc", "th", "ln", F.size("h").alias("n"), F.expr("transform(h, x -> cast(shiftright(x, 32) as int))").alias("s"), F.xxhash64("h").alias("sig"), F.xxhash64(F.lit(1), "h").alias("sig2"))
+
+def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, ln, line) of lines that aren't blank: th tells apart texts of the same id. In line, blanks stand for all
+    white space."""
+    split = _texts(docs, id_col, text_col).select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split(_spaced(), "\n", -1)).alias("ln", "line"))
+    return split.where("trim(line) <> ''")
 
 
-def rarity(every: DataFrame) -> Column:
-    """array<bigint>: for each hash bucket of words its place by how often its words occur, rarest first, times 2^32."""
-    buckets = every.select(F.explode("s").alias("x")).select(F.expr(f"x & {BUCKETS - 1}").alias("bucket"))
-    counts = {r["bucket"]: r["count"] for r in buckets.groupBy("bucket").count().collect()}
-    place = [0] * BUCKETS
-    for at, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
-        place[bucket] = at << 32
-    return F.expr(f"cast(split('{','.join(map(str, place))}', ',') as array<bigint>)")
+def rarity(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """array<bigint> of BUCKETS numbers whose top 16 bits are the logarithm of how often the words of a hash bucket occur
+    in all texts."""
+    words = _texts(docs, id_col, text_col).select(F.explode(F.split(F.replace(_spaced(), F.lit("\n"), F.lit(" ")), " ")).alias("x"))
+    counts = words.select(F.expr(f"cast(xxhash64(x) & {BUCKETS - 1} as int)").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    every = counts.union(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
+    classes = every.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.expr("shiftleft(cast(500D * log2(1D + n) as bigint), 48)").alias("class"))
+    return cut(classes.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"]).alias("classes"))).scalar()
 
 
-def _overlap_needed(a: str, b: str, t: float) -> str:
-    return f"ceil({t / (1 + t)!r}D * ({a} + {b}) - 1e-9D)"
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
+    """(doc, th, ln, n, sig, sig2, bits, prefix) of each line that isn't blank."""
+    number = lambda x: F.get(F.col("classes"), F.xxhash64(x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 16))
+    coded = lines(docs, id_col, text_col).withColumn("classes", rarity(docs, id_col, text_col)).select("doc", "th", "ln", F.sort_array(F.array_distinct(F.transform(F.expr(WORDS), number))).alias("s"))
+    return coded.select("doc", "th", "ln", F.size("s").alias("n"), F.xxhash64("s").alias("sig"), F.xxhash64(F.lit(1), "s").alias("sig2"), F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"), F.slice("s", 1, F.expr(f"cast(size(s) - ceil({t}D * size(s) - 1e-9D) + 1 as int)")).alias("prefix"))
 
 
-def _filters(t: float, x: str, y: str, p: str, p2: str) -> str:
-    """Length, positional and bitmap filters for two lines x and y (n, b0, b1) and the places p and p2 of a word in them."""
-    n, n2 = f"{x}.n", f"{y}.n"
-    need = _overlap_needed(n, n2, t)
-    differ = f"{n} + {n2} - 2 * {need}"
-    length = f"{n2} >= {t}D * {n} - 1e-9D and {n} >= {t}D * {n2} - 1e-9D"
-    place = f"1 + least({n} - {p}, {n2} - {p2}) >= {need}"
-    narrow = f"bit_count({x}.b0 ^ {x}.b1 ^ {y}.b0 ^ {y}.b1) <= {differ}"
-    wide = f"({n} <= {WIDE} or {n2} <= {WIDE} or bit_count({x}.b0 ^ {y}.b0) + bit_count({x}.b1 ^ {y}.b1) <= {differ})"
-    return f"{length} and {place} and {narrow} and {wide}"
+def _filters(t: float, left: str, right: str) -> str:
+    """Length, positional and bitmap filters for two lines x and y of different sets (n, bits), of which the words after
+    the shared one are given: the words in one set only are at most d, so no lower bound of them may exceed it."""
+    d = f"({(1 - t) / (1 + t)!r}D * (x.n + y.n) + 1e-9D)"
+    return (
+        f"greatest(abs(x.n - y.n), 2 - abs(x.n - y.n)) <= {d} and x.n + y.n - 2 - 2 * least({left}, {right}) <= {d}"
+        f" and bit_count(x.bits ^ y.bits) <= {d}"
+    )
 
 
 def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """(sig) of the later lines of those pairs (sig, other) that match. first: (sig, doc, th, ln) of each line."""
-    pairs = cut(pairs.select("sig", "other").distinct())
-    ends = _small(cut(pairs.select("sig").union(pairs.select("other")).distinct()))
-    places = cut(first.join(ends, "sig").select("sig", F.col("doc").alias("doc_"), F.col("th").alias("th_"), F.col("ln").alias("ln_")))
-    met = lines(docs, id_col, text_col).join(_small(places), (F.col("th") == F.col("th_")) & (F.col("ln") == F.col("ln_")) & F.col("doc").eqNullSafe(F.col("doc_")))
-    words = cut(met.select("sig", F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["sig"]))
-    a, b = words.select("sig", F.col("w").alias("w1"), F.col("at").alias("at1")), words.select(F.col("sig").alias("other"), F.col("w").alias("w2"), F.col("at").alias("at2"))
-    both = pairs.join(a, "sig").join(b, "other").withColumn("shared", F.size(F.array_intersect("w1", "w2")))
+    """(line) of the later lines of those pairs (line, other) that match. first: (line, doc, th, ln) of each line.
+
+    Only the texts that hold lines of pairs are split again."""
+    pairs = cut(pairs.select("line", "other").distinct())
+    if pairs.isEmpty():
+        return pairs.select("line")
+    ends = _small(cut(pairs.select("line").union(pairs.select("other")).distinct()))
+    held = cut(first.join(ends, "line").groupBy(F.col("doc").alias("doc_"), F.col("th").alias("th_")).agg(F.collect_list(F.struct("ln", F.col("line").alias("number"))).alias("at")))
+    near = _small(held, held.agg(F.sum(F.size("at"))).first()[0] or 0)
+    texts = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    met = texts.join(near, (F.col("th") == F.col("th_")) & F.col("doc").eqNullSafe(F.col("doc_"))).select("doc", "th", F.split(_spaced(), "\n", -1).alias("parts"), F.explode("at").alias("p"))
+    found = met.select("doc", "th", F.col("p.ln").alias("ln"), F.col("p.number").alias("number"), F.get("parts", F.col("p.ln")).alias("line"))
+    words = cut(found.select(F.col("number").alias("line"), F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["line"]))
+    a, b = words.select("line", F.col("w").alias("w1"), F.col("at").alias("at1")), words.select(F.col("line").alias("other"), F.col("w").alias("w2"), F.col("at").alias("at2"))
+    both = pairs.join(a, "line").join(b, "other").withColumn("shared", F.size(F.array_intersect("w1", "w2")))
     like = both.where(F.expr(f"shared >= {t}D * (size(w1) + size(w2) - shared) - 1e-9D"))
-    return like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("sig")).alias("sig")).distinct()
+    return like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("line")).alias("line")).distinct()
+
+
+def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
+    """(line) of lines under a dense prefix word that match an earlier one of the lines they are compared with."""
+    dense = cut(able.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > DENSE).select("word"))
+    gone = cut(first.select("line").limit(0))
+    if dense.isEmpty():
+        return gone
+    rows = able.select("line", "doc", "n", "bits", F.posexplode("prefix").alias("p", "word")).join(_small(dense), "word")
+    rows = cut(rows.select("word", F.struct("doc", "line", "n", "bits", F.expr("n - p - 1").alias("after")).alias("x"), F.pmod("line", F.lit(HEADS * ROUNDS)).alias("part")))
+    for number in range(ROUNDS):
+        heads = rows.where(F.col("part").between(number * HEADS, (number + 1) * HEADS - 1)).groupBy("word", "part").agg(F.min("x").alias("y")).select("word", "y")
+        left = rows.join(_small(gone.select(F.col("line").alias("gone"))), F.col("x.line") == F.col("gone"), "left_anti")
+        near = left.join(heads, "word").where("x.line <> y.line").where(_filters(t, "x.after", "y.after"))
+        gone = cut(gone.union(matches(near.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")), first, docs, id_col, text_col, t)).distinct())
+    return gone
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, th, ln) of the lines to remove."""
     t = threshold
-    every = kept(hashed_lines(docs, id_col, text_col, min_words), "lines")
-    half = lambda bit: f"aggregate(s, 0L, (a, x) -> a ^ if((x & 64) = {bit}, shiftleft(1L, x & 63), 0L))"
-    b0 = f"if(n > {WIDE}, {half(0)}, aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, x & 63)))"
-    b1 = f"if(n > {WIDE}, {half(64)}, 0L)"
-    place = rarity(every)
-    by_rarity = F.sort_array(F.transform("s", lambda x: F.get(place, x.bitwiseAND(F.lit(BUCKETS - 1))).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-    prefix = F.slice(by_rarity, 1, F.expr(f"cast(n - ceil({t}D * n - 1e-9D) + 1 as int)"))
-    payload = F.struct("n", F.expr(b0).alias("b0"), F.expr(b1).alias("b1"), prefix.alias("prefix"))
-    grouped = every.select("sig", "sig2", F.struct("doc", "th", "ln").alias("at"), payload.alias("payload")).groupBy("sig", "sig2").agg(F.min("at").alias("at"), F.first("payload").alias("payload"), F.count("*").alias("copies"))
-    first = kept(grouped.select("sig", "copies", "at.*", "payload.*"), "sets")
-
-    # each line against the earliest ones under each band of its prefix. Lines so short that one word more makes them
-    # unlike match equal sets only, which have collapsed
-    able = first.where(F.expr(f"n >= {t}D * (n + 1) - 1e-9D"))
-    bands = able.select("sig", "doc", "n", "b0", "b1", F.explode(F.expr(f"transform(sequence(0, cast((size(prefix) - 1) div {BAND} as int)), i -> xxhash64(i, slice(prefix, i * {BAND} + 1, {BAND})))")).alias("band"))
-    under = Window.partitionBy("band").orderBy("doc", "sig").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.struct("sig", "n", "b0", "b1")
-    early = bands.select(own.alias("x"), F.array(*[F.nth_value(own, k).over(under) for k in range(1, HEADS + 1)]).alias("heads"))
-    heads = early.select("x", F.explode(F.filter("heads", lambda h: h.isNotNull() & (h["sig"] != F.col("x.sig")))).alias("y"))
-    near = heads.where(F.expr(_filters(t, "x", "y", "1", "1"))).select(F.col("x.sig").alias("sig"), F.col("y.sig").alias("other"))
-    gone = cut(matches(near, first, docs, id_col, text_col, t))
+    every = kept(hashed_lines(docs, id_col, text_col, t), "lines").where(F.col("n") >= min_words)
+    grouped = every.select("sig", "sig2", F.struct("doc", "th", "ln").alias("at"), F.struct("n", "bits", "prefix").alias("payload")).groupBy("sig", "sig2").agg(F.min("at").alias("at"), F.first("payload").alias("payload"), F.count("*").alias("copies"))
+    first = kept(grouped.select(F.monotonically_increasing_id().alias("line"), "sig", "sig2", "copies", "at.*", "payload.*"), "sets")
+
+    # lines so short that one word more makes them unlike match equal sets only, which have collapsed
+    able = first.where(F.expr(f"n >= {t}D * (n + 1) - 1e-9D")).withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63))))
+    gone = _gone_in_groups(able, first, docs, id_col, text_col, t)
 
     # the prefix join; a line that is gone already looks for no earlier one. Both sides are the same rows, shuffled once
-    marked = able.join(_small(gone.select(F.col("sig").alias("gone"))), F.col("sig") == F.col("gone"), "left")
-    rows = marked.select("sig", "doc", "n", "b0", "b1", F.col("gone").isNotNull().alias("done"), F.posexplode("prefix").alias("p", "word"))
-    rows = rows.select("word", "sig", "doc", "n", F.expr(f"p + 1 + if(done, {NOWHERE}, 0)").alias("p"), "b0", "b1")
-    earlier = "x.word = y.word and x.sig <> y.sig and coalesce(y.doc <= x.doc, y.doc is null)"
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"{earlier} and {_filters(t, 'x', 'y', 'x.p', f'(y.p & {NOWHERE - 1})')}")).select(F.col("x.sig").alias("sig"), F.col("y.sig").alias("other"))
-    more = matches(pairs, first, docs, id_col, text_col, t)
-    out = cut(gone.union(more).distinct())
+    marked = able.join(_small(gone.select(F.col("line").alias("gone"))), F.col("line") == F.col("gone"), "left")
+    rows = marked.select("line", "doc", "n", "bits", F.when(F.col("gone").isNull(), 0).otherwise(DONE).alias("done"), F.posexplode("prefix").alias("p", "word"))
+    rows = rows.select("word", "line", "doc", "n", F.expr("n - p - 1 + done").alias("after"), "bits")
+    earlier = f"x.word = y.word and x.after < {DONE} and y.doc <= x.doc and x.line <> y.line"
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"{earlier} and {_filters(t, 'x.after', f'(y.after & {DONE - 1})')}")).select(F.col("x.line").alias("line"), F.col("y.line").alias("other"))
+    out = cut(gone.union(matches(pairs, first, docs, id_col, text_col, t)).distinct())
 
     # copies of the earliest line with a set, and earliest lines that match an earlier one
-    lost = first.join(_small(out.select(F.col("sig").alias("gone"))), F.col("sig") == F.col("gone"), "left").where("copies > 1 or gone is not null")
-    fates = cut(lost.select("sig", F.struct("doc", "th", "ln").alias("first_at"), F.col("gone").isNotNull().alias("gone")))
-    placed = every.select("sig", "doc", "th", "ln").join(_small(fates), "sig")
+    lost = first.join(_small(out.select(F.col("line").alias("gone"))), F.col("line") == F.col("gone"), "left").where("copies > 1 or gone is not null")
+    fates = cut(lost.select("sig", "sig2", F.struct("doc", "th", "ln").alias("first_at"), F.col("gone").isNotNull().alias("gone")))
+    placed = every.select("sig", "sig2", "doc", "th", "ln").join(_small(fates), ["sig", "sig2"])
     return placed.where(F.col("gone") | ~F.struct("doc", "th", "ln").eqNullSafe(F.col("first_at"))).select("doc", "th", "ln")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with their text without the removed lines, and two more columns: n_lines, n_removed (long)."""
     gone = removed_lines(docs, id_col, text_col, threshold, min_words).groupBy("doc", "th").agg(F.collect_set("ln").alias("gone_"))
-    gone = _small(cut(gone.select(F.col("doc").alias("doc_"), F.col("th").alias("th_"), "gone_")))
+    gone = cut(gone.select(F.col("doc").alias("doc_"), F.col("th").alias("th_"), "gone_"))
+    gone = _small(gone, gone.agg(F.sum(F.size("gone_") + 2)).first()[0] or 0)
     text = F.col(text_col).cast("string")
     met = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("doc_")) & (F.xxhash64(text) == F.col("th_")), "left")
     parts = F.split(text, "\n", -1)
@@ -157,4 +170,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark, sf_dir):
     """Every document without lines that match an earlier line of the table, however short."""
-    return dedup_lines(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")

@@ -124,7 +124,7 @@ def test_simhash_odd_rows(spark):
 # -- line dedup
 
 
-def plain_removed(docs, t=0.8, least=5):
+def plain_removed(docs, t=0.8, least=1):
     seen, gone = [], set()
     for key, text in sorted(docs):
         for i, line in enumerate(text.split("\n")):
@@ -137,16 +137,17 @@ def plain_removed(docs, t=0.8, least=5):
     return gone
 
 
-def check_lines(df):
+def check_lines(df, least=1):
     docs = [(r.doc_id, r.text) for r in df.collect()]
-    gone = plain_removed([d for d in docs if d[1] is not None])
+    gone = plain_removed([d for d in docs if d[1] is not None], least=least)
     want = sorted((k, "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone)) for k, t in docs if t is not None)
-    assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect() if r.text is not None) == want
+    assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(df, min_words=least).collect() if r.text is not None) == want
     return len(gone)
 
 
-def test_lines_of_documents(spark, sf):
-    assert check_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")) > 20
+@pytest.mark.parametrize("least", [1, 5])
+def test_lines_of_documents(spark, sf, least):
+    assert check_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), least) > 20
 
 
 @pytest.mark.parametrize("broadcast", [0, 200_000])
@@ -163,6 +164,16 @@ def test_dense_groups_of_lines(spark, broadcast, monkeypatch):
     assert check_lines(spark.createDataFrame(rows, "doc_id long, text string")) > 60
 
 
+def test_dense_words_with_unlike_lines(spark, monkeypatch):
+    """Lines that share a rare word with many, but match few of them, are found all the same; so is one of 20,000 words."""
+    monkeypatch.setattr(linededup, "DENSE", 4)
+    rnd = random.Random(9)
+    rows = [(i, " ".join([*rnd.sample([f"{i % 13}{c}" for c in "abcdefghijkl"], k=10), "rare", f"rare{i % 13}"])) for i in range(150)]
+    long = [f"w{i}" for i in range(20_000)]
+    rows += [(150, " ".join(long)), (151, " ".join(long[:17_000])), (152, " ".join(long[:13_500]))]
+    assert check_lines(spark.createDataFrame(rows, "doc_id long, text string")) > 20
+
+
 def test_lines_odd_rows(spark):
     line = "one two three four five six"
     rows = [(1, line + "\nshort line", "x"), (2, "short line\n" + line, "y"), (2, "other words stand in this line\n" + line, "z"), (3, None, "n"), (4, "", "e"), (2, "short line\n" + line, "y"), (5, line + "  seven\n\n", "t")]
