@@ -42,7 +42,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    found = spark.read.parquet(path)
+    found._kept_at = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that kept() has written, once what was made of them has been written or cut."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def _stars(edges: DataFrame) -> DataFrame:

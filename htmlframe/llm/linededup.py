@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from htmlframe.llm.common import cut, kept, table
+from htmlframe.llm.common import cut, kept, release, table
 
 THRESHOLD, MIN_WORDS = 0.8, 1
 #: Buckets of the counts that give the order of words: a table of as many small numbers, whatever the corpus' size.
@@ -36,6 +36,8 @@ BUCKETS = 1 << 19
 DENSE, HEADS, ROUNDS = 64, 4, 3
 #: Sides of at most this many rows of a few numbers are broadcast; larger ones are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Parts of the words that are joined one after another, so that less is on disk at a time.
+SLICES = 2
 #: Added to what stands after a word if its line looks for no others.
 DONE = 1 << 28
 
@@ -101,16 +103,18 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     if pairs.isEmpty():
         return pairs.select("line")
     ends = _small(cut(pairs.select("line").union(pairs.select("other")).distinct()))
-    held = cut(first.join(ends, "line").groupBy(F.col("doc").alias("doc_"), F.col("th").alias("th_")).agg(F.collect_list(F.struct("ln", F.col("line").alias("number"))).alias("at")))
+    held = kept(first.join(ends, "line").groupBy(F.col("doc").alias("doc_"), F.col("th").alias("th_")).agg(F.collect_list(F.struct("ln", F.col("line").alias("number"))).alias("at")), "held")
     near = _small(held, held.agg(F.sum(F.size("at"))).first()[0] or 0)
     texts = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     met = texts.join(near, (F.col("th") == F.col("th_")) & F.col("doc").eqNullSafe(F.col("doc_"))).select("doc", "th", F.split(_spaced(), "\n", -1).alias("parts"), F.explode("at").alias("p"))
     found = met.select("doc", "th", F.col("p.ln").alias("ln"), F.col("p.number").alias("number"), F.get("parts", F.col("p.ln")).alias("line"))
-    words = cut(found.select(F.col("number").alias("line"), F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["line"]))
+    words = kept(found.select(F.col("number").alias("line"), F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["line"]), "words")
     a, b = words.select("line", F.col("w").alias("w1"), F.col("at").alias("at1")), words.select(F.col("line").alias("other"), F.col("w").alias("w2"), F.col("at").alias("at2"))
     both = pairs.join(a, "line").join(b, "other").withColumn("shared", F.size(F.array_intersect("w1", "w2")))
     like = both.where(F.expr(f"shared >= {t}D * (size(w1) + size(w2) - shared) - 1e-9D"))
-    return like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("line")).alias("line")).distinct()
+    later = cut(like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("line")).alias("line")).distinct())
+    release(held, words)
+    return later
 
 
 def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
@@ -120,12 +124,13 @@ def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col:
     if dense.isEmpty():
         return gone
     rows = able.select("line", "doc", "n", "bits", F.posexplode("prefix").alias("p", "word")).join(_small(dense), "word")
-    rows = cut(rows.select("word", F.struct("doc", "line", "n", "bits", F.expr("n - p - 1").alias("after")).alias("x"), F.pmod("line", F.lit(HEADS * ROUNDS)).alias("part")))
+    rows = kept(rows.select("word", F.struct("doc", "line", "n", "bits", F.expr("n - p - 1").alias("after")).alias("x"), F.pmod("line", F.lit(HEADS * ROUNDS)).alias("part")), "dense")
     for number in range(ROUNDS):
         heads = rows.where(F.col("part").between(number * HEADS, (number + 1) * HEADS - 1)).groupBy("word", "part").agg(F.min("x").alias("y")).select("word", "y")
         left = rows.join(_small(gone.select(F.col("line").alias("gone"))), F.col("x.line") == F.col("gone"), "left_anti")
         near = left.join(heads, "word").where("x.line <> y.line").where(_filters(t, "x.after", "y.after"))
         gone = cut(gone.union(matches(near.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")), first, docs, id_col, text_col, t)).distinct())
+    release(rows)
     return gone
 
 
@@ -145,7 +150,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = marked.select("line", "doc", "n", "bits", F.when(F.col("gone").isNull(), 0).otherwise(DONE).alias("done"), F.posexplode("prefix").alias("p", "word"))
     rows = rows.select("word", "line", "doc", "n", F.expr("n - p - 1 + done").alias("after"), "bits")
     earlier = f"x.word = y.word and x.after < {DONE} and y.doc <= x.doc and x.line <> y.line"
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"{earlier} and {_filters(t, 'x.after', f'(y.after & {DONE - 1})')}")).select(F.col("x.line").alias("line"), F.col("y.line").alias("other"))
+    pairs = None
+    for number in range(SLICES):
+        part = rows.where(F.pmod("word", F.lit(SLICES)) == number)
+        met = part.alias("x").join(part.alias("y"), F.expr(f"{earlier} and {_filters(t, 'x.after', f'(y.after & {DONE - 1})')}"))
+        met = cut(met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct())
+        pairs = met if pairs is None else pairs.union(met)
     out = cut(gone.union(matches(pairs, first, docs, id_col, text_col, t)).distinct())
 
     # copies of the earliest line with a set, and earliest lines that match an earlier one
