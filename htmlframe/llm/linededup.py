@@ -107,14 +107,20 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     near = _small(held, held.agg(F.sum(F.size("at"))).first()[0] or 0)
     texts = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     met = texts.join(near, (F.col("th") == F.col("th_")) & F.col("doc").eqNullSafe(F.col("doc_"))).select("doc", "th", F.split(_spaced(), "\n", -1).alias("parts"), F.explode("at").alias("p"))
-    found = met.select("doc", "th", F.col("p.ln").alias("ln"), F.col("p.number").alias("number"), F.get("parts", F.col("p.ln")).alias("line"))
-    words = kept(found.select(F.col("number").alias("line"), F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["line"]), "words")
+    texts_ = met.select("doc", "th", F.col("p.ln").alias("ln"), F.col("p.number").alias("number"), F.get("parts", F.col("p.ln")).alias("line"))
+    words = kept(texts_.select(F.col("number").alias("line"), F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["line"]), "words")
     a, b = words.select("line", F.col("w").alias("w1"), F.col("at").alias("at1")), words.select(F.col("line").alias("other"), F.col("w").alias("w2"), F.col("at").alias("at2"))
-    both = pairs.join(a, "line").join(b, "other").withColumn("shared", F.size(F.array_intersect("w1", "w2")))
-    like = both.where(F.expr(f"shared >= {t}D * (size(w1) + size(w2) - shared) - 1e-9D"))
-    later = cut(like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("line")).alias("line")).distinct())
+
+    def later(some: DataFrame) -> DataFrame:
+        both = some.join(a, "line").join(b, "other").withColumn("shared", F.size(F.array_intersect("w1", "w2")))
+        like = both.where(F.expr(f"shared >= {t}D * (size(w1) + size(w2) - shared) - 1e-9D"))
+        return cut(like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("line")).alias("line")).distinct())
+
+    # one other line of each first; only lines that it doesn't remove are compared with all others
+    found = later(pairs.groupBy("line").agg(F.min("other").alias("other")))
+    found = cut(found.union(later(pairs.join(_small(found), "line", "left_anti"))).distinct())
     release(held, words)
-    return later
+    return found
 
 
 def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
