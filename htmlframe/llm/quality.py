@@ -1,14 +1,16 @@
 """Quality classifier on supervised subword embeddings.
 
-The features of a text are its words and the byte n-grams of 3 to 5 bytes within words (a white space may stand at either
-end), each hashed to one of BUCKETS vectors; a word that is the same as the one before, and one that is the same as the
-two before, each count as REPEATS further features. A document is the mean of its features' vectors; a softmax layer gives the
-probability of each label. Vectors and layer are learned together by stochastic gradient descent in numpy on a sample of
-labelled rows of at most 2 * PER_CLASS documents. As the layer is linear in the mean, scoring folds it into the vectors:
-the difference of the two outputs is the mean of one number for each feature.
+The features of a text are its words, the character n-grams of 3 to 5 characters within words (a white space may stand at
+either end), and the pairs of neighbouring words, each hashed to one of BUCKETS vectors. A pair is hashed by the difference
+of its words' hashes, so that a word said twice is one feature, whatever the word. A document is the mean of its features'
+vectors; a softmax layer gives the probability of each label. Vectors and layer are learned together by stochastic gradient
+descent in numpy on a sample of labelled rows of at most 2 * PER_CLASS documents. As the layer is linear in the mean,
+scoring folds it into the vectors: the difference of the two outputs is the mean of one number for each feature.
 
 Null and empty texts have no features and get the score of the layer's bias alone. If one label or all labels are
-missing, the score is 0.5 plus or minus what the bias has learned, so every row still gets one.
+missing, the score is 0.5 plus or minus what the bias has learned, so every row still gets one. Texts are read whole, in
+blocks. Repeated rows get the same score each; an empty table gives no rows. Only the id and text columns are read, so
+others and their names don't matter.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from htmlframe.llm.labelled import held_out, sample
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 12, 4, 16.0
 PER_CLASS = 1200
-NGRAMS, REPEATS = (3, 4, 5), 6
-#: Bytes of a text featurised at a time.
-BLOCK = 1 << 20
+NGRAMS = (3, 4, 5)
+#: Characters of a text featurised at a time.
+BLOCK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
-_SPACE = np.zeros(256, bool)
+# White space.
+_SPACE = np.zeros(33, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
@@ -39,11 +42,11 @@ def _spread(h: np.ndarray, salt: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
 
 
-def features(raw: bytes) -> np.ndarray:
+def features(text: str) -> np.ndarray:
     """Bucket numbers of the features of a block of text, with repeats."""
-    x = np.frombuffer(b" " + raw + b" ", np.uint8)
-    space = _SPACE[x]
-    x = np.where(space, np.uint8(32), x).astype(np.uint64)
+    x = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(x, 32)] & (x <= 32)
+    x = np.where(space, np.uint32(32), x).astype(np.uint64)
     out = []
     inner = np.concatenate([[0], np.cumsum(space)])
     for n in NGRAMS:
@@ -62,23 +65,19 @@ def features(raw: bytes) -> np.ndarray:
         begin[starts] = starts
         at = (place - np.maximum.accumulate(begin)) & 4095
         words = np.add.reduceat(np.where(space, np.uint64(0), (x + np.uint64(1)) * _POWERS[at]), starts)
-        out.append(_spread(words, 1))
-        same = words[1:] == words[:-1]
-        again = same[1:] & same[:-1]
-        out.append(np.repeat(_spread(np.array([1, 2], np.uint64), 2), (REPEATS * int(same.sum()), REPEATS * int(again.sum()))))
+        out += [_spread(words, 1), _spread(words[1:] - words[:-1], 2)]
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def blocks(text: str):
-    """A text as bytes, in blocks that end at white space where there is one."""
-    raw = text.encode()
+def blocks(text: str) -> Iterator[str]:
+    """A text in blocks that end at white space where there is one."""
     at = 0
-    while at < len(raw):
+    while at < len(text):
         end = at + BLOCK
-        if end < len(raw):
-            cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
+        if end < len(text):
+            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
             end = cut + 1 if cut > at else end
-        yield raw[at:end]
+        yield text[at:end]
         at = end
 
 
@@ -90,8 +89,8 @@ class SubwordClassifier:
 
     def score(self, text: str | None) -> float:
         total, n = 0.0, 0
-        for raw in blocks(text or ""):
-            f = features(raw)
+        for part in blocks(text or ""):
+            f = features(part)
             total += float(self.weight[f].sum(dtype=np.float64))
             n += len(f)
         return float(1 / (1 + np.exp(-np.clip(self.bias + (total / n if n else 0.0), -30, 30))))
@@ -105,8 +104,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
     bias = np.zeros(2, np.float32)
     data = []
     for text, y in rows:
-        counts: dict[int, int] | None = None
-        parts = [features(raw) for raw in blocks(text)]
+        parts = [features(part) for part in blocks(text)]
         f = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         used, counts = np.unique(f, return_counts=True)
         data.append((used.astype(np.int32), (counts / max(1, len(f))).astype(np.float32), y))
