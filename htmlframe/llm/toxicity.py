@@ -1,22 +1,27 @@
 """Toxicity by weak supervision.
 
-Voters look at a document and vote toxic, clean or not at all: lexicons, patterns, terms mined from the labelled sample
-(whole words, and word beginnings, which find words with other endings), and the label itself. A generative label model
-estimates, by expectation maximisation, how often each voter votes which way on toxic and on clean documents (its
-accuracy) and how much the errors of each two voters go together given the class (their correlation); a voter counts the
-less, the more of its evidence others give too. The posterior labels then train a linear classifier on the terms and on
-the lexicon and pattern voters. Labels take part in training only, on at most sum(MOST) rows.
+Many voters look at a document. A voter is a lexicon or a pattern: it votes toxic where something of it occurs and clean
+elsewhere. Besides fixed lexicons and patterns there are MINED lexicons, among which the terms that go with the toxic label
+in the labelled sample (whole words, and beginnings of words, which find them with other endings) are dealt by a hash.
+Labels are no voter: they choose the terms, on at most sum(MOST) rows, and say which of the two classes found is the toxic
+one.
+
+A generative label model estimates from the votes' agreement alone, by expectation maximisation that starts where at least
+two voters agree on toxic, how often each voter votes toxic on toxic and on clean documents (its accuracy), and how much
+the errors of each two voters go together given the class (their correlation); a voter counts the less, the more of its
+evidence others give too. A term that never occurs beside others is not believed. The posterior labels then train a linear classifier on the terms, lexicon words and patterns.
 
 Scores look at which terms occur, not how often or how far apart, so one toxic passage counts as much in a long document
-as in a short one. Null and empty texts, and all texts if there is no toxic row to learn from, get the score of no
-evidence.
+as in a short one; a text is read whole, however long. Null and empty texts, and all texts if there is no toxic row to
+learn from, get the score of no evidence. Repeated rows get the same score each; an empty table gives no rows. Only the id
+and text columns are read, so others and their names don't matter.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,10 @@ from htmlframe.llm.labelled import held_out, sample
 #: Rows labelled 0 and 1 that are learned from, at most.
 MOST = (4000, 1500)
 THRESHOLD = 0.7
-#: Accuracy of the labels as a voter.
-GOLD = 0.985
 #: Lengths of word beginnings; terms must reach this log-likelihood ratio and share of toxic documents.
-BEGINNINGS, LEAST_G, LEAST_SHARE, MOST_TERMS = (4, 5, 6), 24.0, 0.95, 4000
+BEGINNINGS, LEAST_G, LEAST_SHARE, MOST_TERMS = (4, 5, 6), 24.0, 0.95, 400
+#: Lexicons that the mined terms are dealt among, and the least correlation of two voters' errors that counts.
+MINED, LEAST_CORRELATION = 12, 0.3
 #: Chunks between white space in each half of a worker's memo.
 MOST_CHUNKS = 200_000
 
@@ -45,6 +50,7 @@ LEXICONS = {
 }
 # Expressions of the pattern voters.
 PATTERNS = {
+    "pair": r"\b(?:idiot|moron|imbecile|loser|clown|jerk|scum|trash|garbage|filth|vermin|stupid|dumb|pathetic|worthless|useless|disgusting)\W+(?:idiot|moron|imbecile|loser|clown|jerk|scum|trash|garbage|filth|vermin|stupid|dumb|pathetic|worthless|useless|disgusting)\b",
     "second person": r"\b(?:you|your|u)\b(?:\W+\w+){0,3}?\W+(?:idiot|moron|loser|clown|scum|trash|fool|stupid|pathetic|worthless|disgusting)\b",
     "command": r"\b(?:shut up|go to hell|get lost|drop dead|kill yourself)\b",
     "naming": r"\b(?:such an?|what an?|bunch of|complete|total|utter)\s+(?:idiots?|morons?|losers?|clowns?|scum|trash|fools?)\b",
@@ -61,74 +67,67 @@ def chunk_terms(chunk: str) -> set[str]:
     return out
 
 
-def mine(rows: list[tuple[str, int]]) -> list[str]:
-    """Terms that go with the toxic label, strongest first."""
-    chunks = [(set(text.lower().split()), y) for text, y in rows]
-    memo: dict[str, set[str]] = {}
-
-    def of(words: set[str]) -> set[str]:
-        return set().union(*(memo.setdefault(c, chunk_terms(c)) if c not in memo else memo[c] for c in words)) if words else set()
-
-    toxic = Counter()
-    for words, y in chunks:
-        if y:
-            toxic.update(of(words))
-    able = {t for t, n in toxic.items() if n >= 3}
-    memo = {c: s & able for c, s in memo.items()}
-    clean = Counter()
-    for words, y in chunks:
-        if not y:
-            for c in words:
-                if c not in memo:
-                    memo[c] = chunk_terms(c) & able
-            clean.update(of(words))
-    n1 = max(1, sum(y for _, y in rows))
-    n0 = max(1, len(rows) - n1)
-    found = []
-    for t in able:
-        a, b = toxic[t], clean[t]
+def mine(rows: Iterable[tuple[str, int]]) -> list[str]:
+    """Terms that go with the toxic label, strongest first. Rows are read once; of each only its words' numbers are kept."""
+    number: dict[str, int] = {}
+    docs, labels = [], []
+    for text, y in rows:
+        found = {w for chunk in set((text or "").lower().split()) for w in _WORD.findall(chunk)}
+        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        labels.append(y)
+    words, y = list(number), np.array(labels, bool)
+    n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
+    found = []  # -strength, term, its toxic documents, number of clean ones
+    for length in (0, *BEGINNINGS):
+        # terms of one kind: each word's term, or -1 for words that are too short
+        names: dict[str, int] = {}
+        of = np.array([names.setdefault(w[:length] if length else w, len(names)) if len(w) > length else -1 for w in words], np.int64)
+        shown = [np.unique(x[x >= 0]) for x in (of[d] for d in docs)]
+        count = [np.bincount(np.concatenate([x for x, one in zip(shown, y, strict=True) if one == want] or [np.zeros(0, np.int64)]), minlength=len(names)).astype(np.float64) for want in (True, False)]
+        a, b = count
         e = (a + b) * n1 / (n0 + n1)
-        g = 2 * (a * np.log(a / e) + (b * np.log(b / (a + b - e)) if b else 0))
-        if a > e and g >= LEAST_G and (a / n1) / (a / n1 + (b + 0.5) / n0) >= LEAST_SHARE:
-            found.append((-g, t))
-    found = [t for _, t in sorted(found)[:MOST_TERMS]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = 2 * (np.where(a > 0, a * np.log(a / e), 0) + np.where(b > 0, b * np.log(b / (a + b - e)), 0))
+            able = np.flatnonzero((a >= 3) & (a > e) & (g >= LEAST_G) & ((a / n1) / (a / n1 + (b + 0.5) / n0) >= LEAST_SHARE))
+        where: dict[int, list[int]] = {t: [] for t in able.tolist()}
+        for i, x in enumerate(shown):
+            if y[i]:
+                for t in x[np.isin(x, able)].tolist():
+                    where[t].append(i)
+        name = list(names)
+        found += [(-g[t], name[t] + "*" * bool(length), tuple(where[t]), b[t]) for t in able.tolist()]
+    found.sort(key=lambda x: x[:2])
     # of terms that occur in the same toxic documents one is kept: a whole word, else the longest beginning
-    where = {t: [] for t in found}
-    for i, (words, y) in enumerate(chunks):
-        if y:
-            for t in of(words) & where.keys():
-                where[t].append(i)
     best: dict[tuple, str] = {}
-    for t in found:
-        key = (*where[t], -clean[t])
+    for _, t, where_, clean in found:
+        key = (where_, clean)
         if key not in best or (best[key].endswith("*") and (not t.endswith("*") or len(t) > len(best[key]))):
             best[key] = t
-    return [t for t in found if best[(*where[t], -clean[t])] == t]
+    return [t for _, t, where_, clean in found if best[where_, clean] == t][:MOST_TERMS]
 
 
 class Evidence:
-    """Which terms, lexicons and patterns a text shows. Column order: terms, lexicons, patterns."""
+    """Which terms, lexicon words and patterns a text shows. Column order: terms, other lexicon words, patterns."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.at = {t: i for i, t in enumerate(terms)}
-        words: dict[str, int] = {}
-        for i, name in enumerate(LEXICONS):
-            for w in LEXICONS[name].split():
-                words[w] = len(terms) + i
-        self.words = words
+        lexicon = [w for name in LEXICONS for w in LEXICONS[name].split()]
+        self.at |= {w: len(self.at) + i for i, w in enumerate(w for w in lexicon if w not in self.at)}
+        self.lexicons = [frozenset(self.at[w] for w in LEXICONS[name].split()) for name in LEXICONS]
+        self.lexicons += [frozenset(i for i, t in enumerate(terms) if zlib.crc32(t.encode()) % MINED == k) for k in range(MINED)]
         self.patterns = [re.compile(p) for p in PATTERNS.values()]
         # a pattern can match only where one of its own words is: these decide whether it is tried
-        self.cue = re.compile(r"idiot|moron|loser|clown|scum|trash|fool|stupid|pathetic|worthless|disgusting|shut up|go to hell|get lost|drop dead|kill yourself")
-        self.width = len(terms) + len(LEXICONS) + len(PATTERNS)
+        self.cue = re.compile(r"idiot|moron|imbecile|loser|clown|jerk|scum|trash|garbage|filth|vermin|fool|stupid|dumb|pathetic|worthless|useless|disgusting|shut up|go to hell|get lost|drop dead|kill yourself")
+        self.first_pattern = len(self.at)
+        self.width = self.first_pattern + len(PATTERNS)
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         got = self.older.get(chunk)
         if got is None:
-            got = {self.at[t] for t in chunk_terms(chunk) if t in self.at}
-            got = tuple(sorted(got | {self.words[w] for w in _WORD.findall(chunk) if w in self.words}))
+            got = tuple(sorted(self.at[t] for t in chunk_terms(chunk) if t in self.at))
         if len(self.memo) >= MOST_CHUNKS:
             self.older, self.memo = self.memo, {}
         self.memo[chunk] = got
@@ -145,65 +144,49 @@ class Evidence:
             if hits:
                 found.update(hits)
         if self.cue.search(text):
-            at = len(self.terms) + len(LEXICONS)
-            found.update(at + i for i, p in enumerate(self.patterns) if p.search(text))
+            found.update(self.first_pattern + i for i, p in enumerate(self.patterns) if p.search(text))
         return sorted(found)
 
 
-def votes(evidence: Evidence, shown: list[list[int]], labels: list[int]) -> np.ndarray:
-    """One row of votes (1 toxic, -1 clean, 0 none) for each document. Voters: groups of mined terms by kind and rank,
-    each lexicon, each pattern, the absence of all evidence, and the label."""
-    terms = evidence.terms
-    kinds = ["word", *[f"{n}*" for n in BEGINNINGS]]
-    group = {}
-    for i, t in enumerate(terms):
-        kind = f"{len(t) - 1}*" if t.endswith("*") else "word"
-        group[i] = kinds.index(kind) * 4 + min(3, int(np.log2(i + 1)) // 3)
-    first, other = len(kinds) * 4, len(LEXICONS) + len(PATTERNS)
-    out = np.zeros((len(shown), first + other + 2), np.int8)
-    for row, (found, y) in enumerate(zip(shown, labels, strict=True)):
-        for i in found:
-            out[row, group[i] if i < len(terms) else first + i - len(terms)] = 1
-        out[row, -2] = 0 if found else -1
-        out[row, -1] = 1 if y else -1
+def votes(evidence: Evidence, shown: list[list[int]]) -> np.ndarray:
+    """One row of votes (1 toxic, 0 clean) for each document: the lexicons' and the patterns'."""
+    out = np.zeros((len(shown), len(evidence.lexicons) + len(PATTERNS)), np.int8)
+    for row, found in enumerate(shown):
+        if found:
+            out[row] = [*(not x.isdisjoint(found) for x in evidence.lexicons), *(i in found for i in range(evidence.first_pattern, evidence.width))]
     return out
 
 
-def label_model(votes_: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior that each document is toxic, accuracy of each voter, correlations of the voters' errors).
-
-    The last voter is the label. It starts the estimate and keeps the accuracy GOLD, but can be outvoted.
-    """
+def label_model(votes_: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior that each document is toxic, how often each voter votes toxic on toxic and on clean documents, as two
+    rows, correlations of the voters' errors, weights of the voters). No labels take part."""
     n, m = votes_.shape
-    masks = np.stack([votes_ == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
-    p = np.where(votes_[:, -1] > 0, 0.95, 0.05)
-    weight, corr = np.ones(m), np.zeros((m, m))
+    seen = votes_.astype(np.float64)
+    p = np.where(seen.sum(axis=1) >= 2, 0.95, 0.05)
+    rate, corr, weight = np.full((2, m), 0.5), np.zeros((m, m)), np.ones(m)
     for _ in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        likely = []
-        for q in (p, 1 - p):
-            table_ = np.einsum("i,ijv->jv", q, masks) + 0.5
-            likely.append(table_ / table_.sum(axis=1, keepdims=True))
-        likely[0][-1], likely[1][-1] = (1 - GOLD, 1e-9, GOLD), (GOLD, 1e-9, 1 - GOLD)
-        ratio = np.log(likely[0]) - np.log(likely[1])
+        rate = np.array([(q @ seen + 0.5) / (q.sum() + 1) for q in (p, 1 - p)])
         # errors: what a vote says beyond what its class explains
-        seen = votes_.astype(np.float64)
-        means = [lk[:, 2] - lk[:, 0] for lk in likely]
-        error = seen - p[:, None] * means[0] - (1 - p)[:, None] * means[1]
-        scale = error.std(axis=0)
-        corr = np.where(np.outer(scale, scale) > 1e-9, error.T @ error / n / np.maximum(np.outer(scale, scale), 1e-9), 0.0)
+        error = seen - p[:, None] * rate[0] - (1 - p)[:, None] * rate[1]
+        scale = np.outer(error.std(axis=0), error.std(axis=0))
+        corr = np.where(scale > 1e-12, error.T @ error / n / np.maximum(scale, 1e-12), 0.0)
         np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.maximum(corr, 0).sum(axis=1))
-        weight[-1] = 1.0
-        z = np.log(prior / (1 - prior)) + np.einsum("ijv,jv,j->i", masks, ratio, weight)
+        weight = 1 / (1 + np.where(corr > LEAST_CORRELATION, corr, 0).sum(axis=1))
+        z = np.log(prior / (1 - prior)) + seen @ (weight * np.log(rate[0] / rate[1])) + (1 - seen) @ (weight * np.log((1 - rate[0]) / (1 - rate[1])))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(new - p).max() < 1e-4:
-            p = new
-            break
+        still = np.abs(new - p).max() < 1e-4
         p = new
-    cast = votes_ != 0
-    right = np.where(votes_ > 0, p[:, None], (1 - p)[:, None]) * cast
-    return p, right.sum(axis=0) / np.maximum(cast.sum(axis=0), 1), corr
+        if still:
+            break
+    return p, rate, corr, weight
+
+
+def posterior(evidence: Evidence, shown: list[list[int]], labels: list[int]) -> np.ndarray:
+    """Probability that each document is toxic, by the voters; labels say only which class is which."""
+    p = label_model(votes(evidence, shown))[0]
+    y = np.array(labels, bool)
+    return 1 - p if y.any() and not y.all() and p[y].mean() < p[~y].mean() else p
 
 
 class ToxicityModel:
@@ -224,24 +207,23 @@ def train(rows: list[tuple[str, int]], steps: int = 1500, decay: float = 3e-6) -
     weight, bias = np.zeros(evidence.width), -3.0
     if not rows or not any(labels):
         return ToxicityModel(terms, weight, bias)
-    target, _, _ = label_model(votes(evidence, shown, labels))
-    x = np.zeros((len(rows), evidence.width), np.float32)
-    for i, found in enumerate(shown):
-        x[i, found] = 1
+    target = posterior(evidence, shown, labels)
+    # the documents' features as pairs (row, column)
+    row = np.repeat(np.arange(len(shown)), [len(x) for x in shown])
+    column = np.array([i for x in shown for i in x], np.int64)
     # equal weight of both classes
-    share = np.where(target > 0.5, 0.5 / max(1, (target > 0.5).sum()), 0.5 / max(1, (target <= 0.5).sum())).astype(np.float32)
-    target = target.astype(np.float32)
-    w = np.zeros(evidence.width + 1, np.float32)
+    share = np.where(target > 0.5, 0.5 / max(1, (target > 0.5).sum()), 0.5 / max(1, (target <= 0.5).sum()))
+    w = np.zeros(evidence.width + 1)
     w[-1] = bias
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        g = share * (p - target)
-        grad = np.append(x.T @ g + decay * w[:-1], g.sum()).astype(np.float32)
+        z = np.bincount(row, weights=w[column], minlength=len(shown)) + w[-1]
+        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
+        grad = np.append(np.bincount(column, weights=g[row], minlength=evidence.width) + decay * w[:-1], g.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
-    return ToxicityModel(terms, w[:-1].astype(np.float64), float(w[-1]))
+    return ToxicityModel(terms, w[:-1], float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> ToxicityModel:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from htmlframe.llm import bpe, chat, fingerprint, html_extract, packing, quality, toxicity
+from htmlframe.llm import bpe, chat, fingerprint, html_extract, labelled, packing, quality, toxicity
 
 RANKS = pt.path("byte_bpe_multi_50k.tiktoken")
 WORDS = pt.path("word_bpe_49k.json")
@@ -267,13 +268,43 @@ def test_quality_learns(spark, documents):
     assert quality.train([]).score("x") == pytest.approx(0.5, abs=0.1)
 
 
+def plain_quality_features(text):
+    """Buckets of a text's words, n-grams and word pairs, one after another."""
+    top, base, mix = 1 << 64, 0x100000001B3, 0x9E3779B97F4A7C15
+
+    def spread(h, salt):
+        h = (h + salt) * mix % top
+        return (h ^ h >> 29) >> 20 & quality.BUCKETS - 1
+
+    t = "".join(" " if c in "\t\n\v\f\r" else c for c in f" {text} ")
+    power = [pow(base, i + 1, top) for i in range(4096)]
+    out = []
+    for n in quality.NGRAMS:
+        for i in range(len(t) - n + 1):
+            if " " not in t[i + 1 : i + n - 1]:
+                out.append(spread(sum(ord(c) * power[j] for j, c in enumerate(t[i : i + n])) % top, n))
+    words = [sum((ord(c) + 1) * power[j & 4095] for j, c in enumerate(w)) % top for w in t.split(" ") if w]
+    return out + [spread(w, 1) for w in words] + [spread((b - a) % top, 2) for a, b in zip(words, words[1:], strict=False)]
+
+
+def test_quality_is_the_plain_scorer(documents):
+    texts = [r.text for r in documents.limit(25).collect()] + [t or "" for t in ODD] + ["über Ölé 日本語", "no no\tno\r\nyes"]
+    m = quality.train([(t, i % 2) for i, t in enumerate(texts)], epochs=1)
+    for t in texts:
+        f = plain_quality_features(t)
+        assert sorted(quality.features(t).tolist()) == sorted(f)
+        z = m.bias + (sum(float(m.weight[i]) for i in f) / len(f) if f else 0)
+        assert m.score(t) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
 def test_quality_features_in_blocks(monkeypatch):
-    text = "one two three four five six " * 20
-    whole = np.bincount(quality.features(text.encode()), minlength=quality.BUCKETS)
+    text = "one two three four five sïx " * 20
+    whole = np.bincount(quality.features(text), minlength=quality.BUCKETS)
     monkeypatch.setattr(quality, "BLOCK", 32)
     parts = sum(np.bincount(quality.features(b), minlength=quality.BUCKETS) for b in quality.blocks(text))
-    assert b"".join(quality.blocks(text)).decode() == text and abs(whole - parts).sum() < 0.2 * whole.sum()
-    assert "".join(b.decode("utf-8", "ignore") for b in quality.blocks("x" * 100)) == "x" * 100
+    assert "".join(quality.blocks(text)) == text and abs(whole - parts).sum() < 0.2 * whole.sum()
+    assert "".join(quality.blocks("x" * 100)) == "x" * 100
+    assert len(quality.features("nö nö nö")) == len(plain_quality_features("nö nö nö")) and quality.features("nö nö")[-1] == quality.features("ß ß")[-1]
 
 
 def _labels(spark, sf, module, label, least):
@@ -297,15 +328,59 @@ def test_toxicity_learns():
     rnd = random.Random(3)
     plain = "the garden is green and the river runs slowly past old houses where people talk".split()
     rows = [(" ".join(rnd.choices(plain, k=30)), 0) for _ in range(300)]
-    rows += [(" ".join([*rnd.choices(plain, k=20), rnd.choice(["zornbold", "zornboldi", "zornboldas", "grumpf"]), *rnd.choices(plain, k=9)]), 1) for _ in range(120)]
+    # voters are believed for agreeing, so a toxic text has more than one such word
+    rows += [(" ".join([*rnd.choices(plain, k=20), *rnd.sample(["zornbold", "zornboldi", "zornboldas", "grumpf", "mulk"], k=3), *rnd.choices(plain, k=9)]), 1) for _ in range(120)]
     m = toxicity.train(rows)
-    assert m.score("the garden zornboldus runs") > 0.7 and m.score("river grumpf. past") > 0.7 and m.score("old houses and people") < 0.3
-    assert m.score(" ".join(plain * 500) + " grumpf") > 0.7
+    assert m.score("the garden zornboldus runs, grumpf") > 0.7 and m.score("river grumpf. past mulk") > 0.7 and m.score("old houses and people") < 0.3
+    assert m.score(" ".join(plain * 500) + " grumpf mulk") > 0.7
     assert m.score(None) == m.score("") < 0.7
     assert toxicity.train([]).score("x") < 0.7
-    votes = np.array([[1, 1, 1]] * 30 + [[-1, -1, -1]] * 30 + [[1, -1, 1]] * 3 + [[0, 1, -1]] * 3, np.int8)
-    p, accuracy, corr = toxicity.label_model(votes)
-    assert p[0] > 0.9 and p[40] < 0.1 and accuracy.min() > 0.6 and corr.shape == (3, 3)
+
+
+def test_label_model_beats_its_voters():
+    """Voters of known accuracy, and copies of a bad one: agreement alone finds them out, and the posterior needs it."""
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.3
+    right = [0.9, 0.85, 0.8, 0.8, 0.75, 0.7]
+    own = [np.where(rng.random(4000) < r, y, ~y) for r in right]
+    bad = rng.random(4000) < np.where(y, 0.55, 0.35)
+    v = np.stack([*own, *[np.where(rng.random(4000) < 0.97, bad, ~bad) for _ in range(4)]], axis=1).astype(np.int8)
+    p, rate, corr, weight = toxicity.label_model(v)
+    good = lambda x: (x == y).mean()
+    assert good(p > 0.5) > max(good(v[:, j] > 0) for j in range(10)) + 0.02
+    assert good(p > 0.5) > good(v.sum(axis=1) > 5) + 0.05 and good(p > 0.5) > good(v.sum(axis=1) >= 2) + 0.05
+    for j, r in enumerate(right):
+        assert rate[0, j] == pytest.approx(r, abs=0.06) and rate[1, j] == pytest.approx(1 - r, abs=0.06)
+    assert corr[6:, 6:].max() > 0.7 > 0.3 > corr[:6, :6].max() and weight[6:].max() < 0.5 < weight[:6].min()
+
+
+def test_posterior_of_documents(spark, sf):
+    """On real votes the posterior beats every voter, and labels only say which class is which."""
+    big = sf.replace("0.001", "0.1")
+    rows = labelled.sample(spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet"), "toxic", toxicity.MOST)
+    e = toxicity.Evidence(toxicity.mine(rows))
+    shown, y = [e.of(t) for t, _ in rows], np.array([y for _, y in rows])
+    v, p = toxicity.votes(e, shown), toxicity.posterior(e, shown, y.tolist())
+    fire = v.any(axis=0)
+    assert fire.sum() >= 12 and ((p > 0.5) == y).mean() > max((v[:, j] == y).mean() for j in range(v.shape[1])) + 0.02
+    half = y.copy()
+    half[::2] = 0
+    assert (toxicity.posterior(e, shown, half.tolist()) == p).all()
+
+
+def test_toxicity_is_the_plain_scorer(documents):
+    """Scores by looking for each term, word and pattern in turn."""
+    texts = [r.text for r in documents.limit(150).collect()] + [t or "" for t in ODD] + ["You pathetic CLOWN, shut up.", "an idiot's idiotic trash-talk", "x " * 9000 + "moron scum"]
+    terms = ["idio*", "trash", "talk*", "moron"]
+    e = toxicity.Evidence(terms)
+    m = toxicity.ToxicityModel(terms, np.random.default_rng(1).normal(size=e.width), -0.5)
+    others = [w for x in toxicity.LEXICONS.values() for w in x.split() if w not in terms]
+    for t in texts:
+        low = t.lower()
+        words = set(re.findall(r"[^\W\d_]+", low))
+        shown = [any(w.startswith(x[:-1]) and len(w) >= len(x) for w in words) if x.endswith("*") else x in words for x in terms]
+        shown += [w in words for w in others] + [bool(re.search(x, low)) for x in toxicity.PATTERNS.values()]
+        assert m.score(t) == pytest.approx(1 / (1 + np.exp(0.5 - float(m.weight @ np.array(shown, float)))), abs=1e-9)
 
 
 def test_toxicity_patterns_alone():
@@ -315,8 +390,9 @@ def test_toxicity_patterns_alone():
     assert e.of("a bunch of idiots") == e.of("such morons, total losers") == [naming]
     assert e.of("idiots sit there") == e.of("a calm text") == []
     rows = [(f"the garden number {i} is green", 0) for i in range(200)] + [(f"shut up about house {i}", 1) for i in range(60)]
-    voted = toxicity.votes(toxicity.Evidence([]), [toxicity.Evidence([]).of(t) for t, _ in rows], [y for _, y in rows])
-    assert (voted[-1, -2], voted[0, -2]) == (0, -1) and 1 in voted[-1, :-2]
+    voted = toxicity.votes(toxicity.Evidence([]), [toxicity.Evidence([]).of(t) for t, _ in rows])
+    assert voted[-1, -2] == 1 and voted[-1].sum() == 1 and not voted[:200].any()
+    assert e.of("a pathetic, stupid remark")[-1] == e.width - 4
 
 
 def test_classifiers_odd_rows(spark):
@@ -325,6 +401,8 @@ def test_classifiers_odd_rows(spark):
         got = module.score(df, model).collect()
         assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
         assert module.score(df.limit(0), model).count() == 0
+    short = labelled.sample(df, spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int"), "quality", (9, 9), 10)
+    assert 1 <= len(short) < len(ODD) and all(len(t) <= 10 for t, _ in short)
     labels = spark.createDataFrame([(0, 1, 0), (None, 1, 1), (1, None, None), (1, 7, 7)], "doc_id long, quality int, toxic int")
     assert 0 <= quality.fit(df, labels).score("a") <= 1 and 0 <= toxicity.fit(df, labels.limit(0)).score("a") <= 1
 
