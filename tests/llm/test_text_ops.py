@@ -329,7 +329,7 @@ def test_toxicity_learns():
     plain = "the garden is green and the river runs slowly past old houses where people talk".split()
     rows = [(" ".join(rnd.choices(plain, k=30)), 0) for _ in range(300)]
     # voters are believed for agreeing, so a toxic text has more than one such word
-    rows += [(" ".join([*rnd.choices(plain, k=20), *rnd.sample(["zornbold", "zornboldi", "zornboldas", "grumpf", "mulk"], k=3), *rnd.choices(plain, k=9)]), 1) for _ in range(120)]
+    rows += [(" ".join([*rnd.choices(plain, k=20), *rnd.sample(["zornbold", "zornboldi", "zornboldas", "grumpf", "mulk"], k=rnd.choice((2, 3))), *rnd.choices(plain, k=9)]), 1) for _ in range(120)]
     m = toxicity.train(rows)
     assert m.score("the garden zornboldus runs, grumpf") > 0.7 and m.score("river grumpf. past mulk") > 0.7 and m.score("old houses and people") < 0.3
     assert m.score(" ".join(plain * 500) + " grumpf mulk") > 0.7
