@@ -34,8 +34,8 @@ THRESHOLD, MIN_WORDS = 0.8, 1
 BUCKETS = 1 << 19
 #: A prefix word of more lines is dense. Its lines are first compared with HEADS of its lines in each of ROUNDS rounds.
 DENSE, HEADS, ROUNDS = 64, 4, 3
-#: Sides of at most this many rows of a few numbers are broadcast; larger ones are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: Sides of at most this many rows of a few numbers, some 20 MB, are broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Parts of the words that are joined one after another, so that less is on disk at a time.
 SLICES = 2
 #: Added to what stands after a word if its line looks for no others.
@@ -107,19 +107,25 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     near = _small(held, held.agg(F.sum(F.size("at"))).first()[0] or 0)
     texts = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     met = texts.join(near, (F.col("th") == F.col("th_")) & F.col("doc").eqNullSafe(F.col("doc_"))).select("doc", "th", F.split(_spaced(), "\n", -1).alias("parts"), F.explode("at").alias("p"))
-    texts_ = met.select("doc", "th", F.col("p.ln").alias("ln"), F.col("p.number").alias("number"), F.get("parts", F.col("p.ln")).alias("line"))
-    words = kept(texts_.select(F.col("number").alias("line"), F.struct("doc", "th", "ln").alias("at"), F.expr(f"array_distinct({WORDS})").alias("w")).dropDuplicates(["line"]), "words")
-    a, b = words.select("line", F.col("w").alias("w1"), F.col("at").alias("at1")), words.select(F.col("line").alias("other"), F.col("w").alias("w2"), F.col("at").alias("at2"))
+    said = met.select(F.col("p.number").alias("line"), F.struct("doc", "th", F.col("p.ln").alias("ln")).alias("at"), F.get("parts", F.col("p.ln")).alias("said"))
+    said = kept(said, "said")
+    if said.count() > ends.count():  # rows with the same id and text
+        once = kept(said.dropDuplicates(["line"]), "said")
+        release(said)
+        said = once
+    a, b = said.toDF("line", "at1", "said1"), said.toDF("other", "at2", "said2")
+    words = lambda c: f"array_remove(split({c}, ' '), '')"
 
     def later(some: DataFrame) -> DataFrame:
-        both = some.join(a, "line").join(b, "other").withColumn("shared", F.size(F.array_intersect("w1", "w2")))
-        like = both.where(F.expr(f"shared >= {t}D * (size(w1) + size(w2) - shared) - 1e-9D"))
+        both = some.join(a, "line").join(b, "other").select("line", "other", "at1", "at2", F.expr(words("said1")).alias("w1"), F.expr(words("said2")).alias("w2"))
+        shared = both.withColumns({"shared": F.size(F.array_intersect("w1", "w2")), "all": F.size(F.array_union("w1", "w2"))})
+        like = shared.where(F.expr(f"shared >= {t}D * all - 1e-9D"))
         return cut(like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("line")).alias("line")).distinct())
 
     # one other line of each first; only lines that it doesn't remove are compared with all others
     found = later(pairs.groupBy("line").agg(F.min("other").alias("other")))
     found = cut(found.union(later(pairs.join(_small(found), "line", "left_anti"))).distinct())
-    release(held, words)
+    release(held, said)
     return found
 
 
