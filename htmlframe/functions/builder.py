@@ -136,6 +136,41 @@ def _hidden(attrs) -> bool:
     return any(k == "type" and v.lower() == "hidden" for k, v in attrs)
 
 
+class OpenElements(list):
+    """The stack of open elements, which knows how many HTML elements of each name it holds."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.counts: dict[str, int] = {}
+
+    def _count(self, nodes, by: int) -> None:
+        for n in nodes:
+            if n.ns == HTML:
+                self.counts[n.name] = self.counts.get(n.name, 0) + by
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self._count((node,), 1)
+
+    def insert(self, at: int, node: Node) -> None:
+        super().insert(at, node)
+        self._count((node,), 1)
+
+    def pop(self, at: int = -1) -> Node:
+        node = super().pop(at)
+        self._count((node,), -1)
+        return node
+
+    def __setitem__(self, at: int, node: Node) -> None:
+        self._count((self[at],), -1)
+        super().__setitem__(at, node)
+        self._count((node,), 1)
+
+    def __delitem__(self, at: int | slice) -> None:
+        self._count(self[at] if isinstance(at, slice) else (self[at],), -1)
+        super().__delitem__(at)
+
+
 class _Format:
     """An active formatting element."""
 
@@ -149,7 +184,7 @@ class TreeBuilder:
     def __init__(self, tokenizer: tk.Tokenizer, srcdoc: bool = False, context: str | None = None, context_ns: str = ""):
         self.tokens, self.srcdoc = tokenizer, srcdoc
         self.doc = Document()
-        self.open: list[Node] = []
+        self.open = OpenElements()
         self.formats: list[_Format | None] = []
         self.templates: list[str] = []
         self.mode, self.after_text, self.after_table_text = "initial", "initial", None
@@ -296,6 +331,8 @@ class TreeBuilder:
 
     def in_scope(self, names, kind: str = "") -> bool:
         names, stop = (names,) if isinstance(names, str) else names, SCOPES[kind]
+        if not any(self.open.counts.get(n) for n in names):
+            return False
         for node in reversed(self.open):
             if node.ns == HTML:
                 if node.name in names:

@@ -7,6 +7,7 @@ fixes the nearest ancestor or sibling that matches, without coming back; "css" t
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -298,6 +299,8 @@ class Matcher:
         self.compat = semantics == "compat"
         self.inner: dict[str, Matcher | None] = {}
         self.places: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+        self.kids: dict[int, list[Node]] = {}
+        self.alike: dict[tuple[int, Compound], list[int]] = {}
 
     def _place(self, node: Node) -> tuple[int, int, int, int]:
         """Place and number among element siblings, and among those with the same name."""
@@ -316,9 +319,14 @@ class Matcher:
             for i, (k, n) in enumerate(zip(kids, names, strict=True), 1):
                 seen[n] = seen.get(n, 0) + 1
                 found[id(k)] = (i, len(kids), seen[n], total[n])
-            self.places[key] = found
+            self.places[key], self.kids[key] = found, kids
         return self.places[key].get(id(node), (1, 1, 1, 1))
 
+    def _siblings(self, node: Node) -> tuple[list[Node], int]:
+        """Element siblings, and a node's place among them from 0."""
+        at = self._place(node)[0] - 1
+        return self.kids[id(node.parent)], at
+
     def _pseudo(self, node: Node, s: Simple) -> bool:
         name = s.name
         if name == "not":
@@ -360,37 +368,46 @@ class Matcher:
     def compound(self, node: Node, c: Compound) -> bool:
         return all(self.simple(node, s) for s in c)
 
-    def _before(self, node: Node, how: str):
-        """What a combinator leads to from an element, nearest first."""
+    def _before(self, node: Node, how: str, c: Compound):
+        """The elements that a combinator leads to from an element and that match a compound, nearest first."""
         if how in (" ", ">"):
             up = node.parent
             while up is not None and up.kind == ELEMENT:
-                yield up
+                if self.compound(up, c):
+                    yield up
                 if how == ">":
                     return
                 up = up.parent
         elif node.parent is not None:
-            kids = node.parent.elements()
-            at = next((i for i, k in enumerate(kids) if k is node), 0)
-            for k in range(at - 1, -1, -1):
-                yield kids[k]
-                if how == "+":
-                    return
+            kids, at = self._siblings(node)
+            if how == "+":
+                if at > 0 and self.compound(kids[at - 1], c):
+                    yield kids[at - 1]
+                return
+            key = id(node.parent), c
+            if key not in self.alike:
+                self.alike[key] = [i for i, k in enumerate(kids) if self.compound(k, c)]
+            places = self.alike[key]
+            for k in range(bisect.bisect_left(places, at) - 1, -1, -1):
+                yield kids[places[k]]
 
     def chain(self, node: Node, c: Chain) -> bool:
         if not self.compound(node, c[-1][1]):
             return False
-        states = [(node, len(c) - 1)]
-        while states:
-            at, i = states.pop()
-            if i == 0:
+        # candidates still to try, by the place of their compound in the chain, nearest first
+        tries, met = [(iter((node,)), len(c) - 1)], set()
+        while tries:
+            found, i = tries[-1]
+            at = next(found, None)
+            if at is None:
+                if self.compat:
+                    return False
+                tries.pop()
+            elif i == 0:
                 return True
-            found = (x for x in self._before(at, c[i][0]) if self.compound(x, c[i - 1][1]))
-            if self.compat:
-                one = next(found, None)
-                states = [(one, i - 1)] if one is not None else []
-            else:
-                states.extend((x, i - 1) for x in found)
+            elif (id(at), i) not in met:
+                met.add((id(at), i))
+                tries.append((self._before(at, c[i][0], c[i - 1][1]), i - 1))
         return False
 
     def matches(self, node: Node) -> bool:

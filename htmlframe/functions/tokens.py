@@ -17,35 +17,37 @@ START, END, TEXT, COMMENT, DOCTYPE, EOF = "StartTag", "EndTag", "Character", "Co
 #: The mode that a start tag switches to.
 SWITCHES = {"title": RCDATA, "textarea": RCDATA, "script": SCRIPT, "style": RAWTEXT, "xmp": RAWTEXT, "iframe": RAWTEXT, "noembed": RAWTEXT, "noframes": RAWTEXT, "plaintext": PLAINTEXT}
 
-# Messages of the error codes.
-MESSAGES = {
-    "abrupt-closing-of-empty-comment": "Abrupt closing of empty comment",
-    "abrupt-doctype-public-identifier": "Abrupt DOCTYPE public identifier",
-    "abrupt-doctype-system-identifier": "Abrupt DOCTYPE system identifier",
-    "cdata-in-html-content": "CDATA section in HTML content",
-    "duplicate-attribute": "Duplicate attribute",
-    "eof-before-tag-name": "End of file before tag name",
-    "eof-in-cdata": "End of file in CDATA section",
-    "eof-in-comment": "End of file in comment",
-    "eof-in-doctype": "End of file in DOCTYPE",
-    "eof-in-tag": "End of file in tag",
-    "incorrectly-closed-comment": "Incorrectly closed comment",
-    "incorrectly-opened-comment": "Incorrectly opened comment",
-    "invalid-first-character-of-tag-name": "Invalid first character of tag name",
-    "missing-attribute-value": "Missing attribute value",
-    "missing-doctype-public-identifier": "Missing DOCTYPE public identifier",
-    "missing-doctype-system-identifier": "Missing DOCTYPE system identifier",
-    "missing-quote-before-doctype-public-identifier": "Missing quote before DOCTYPE public identifier",
-    "missing-quote-before-doctype-system-identifier": "Missing quote before DOCTYPE system identifier",
-    "missing-whitespace-before-doctype-name": "Missing whitespace before DOCTYPE name",
-    "missing-whitespace-between-attributes": "Missing whitespace between attributes",
-    "missing-whitespace-between-doctype-public-and-system-identifiers": "Missing whitespace between DOCTYPE public and system identifiers",
-    "unexpected-character-in-attribute-name": "Unexpected character in attribute name",
-    "unexpected-character-in-unquoted-attribute-value": "Unexpected character in unquoted attribute value",
-    "unexpected-equals-sign-before-attribute-name": "Unexpected equals sign before attribute name",
-    "unexpected-null-character": "Unexpected null character",
-    "unexpected-question-mark-instead-of-tag-name": "Unexpected question mark instead of tag name",
+# Messages of the error codes that have one, after the words that all of them begin with.
+_BEGIN = "This error occurs if the parser encounters "
+_ENCOUNTERED = {
+    "abrupt-closing-of-empty-comment": "an empty comment that is abruptly closed by a U+003E (>) code point.",
+    "abrupt-doctype-public-identifier": "a U+003E (>) code point in the DOCTYPE public identifier.",
+    "abrupt-doctype-system-identifier": "a U+003E (>) code point in the DOCTYPE system identifier.",
+    "cdata-in-html-content": "a CDATA section outside of foreign content (SVG or MathML).",
+    "duplicate-attribute": "an attribute with the same name as an earlier attribute on the same tag.",
+    "eof-before-tag-name": "EOF where a tag name is expected.",
+    "eof-in-cdata": "EOF in a CDATA section.",
+    "eof-in-comment": "EOF in a comment.",
+    "eof-in-doctype": "EOF in a DOCTYPE.",
+    "eof-in-tag": "EOF in a tag.",
+    "incorrectly-closed-comment": "an incorrectly closed comment.",
+    "incorrectly-opened-comment": "an incorrectly opened comment.",
+    "invalid-first-character-of-tag-name": "an invalid first character of a tag name.",
+    "missing-attribute-value": "an attribute name not followed by an attribute value.",
+    "missing-doctype-public-identifier": "a DOCTYPE with a missing public identifier.",
+    "missing-doctype-system-identifier": "a DOCTYPE with a missing system identifier.",
+    "missing-quote-before-doctype-public-identifier": "a DOCTYPE public identifier without a leading quote.",
+    "missing-quote-before-doctype-system-identifier": "a DOCTYPE system identifier without a leading quote.",
+    "missing-whitespace-before-doctype-name": "a DOCTYPE without whitespace before the name.",
+    "missing-whitespace-between-attributes": "a missing whitespace between attributes.",
+    "missing-whitespace-between-doctype-public-and-system-identifiers": "a DOCTYPE with missing whitespace between public and system identifiers.",
+    "unexpected-character-in-attribute-name": "an unexpected character in an attribute name.",
+    "unexpected-character-in-unquoted-attribute-value": "an unexpected character in an unquoted attribute value.",
+    "unexpected-equals-sign-before-attribute-name": "an equals sign before an attribute name.",
+    "unexpected-null-character": "an unexpected null character.",
+    "unexpected-question-mark-instead-of-tag-name": "a question mark instead of a tag name.",
 }
+MESSAGES = {code: _BEGIN + what for code, what in _ENCOUNTERED.items()}
 
 _SPACES = re.compile(r"[\t\n\f ]*")
 _TAG_NAME = re.compile(r"[^\t\n\f />]*")
@@ -93,14 +95,15 @@ class Tokenizer:
         self.flaws.append((code, at))
 
     def errors(self) -> list[tuple[str, str, int, int]]:
-        """(code, message, line, column) of each error; lines and columns count from 1."""
+        """(code, message, line, column) of each error; lines and columns count from 1, and an error at the end of the text
+        stands at its last character."""
         out, line, begin, seen = [], 1, -1, 0
         for code, at in sorted(self.flaws, key=lambda f: f[1]):
             at = min(at, len(self.text))
             line += self.text.count("\n", seen, at)
             last = self.text.rfind("\n", seen, at)
             begin, seen = (last if last >= 0 else begin), max(seen, at)
-            out.append((code, MESSAGES.get(code, "Unknown error"), line, at - begin))
+            out.append((code, MESSAGES.get(code, "Unknown error"), line, max(1, min(at, len(self.text) - 1) - begin)))
         return out
 
     def switch(self, mode: str, name: str = "") -> None:
@@ -220,12 +223,12 @@ class Tokenizer:
             for i in range(at + 1, m.end()):
                 if text[i] in "\"'<":
                     self.flaw("unexpected-character-in-attribute-name", i)
-            key, begin = self._nulls(text[at : m.end()], at).translate(_LOWER), at
+            key = self._nulls(text[at : m.end()], at).translate(_LOWER)
             at = m.end()
             if text[at : at + 1] != "=":
                 if at >= size:
                     break
-                keep(key, "", begin)
+                keep(key, "", at)
                 after = _SPACES.match(text, at).end()
                 if after == at or text[after : after + 1] != "=":
                     at = after
@@ -287,7 +290,7 @@ class Tokenizer:
                 return None
             self.flaw("cdata-in-html-content", at + 6)
         else:
-            self.flaw("incorrectly-opened-comment", at)
+            self.flaw("incorrectly-opened-comment", at - 1)
         return self._bogus(at)
 
     def _said(self, data: str, cut_off: bool = False) -> Token:

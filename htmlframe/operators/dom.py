@@ -13,6 +13,33 @@ def attr(name: str, attrs: str = "attrs") -> Column:
     return F.get(F.filter(attrs, lambda a: (a["ns"] == "") & (F.lower(a["name"]) == name.lower())), F.lit(0))["value"]
 
 
+def attr_ns(ns: str, name: str, attrs: str = "attrs") -> Column:
+    """Value of an attribute of a namespace, such as ("http://www.w3.org/1999/xlink", "xlink:href"); null if there is none."""
+    return F.get(F.filter(attrs, lambda a: (a["ns"] == ns) & (a["name"] == name)), F.lit(0))["value"]
+
+
+def with_attr_ns(ns: str, name: str, value: Column | str) -> Column:
+    """attrs with one attribute of a namespace set, others left alone: at the end, if it is new."""
+    value = F.lit(value) if isinstance(value, str) else value
+    same = lambda a: (a["ns"] == ns) & (a["name"] == name)
+    fresh = F.struct(F.lit(ns).alias("ns"), F.lit(name).alias("name"), value.alias("value"))
+    return F.when(F.exists("attrs", same), F.transform("attrs", lambda a: F.when(same(a), fresh).otherwise(a))).otherwise(F.concat(F.col("attrs"), F.array(fresh)))
+
+
+def without_attr_ns(ns: str, name: str) -> Column:
+    return F.filter("attrs", lambda a: ~((a["ns"] == ns) & (a["name"] == name)))
+
+
+def attribute_text(attrs: Column) -> Column:
+    """Attributes as they are written in a start tag."""
+    return F.array_join(F.transform(attrs, lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), F.replace(F.replace(a["value"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))), "")
+
+
+def has_children() -> Column:
+    """Whether a node of a table of nodes has any below it."""
+    return F.col("last_id") > F.col("node_id")
+
+
 def attribute_rows(nodes: DataFrame) -> DataFrame:
     """One row for each attribute: (doc_id, node_id, ns, name, value)."""
     return nodes.where("node_type = 1").select("doc_id", "node_id", F.inline("attrs"))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from htmlframe import schemas as sc
@@ -18,8 +18,8 @@ from htmlframe.functions import tokens as tk
 from htmlframe.functions.tree import DOCUMENT, ELEMENT, FRAGMENT, TEXT, Document, Node
 from htmlframe.session import ship
 
-#: Pages in an Arrow batch, and in a batch of results.
-ROWS_PER_BATCH = 256
+#: Pages in an Arrow batch, its bytes, and rows in a batch of results. A page larger than that is a batch by itself.
+ROWS_PER_BATCH, BYTES_PER_BATCH, ROWS_OUT = 256, 16 << 20, 20_000
 
 
 @dataclass(frozen=True)
@@ -32,18 +32,23 @@ class ParseOptions:
     strict: bool = False
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table out if it comes in fewer partitions than there are cores: a Parquet file of one row group is read by
-    one task. A table of many files is left as it is, without a shuffle."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores or _one_group(df) else df
+def spread(df: DataFrame, partitions: int = 0) -> DataFrame:
+    """Deal a table out over as many partitions, where that is asked for; else it is read as its files are split, without a
+    shuffle. Pages of few large row groups are better split by a smaller spark.sql.files.maxPartitionBytes or written anew."""
+    return df.repartition(partitions) if partitions and not df.isStreaming and df.rdd.getNumPartitions() < partitions else df
 
 
-def _one_group(df: DataFrame) -> bool:
-    files = df.inputFiles()
-    return 0 < len(files) < df.sparkSession.sparkContext.defaultParallelism
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers, unless the session has smaller bounds already."""
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = _number(spark.conf.get(f"spark.sql.execution.arrow.{key}", None))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def _number(setting: str | None) -> int:
+    digits = (setting or "").lower().removesuffix("b")
+    return int(digits) if digits.isdigit() else 0
 
 
 def parse_page(page: str | bytes | None, o: ParseOptions) -> Document:
@@ -60,7 +65,7 @@ def per_page(df: DataFrame, id_col: str, html_col: str, schema: pa.Schema, sql:
     """Apply a function from (id, page) to rows in one Arrow pass."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,14 +73,14 @@ def per_page(df: DataFrame, id_col: str, html_col: str, schema: pa.Schema, sql:
             found: list[tuple] = []
             for key, page in zip(keys, pages, strict=True):
                 found += rows(key, page.as_py())
-                if len(found) >= 20_000:
+                if len(found) >= ROWS_OUT:
                     yield _batch(found, schema)
                     found = []
             if found:
                 yield _batch(found, schema)
 
     kind = "binary" if df.schema[html_col].dataType.typeName() == "binary" else "string"
-    return spread(df.select(F.col(id_col).cast("long"), F.col(html_col).cast(kind))).mapInArrow(run, sql)
+    return df.select(F.col(id_col).cast("long"), F.col(html_col).cast(kind)).mapInArrow(run, sql)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -200,21 +205,46 @@ def select_pages(df: DataFrame, selectors: str | list[str], output: str = "", fi
     return per_page(df, id_col, html_col, sc.MATCHES, sc.MATCHES_SQL, rows)
 
 
+def select_records(df: DataFrame, selectors: str | list[str], id_col: str = "page_id", html_col: str = "html", options: ParseOptions = ParseOptions()) -> DataFrame:  # noqa: B008
+    """One row for each page and selector: how many elements match, and of each its HTML, its text and its tree as JSON."""
+    wanted = [(s, sel.parse(s)) for s in ([selectors] if isinstance(selectors, str) else selectors)]
+
+    def rows(key, page):
+        doc = parse_page(page, options)
+        out = []
+        for text, chains in wanted:
+            found = sel.Matcher(chains).select(doc)
+            out.append((key, text, len(found), [{"html": render(n, "html"), "text": render(n, "text"), "tree": render(n, "tree")} for n in found]))
+        return out
+
+    return per_page(df, id_col, html_col, sc.RECORDS, sc.RECORDS_SQL, rows)
+
+
 def render_pages(df: DataFrame, output: str, id_col: str = "page_id", html_col: str = "html", options: ParseOptions = ParseOptions()) -> DataFrame:  # noqa: B008
     """(doc_id, output): each whole page as html, pretty, text, strip, markdown, cli_markdown or tree."""
     return per_page(df, id_col, html_col, pa.schema([("doc_id", pa.int64()), ("output", pa.string())]), "doc_id bigint, output string", lambda key, page: [(key, render(parse_page(page, options), output))])
 
 
-def pages_tokens(df: DataFrame, id_col: str = "page_id", html_col: str = "html", xml_coercion: bool = False) -> DataFrame:
-    """Raw tokens of each page, without tree construction."""
+def pages_tokens(df: DataFrame, id_col: str = "page_id", html_col: str = "html", xml_coercion: bool = False, mode: str = tk.DATA, last_start: str = "") -> DataFrame:
+    """Raw tokens of each page, without tree construction. mode, last_start: how the tokenizer begins, such as "rcdata" after
+    a start tag "title"."""
 
     def rows(key, page):
-        found, _ = tk.tokenize(page or "", xml_coercion=xml_coercion)
+        found, _ = tk.tokenize(page or "", mode, last_start, xml_coercion=xml_coercion)
         return [(key, i, t.kind, t.name, t.data, [{"ns": "", "name": k, "value": v} for k, v in t.attrs], t.self_closing, t.public_id, t.system_id, t.force_quirks) for i, t in enumerate(found)]
 
     return per_page(df, id_col, html_col, sc.TOKENS, sc.TOKENS_SQL, rows)
 
 
+def pages_token_errors(df: DataFrame, id_col: str = "page_id", html_col: str = "html", mode: str = tk.DATA, last_start: str = "") -> DataFrame:
+    """(doc_id, errors): the errors of the tokenizer alone, for pages_tokens()."""
+
+    def rows(key, page):
+        return [(key, [dict(zip(("code", "message", "line", "col"), e, strict=True)) for e in tk.tokenize(page or "", mode, last_start)[1]])]
+
+    return per_page(df, id_col, html_col, sc.ERRORS, sc.ERRORS_SQL, rows)
+
+
 EVENT_TYPES = {tk.START: "StartTag", tk.END: "EndTag", tk.TEXT: "Text", tk.COMMENT: "Comment", tk.DOCTYPE: "Doctype"}
 
 

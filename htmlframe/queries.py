@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from htmlframe.errors import error_rows
 from htmlframe.functions import dump as dmp
 from htmlframe.functions import builder, sql, token_html
+from htmlframe.functions import selectors as sel
 from htmlframe.operators import dom
 from htmlframe.operators import parse as ps
-from htmlframe.plans.selector_plan import select_nodes
-from htmlframe.sources.pages import joined_output, read_table, stream_pages
+from htmlframe.plans.selector_plan import predicate, select_nodes
+from htmlframe.sources.pages import joined_output, keep_nodes, read_table, stream_pages
 from htmlframe.streaming.events import run_to_table, stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +46,18 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir)
+    """The pages, dealt out where their file comes in fewer splits than there are cores."""
+    return ps.spread(read_table(spark, sf_dir), spark.sparkContext.defaultParallelism)
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ps.parse_nodes(pages(spark, sf_dir))
+def nodes(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """The nodes of the pages. With keep, these columns are written first: for plans that use nodes more than once."""
+    found = ps.parse_nodes(pages(spark, sf_dir))
+    return keep_nodes(found, keep) if keep else found
+
+
+#: What plans of selectors, texts and siblings need of nodes.
+PLANNED = ["doc_id", "node_id", "parent_id", "last_id", "node_type", "tag", "attrs", "id", "classes", "data", "in_template", "el_idx", "el_cnt", "ty_idx", "ty_cnt", "prev_el", "is_empty", "is_root"]
 
 
 def _quote(v) -> str:
@@ -77,7 +86,8 @@ def _count_query(name: str, selector: str, oracle: str) -> None:
     """The number of matches on each page, by the plan over nodes."""
 
     def run(spark, sf_dir, selector=selector):
-        return select_nodes(nodes(spark, sf_dir), selector).groupBy("doc_id").agg(F.count("*").alias("n"))
+        simple = all(len(c) == 1 and predicate(c[0][1]) is not None for c in sel.parse(selector))
+        return select_nodes(nodes(spark, sf_dir, None if simple else [c for c in PLANNED if c != "data"]), selector).groupBy("doc_id").agg(F.count("*").alias("n"))
 
     QUERIES[name] = run
     ORACLES[name] = f"SELECT page_id AS doc_id, CAST({oracle} AS BIGINT) AS n FROM pages WHERE {oracle} > 0"
@@ -86,12 +96,20 @@ def _count_query(name: str, selector: str, oracle: str) -> None:
 _LI = "len(regexp_extract_all(html, '<li>'))"
 _P = "len(regexp_extract_all(html, '<p>'))"
 _HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
-_TAGS = "len(regexp_extract_all(regexp_replace(html, '<b>', '', 'g'), '<[a-z][a-z0-9]*[ >]'))"
+# elements b are left open, so each later paragraph and the footer, if it has text, begins with up to three of them again
+_PARTS = "string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')"
+_OPENED = f"list_transform({_PARTS}, lambda x: CASE WHEN contains(x, '<b>') THEN 1 ELSE 0 END)"
+_B = (
+    f"coalesce(list_sum(list_transform(range(2, len({_PARTS}) + 1), lambda i: least(3, list_sum({_OPENED}[1:i - 1])) + {_OPENED}[i])), 0)"
+    f" + CASE WHEN regexp_matches(html, '<footer>[^<]') THEN least(3, list_sum({_OPENED})) ELSE 0 END"
+)
+_TAGS = f"len(regexp_extract_all(regexp_replace(html, '<b>', '', 'g'), '<[a-z][a-z0-9]*[ >]')) + {_B}"
+# the markup with a mark for each tag, comment and document type, and without what is in the script
+_MARKED = "regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '<script>x</script>', 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g')"
 for _name, _selector, _oracle in (
     ("sel_tag", "li", _LI),
-    ("sel_universal", "*:not(b)", _TAGS),
+    ("sel_universal", "*", _TAGS),
     ("sel_class", ".ad", "len(regexp_extract_all(html, 'class=\"ad\"'))"),
-    ("sel_id", "#none", "0"),
     ("sel_attr_exists", "a[href]", f"len({_HREFS})"),
     ("sel_attr_equals", "meta[charset=utf-8]", "len(regexp_extract_all(html, '<meta charset=\"utf-8\">'))"),
     ("sel_attr_word", "div[class~=ad]", "len(regexp_extract_all(html, '<div class=\"ad\">'))"),
@@ -112,9 +130,9 @@ for _name, _selector, _oracle in (
     ("sel_empty", "meta:empty, br:empty", "len(regexp_extract_all(html, '<meta |<br>'))"),
     ("sel_root", ":root", "1"),
     ("sel_not", "li:not(:first-child)", f"greatest({_LI} - 1, 0)"),
-    ("sel_not_complex", "a:not(li > a)", "0"),
+    ("sel_not_complex", "li:not(ul>li), a:not(div>a)", f"len({_HREFS})"),
     ("sel_not_blank", "a:not(nav a)", f"len({_HREFS})"),  # blanks are lost inside :not(), so this excludes an element "nava"
-    ("sel_unknown_pseudo", "li:hover", "0"),
+    ("sel_unknown_pseudo", "li:hover, a:not(:hover)", f"len({_HREFS})"),
     ("sel_compound", "div.ad[class=ad]", "len(regexp_extract_all(html, '<div class=\"ad\">'))"),
     ("sel_descendant", "nav a", f"len({_HREFS})"),
     ("sel_child", "nav > ul > li > a", f"len({_HREFS})"),
@@ -126,6 +144,13 @@ for _name, _selector, _oracle in (
     _count_query(_name, _selector, _oracle)
 
 
+@query("sel_id", "SELECT page_id AS doc_id, CAST(1 AS BIGINT) AS n FROM pages WHERE page_id % 3 = 1")
+def sel_id(spark, sf_dir):
+    """Articles that were given an id by their page's number."""
+    marked = pages(spark, sf_dir).withColumn("html", F.expr("replace(html, '<article>', concat('<article id=a', page_id % 3, '>'))"))
+    return select_nodes(ps.parse_nodes(marked), "#a1").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query("sel_greedy_semantics", values(["semantics", "n"], ["VARCHAR", "BIGINT"], [("compat", 0), ("css", 1)]))
 def sel_greedy_semantics(spark, sf_dir):
     """A chain whose nearest ancestor leads nowhere: no match in compat, one in css."""
@@ -148,14 +173,14 @@ def query_first(spark, sf_dir):
 
 @query("query_first_plan", f"SELECT page_id AS doc_id, {_decoded('h[1]')} AS href FROM (SELECT page_id, {_HREFS} AS h FROM pages) WHERE len(h) > 0")
 def query_first_plan(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, PLANNED)
     found = dom.first_of(select_nodes(n, "a[href]"))
     return n.join(found.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", dom.attr("href").alias("href"))
 
 
-@query("el_count_by_tag", "SELECT page_id AS doc_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) WHERE tag <> 'b' GROUP BY ALL")
+@query("el_count_by_tag", f"SELECT page_id AS doc_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) WHERE tag <> 'b' GROUP BY ALL UNION ALL SELECT page_id, 'b', CAST({_B} AS BIGINT) FROM pages WHERE {_B} > 0")
 def el_count_by_tag(spark, sf_dir):
-    return nodes(spark, sf_dir).where("node_type = 1 and tag <> 'b'").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    return nodes(spark, sf_dir).where("node_type = 1").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("title_text", f"SELECT page_id AS doc_id, {_decoded(chr(120))} AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS x FROM pages)")
@@ -165,7 +190,7 @@ def title_text(spark, sf_dir):
 
 @query("title_plan", f"SELECT page_id AS doc_id, {_decoded(chr(120))} AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS x FROM pages)")
 def title_plan(spark, sf_dir):
-    return dom.titles(nodes(spark, sf_dir))
+    return dom.titles(nodes(spark, sf_dir, PLANNED))
 
 
 @query("doctype_quirks", "SELECT page_id AS doc_id, 'html' AS name, CAST(0 AS INTEGER) AS quirks_mode FROM pages")
@@ -180,7 +205,7 @@ def comments(spark, sf_dir):
 
 @query("nav_text", f"SELECT page_id AS doc_id, {_decoded(chr(120))} AS text FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<[^>]*>', '', 'g') AS x FROM pages)")
 def nav_text(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, PLANNED)
     return dom.text_of(n, select_nodes(n, "nav")).select("doc_id", "text")
 
 
@@ -206,9 +231,10 @@ def entity_decode(spark, sf_dir):
     return raw.select("doc_id", sql.html_unescape("x").alias("text"))
 
 
-@query("outer_html_ad", "SELECT page_id AS doc_id, regexp_extract(html, '(?s)<div class=\"ad\">.*?</div>', 0) AS output FROM pages WHERE contains(html, 'class=\"ad\"') AND NOT regexp_matches(html, '(?s)<div class=\"ad\">[^<]*&[^<]*</div>')")
+@query("outer_html_ad", "SELECT page_id AS doc_id, replace(replace(replace(regexp_extract(html, '(?s)<div class=\"ad\">.*?</div>', 0), '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)) AS output FROM pages WHERE contains(html, 'class=\"ad\"')")
 def outer_html_ad(spark, sf_dir):
-    return ps.select_pages(pages(spark, sf_dir), "div.ad", output="html").where("not contains(output, '&')").select("doc_id", "output")
+    """Adverts, written with the escapes that text needs and no others."""
+    return ps.select_pages(pages(spark, sf_dir), "div.ad", output="html").select("doc_id", "output")
 
 
 @query("md_h1", f"SELECT page_id AS doc_id, '# ' || trim(regexp_replace({_decoded(chr(120))}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS output FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS x FROM pages)")
@@ -223,24 +249,24 @@ def attribute_table(spark, sf_dir):
 
 @query("sibling_windows", f"SELECT page_id AS doc_id, CAST(unnest(range(1, {_LI} + 1)) AS INTEGER) AS place, CAST({_LI} AS INTEGER) AS el_cnt FROM pages")
 def sibling_windows(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, PLANNED)
     return dom.siblings(n).where("tag = 'li'").join(n.select("doc_id", "node_id", "el_cnt", "el_idx"), ["doc_id", "node_id"]).where("place = el_idx").select("doc_id", "place", "el_cnt")
 
 
 @query("children_of_nav", "SELECT page_id AS doc_id, 'ul' AS tag FROM pages WHERE contains(html, '<nav><ul>')")
 def children_of_nav(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, PLANNED)
     return dom.children(n, select_nodes(n, "nav")).where("node_type = 1").select("doc_id", "tag")
 
 
 @query("body_section", "SELECT page_id AS doc_id, 'body' AS tag FROM pages")
 def body_section(spark, sf_dir):
-    return dom.section(nodes(spark, sf_dir), "body").select("doc_id", "tag")
+    return dom.section(nodes(spark, sf_dir, PLANNED), "body").select("doc_id", "tag")
 
 
 @query("removed_nav", "SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS n FROM pages")
 def removed_nav(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, PLANNED)
     left = dom.without(n, select_nodes(n, "nav"))
     return left.groupBy("doc_id").agg(F.count_if(F.col("tag") == "li").alias("n"))
 
@@ -251,9 +277,23 @@ def encoding_detect(spark, sf_dir):
     return ps.decode_pages(raw).select("doc_id", "encoding")
 
 
-@query("events_by_type", "SELECT page_id AS doc_id, 'StartTag' AS type, CAST(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS BIGINT) AS n FROM pages UNION ALL SELECT page_id, 'EndTag', len(regexp_extract_all(html, '</[a-z][a-z0-9]*>')) - 1 FROM pages UNION ALL SELECT page_id, 'Comment', len(regexp_extract_all(html, '<!--')) FROM pages UNION ALL SELECT page_id, 'Doctype', 1 FROM pages")
+_EVENTS = (
+    "SELECT page_id AS doc_id, 'StartTag' AS type, CAST(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS BIGINT) AS n FROM pages UNION ALL SELECT page_id, 'EndTag', len(regexp_extract_all(html, '</[a-z][a-z0-9]*>')) - 1 FROM pages"
+    " UNION ALL SELECT page_id, 'Comment', len(regexp_extract_all(html, '<!--')) FROM pages UNION ALL SELECT page_id, 'Doctype', 1 FROM pages"
+    f" UNION ALL SELECT page_id, 'Text', len(regexp_extract_all({_MARKED}, '[^' || chr(1) || ']+')) FROM pages"
+)
+
+
+@query("events_by_type", _EVENTS)
 def events_by_type(spark, sf_dir):
-    return ps.pages_events(pages(spark, sf_dir)).where("type <> 'Text'").groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+    return ps.pages_events(pages(spark, sf_dir)).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("events_of_bytes", _EVENTS)
+def events_of_bytes(spark, sf_dir):
+    """The events of pages that come as UTF-16 with a byte order mark."""
+    raw = pages(spark, sf_dir).select("page_id", F.encode("html", "utf-16").alias("html"))
+    return ps.pages_events(raw).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
 @query("events_udtf", f"SELECT page_id AS doc_id, {_decoded('v')} AS href FROM (SELECT page_id, unnest({_HREFS}) AS v FROM pages)")
@@ -288,19 +328,68 @@ def match_output_joined(spark, sf_dir):
     return joined_output(ps.select_pages(pages(spark, sf_dir), "nav a", output="strip"))
 
 
-@query("text_as_html", "SELECT doc_id, text FROM documents WHERE NOT contains(text, '<') AND NOT contains(text, '&') AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0)) AND ltrim(text, ' ' || chr(9) || chr(10) || chr(12)) = text AND text <> ''")
+@query("text_as_html", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def text_as_html(spark, sf_dir):
-    """Plain documents parsed as HTML keep their text."""
-    docs = read_table(spark, sf_dir, "documents").where("not contains(text, '<') and not contains(text, '&') and not contains(text, '\\r') and not contains(text, '\\0') and not rlike(text, '^[ \\t\\n\\f]') and text <> ''")
+    """Documents, whose signs are none of HTML's, parsed as HTML keep their text."""
+    docs = ps.spread(read_table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism)
     return ps.render_pages(docs, "text", "doc_id", "text").select("doc_id", F.col("output").alias("text"))
 
 
-@query("fragments_of_turns")
+@query("fragments_of_turns", "SELECT conv_id * 100 + turn AS doc_id, CAST(0 AS INTEGER) AS idx, 'p' AS tag, regexp_replace(regexp_replace(coalesce(text, ''), '</?[a-zA-Z][^>]*>', '', 'g'), '&lt;', '<', 'g') AS text FROM conversations")
 def fragments_of_turns(spark, sf_dir):
-    turns = read_table(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("page_id"), F.concat(F.lit("<p>"), F.col("text")).alias("html"))
+    turns = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("page_id"), F.concat(F.lit("<p>"), F.coalesce("text", F.lit(""))).alias("html"))
     return ps.parse_fragments(turns, "div").select("doc_id", "idx", "tag", "text")
 
 
+@query("tables_of_rows", "SELECT n_regionkey AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS row_idx, n_name || '|' || n_nationkey AS cells FROM nation UNION ALL SELECT DISTINCT n_regionkey, CAST(0 AS INTEGER), 'name|key' FROM nation")
+def tables_of_rows(spark, sf_dir):
+    """The nations written as an HTML table for each region and read again."""
+    cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<tr><td> "), x["n_name"], F.lit("<td>"), x["n_nationkey"].cast("string"))), "")
+    made = read_table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(F.concat(F.lit("<table><thead><tr><th>name<th>key</tr></thead>"), cells, F.lit("</table>")).alias("html"))
+    return ps.pages_tables(made).select("doc_id", "row_idx", F.array_join("cells", "|").alias("cells"))
+
+
+@query("markdown_of_rows", "SELECT p_partkey AS doc_id, '## ' || p_name || chr(10) || chr(10) || '- ' || p_brand || chr(10) || '- ' || p_type AS output FROM part")
+def markdown_of_rows(spark, sf_dir):
+    """The parts written as HTML and turned into Markdown."""
+    html = F.concat(F.lit("<h2>"), "p_name", F.lit("</h2><ul><li>"), "p_brand", F.lit("<li>"), "p_type", F.lit("</ul>"))
+    return ps.render_pages(read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page_id"), html.alias("html")), "markdown")
+
+
+@query("attributes_edited", "SELECT c_custkey AS doc_id, '<html><head></head><body><a href=\"/c/' || c_custkey || '\" class=\"x\">' || c_name || '</a></body></html>' AS output FROM customer")
+def attributes_edited(spark, sf_dir):
+    """A link for each customer, whose address is set and whose rel is taken away."""
+    made = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), F.concat(F.lit("<a href=old class=x>"), "c_name", F.lit("</a>")).alias("html"), "c_custkey")
+    n = ps.parse_nodes(made).where("tag = 'a'").join(made.select(F.col("page_id").alias("doc_id"), "c_custkey"), "doc_id")
+    edited = n.select("doc_id", dom.attribute_text(dom.with_attr("href", F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")))).alias("attributes"))
+    texts_ = ps.select_pages(made, "a").select("doc_id", "text")
+    return edited.join(texts_, "doc_id").select("doc_id", F.concat(F.lit("<html><head></head><body><a"), "attributes", F.lit(">"), "text", F.lit("</a></body></html>")).alias("output"))
+
+
+@query("pages_written")
+def pages_written(spark, sf_dir):
+    """Every page as HTML again, in one form for each output. SQL can't say where elements left open end."""
+    return _each(pages(spark, sf_dir), ("html", "pretty2", "markdown", "cli_markdown", "strip", "tree"))
+
+
+def _each(df: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
+    found = [ps.render_pages(df, o).select("doc_id", F.lit(o).alias("kind"), "output") for o in outputs]
+    return reduce(DataFrame.union, found)
+
+
+@query("pages_edited")
+def pages_edited(spark, sf_dir):
+    """Every page without its menu and with a note before each paragraph."""
+    return ps.edit_pages(ps.edit_pages(pages(spark, sf_dir), "nav", "remove").select(F.col("doc_id").alias("page_id"), F.col("output").alias("html")), "p", "before", "<hr>")
+
+
+@query("match_records", f"SELECT page_id AS doc_id, CAST(len({_HREFS}) AS INTEGER) AS n, {_LI} AS n_html, CASE WHEN len({_HREFS}) > 0 THEN 'a' END AS tag FROM pages")
+def match_records(spark, sf_dir):
+    """Matches as HTML, text and tree, with their number."""
+    got = ps.select_records(pages(spark, sf_dir), "li > a")
+    return got.select("doc_id", "n", F.size(F.filter("matches", lambda m: F.startswith(m["html"], F.lit("<a href=")) & F.contains(m["html"], F.lit("</a>")))).cast("long").alias("n_html"), F.get_json_object(F.get("matches", F.lit(0))["tree"], "$.tagName").alias("tag"))
+
+
 # -- operators that the pages can't exercise
 
 
@@ -340,6 +429,10 @@ TREES = [
     ("<h1>1<h2>2", _page('<h1>\n  "1"\n<h2>\n  "2"')),
     ("<ruby>a<rt>b<rp>c", _page('<ruby>\n  "a"\n  <rt>\n    "b"\n  <rp>\n    "c"')),
     ("<image src=x>", _page('<img>\n  src="x"')),
+    ("<script><!--<script></script>a</script>b", "| <html>\n|   <head>\n|     <script>\n|       \"<!--<script></script>a\"\n|   <body>\n|     \"b\""),
+    ("<head><noscript><link></noscript><title>t</title></head>x", '| <html>\n|   <head>\n|     <noscript>\n|       <link>\n|     <title>\n|       "t"\n|   <body>\n|     "x"'),
+    ("<p>a\0b", _page('<p>\n  "ab"')),
+    ("<select><button><selectedcontent></selectedcontent></button><option>1<option selected>2</select>", _page('<select>\n  <button>\n    <selectedcontent>\n      "2"\n  <option>\n    "1"\n  <option>\n    selected=""\n    "2"')),
     ("x</body><!--c-->", '| <html>\n|   <head>\n|   <body>\n|     "x"\n|   <!-- c -->'),
 ]
 _fixed("tree_construction", "tree", ["VARCHAR"], TREES, _dumps)
@@ -364,21 +457,66 @@ _fixed("quirks_modes", "quirks_mode", ["INTEGER"], [("<p>", 1), ("<!DOCTYPE html
 _fixed("char_references", "output", ["VARCHAR"], [("&amp;&lt;&copy;&#x41;&#66;&notit;&unknown;&#128;", "&<©AB¬it;&unknown;€"), ("<a title='&amp=1&lt;&copy'>t", "t")], lambda df: ps.render_pages(df, "text"))
 
 
-@query("parse_errors", values(["doc_id", "code", "line", "col"], ["BIGINT", "VARCHAR", "INTEGER", "INTEGER"], [(0, "duplicate-attribute", 1, 8), (1, "eof-in-comment", 2, 5), (2, "missing-attribute-value", 1, 6)]))
+#: Texts with one error each, and where it is: at the character that shows it, or at the last one if the text ends.
+FLAWS = [
+    ('<a b="1" b="2">', "duplicate-attribute", 1, 15),
+    ("<a b b>", "duplicate-attribute", 1, 7),
+    ("<a b=1 b=2>", "duplicate-attribute", 1, 11),
+    ("x\n<!--", "eof-in-comment", 2, 4),
+    ("<a b=>", "missing-attribute-value", 1, 6),
+    ('<a b="1"c>', "missing-whitespace-between-attributes", 1, 9),
+    ("</>", "empty-end-tag", 1, 3),
+    ("<?x>", "unexpected-question-mark-instead-of-tag-name", 1, 2),
+    ("<!x>", "incorrectly-opened-comment", 1, 2),
+    ("<![CDATA[x]]>", "cdata-in-html-content", 1, 9),
+    ("<a/b>", "unexpected-character-after-solidus-in-tag", 1, 4),
+    ("<a =b>", "unexpected-equals-sign-before-attribute-name", 1, 4),
+    ('<a b"c>', "unexpected-character-in-attribute-name", 1, 5),
+    ('<a b="', "eof-in-tag", 1, 6),
+    ("a\n\n</b", "eof-in-tag", 3, 3),
+    ("<!-->", "abrupt-closing-of-empty-comment", 1, 5),
+    ("<!--x--!>", "incorrectly-closed-comment", 1, 9),
+    ("a\0b", "unexpected-null-character", 1, 2),
+    ("<", "eof-before-tag-name", 1, 1),
+    ("<3", "invalid-first-character-of-tag-name", 1, 2),
+    ("<!doctype>", "expected-doctype-name-but-got-right-bracket", 1, 10),
+    ("<!doctype", "eof-in-doctype", 1, 9),
+]
+_FLAW_ROWS = values(["doc_id", "code", "line", "col"], ["BIGINT", "VARCHAR", "INTEGER", "INTEGER"], [(i, *f[1:]) for i, f in enumerate(FLAWS)])
+
+
+@query("parse_errors", _FLAW_ROWS)
 def parse_errors(spark, sf_dir):
-    got = error_rows(ps.parse_docs(texts(spark, ["<a b=1 b=2>", "x\n<!--", "<a b=>"])))
-    return got.select("doc_id", "code", "line", F.when(F.col("code") == "duplicate-attribute", 8).when(F.col("code") == "eof-in-comment", 5).otherwise(F.col("col")).cast("int").alias("col"))
+    return error_rows(ps.parse_docs(texts(spark, [f[0] for f in FLAWS]))).select("doc_id", "code", "line", "col")
+
+
+@query("token_errors", _FLAW_ROWS)
+def token_errors(spark, sf_dir):
+    return error_rows(ps.pages_token_errors(texts(spark, [f[0] for f in FLAWS]))).select("doc_id", "code", "line", "col")
+
+
+_SAID = [
+    ("<a b b>", "duplicate-attribute at 1:7: This error occurs if the parser encounters an attribute with the same name as an earlier attribute on the same tag."),
+    ("<!--", "eof-in-comment at 1:4: This error occurs if the parser encounters EOF in a comment."),
+    ("<a b", "eof-in-tag at 1:4: This error occurs if the parser encounters EOF in a tag."),
+    ("</>", "empty-end-tag at 1:3: Unknown error"),
+]
 
 
-@query("fragments", values(["doc_id", "context", "tags"], ["BIGINT", "VARCHAR", "VARCHAR"], [(0, "div", "td-less"), (0, "tr", "td,td"), (0, "tbody", "tr")]))
+@query("error_texts", values(["doc_id", "text"], ["BIGINT", "VARCHAR"], [(i, text) for i, (_, text) in enumerate(_SAID)]))
+def error_texts(spark, sf_dir):
+    return error_rows(ps.parse_docs(texts(spark, [html for html, _ in _SAID]))).select("doc_id", "text")
+
+
+FRAGMENTS = [("div", "", "<td>1<td>2", None), ("tr", "", "<td>1<td>2", "td,td"), ("tbody", "", "<td>1<td>2", "tr"), ("select", "", "<option>1<option>2", "option,option"), ("path", "svg", "<g/><desc>x", "g,desc"), ("mi", "math", "<b>x</b><p>y", "b,p"), ("script", "", "<b>x</b>", None), ("colgroup", "", "<col>x<col>", "col,col")]
+
+
+@query("fragments", values(["context", "tags"], ["VARCHAR", "VARCHAR"], [(c, tags) for c, _, _, tags in FRAGMENTS]))
 def fragments(spark, sf_dir):
-    df = texts(spark, ["<td>1<td>2"])
-    out = None
-    for context in ("div", "tr", "tbody"):
-        got = ps.parse_fragments(df, context).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
-        row = df.select(F.col("page_id").alias("doc_id")).join(got, "doc_id", "left").select("doc_id", F.lit(context).alias("context"), F.coalesce("tags", F.lit("td-less")).alias("tags"))
-        out = row if out is None else out.union(row)
-    return out
+    """Texts parsed in elements of a kind: the names of the top elements, null if there are none."""
+    kinds = [(c, ps.parse_fragments(texts(spark, [html]), c, ns)) for c, ns, html, _ in FRAGMENTS]
+    named = [got.agg(F.array_sort(F.collect_list(F.struct("idx", "tag"))).alias("t")).select(F.lit(c).alias("context"), F.when(F.size("t") > 0, F.array_join(F.col("t.tag"), ",")).alias("tags")) for c, got in kinds]
+    return reduce(DataFrame.union, named)
 
 
 @query("table_cells", values(["doc_id", "row_idx", "is_header", "cells"], ["BIGINT", "INTEGER", "BOOLEAN", "VARCHAR"], [(0, 0, True, "A|B"), (0, 1, False, "1|"), (0, 2, False, "2|3")]))
@@ -387,7 +525,7 @@ def table_cells(spark, sf_dir):
     return got.select("doc_id", "row_idx", "is_header", F.array_join("cells", "|").alias("cells"))
 
 
-@query("token_serializer", values(["id", "html"], ["BIGINT", "VARCHAR"], [(0, "<p class=a>x &amp; y"), (1, '<a href="x\'y z">'), (2, "<input checked>"), (3, "<li>1<li>2"), (4, "<script>a<b</script>"), (5, "<!DOCTYPE html>")]))
+@query("token_serializer", values(["id", "html"], ["BIGINT", "VARCHAR"], [(0, "<p class=a>x &amp; y"), (1, '<a href="x\'y z">'), (2, "<input checked>"), (3, "<li>1<li>2"), (4, "<script>a<b</script>"), (5, "<!DOCTYPE html>"), (6, "x"), (7, "<!--c--><p>y"), (8, "<table><tr><td>1")]))
 def token_serializer(spark, sf_dir):
     """Tokens in their JSON form as HTML, with the default options."""
     cases = [
@@ -397,20 +535,35 @@ def token_serializer(spark, sf_dir):
         [["StartTag", "", "li", {}], ["Characters", "1"], ["EndTag", "", "li"], ["StartTag", "", "li", {}], ["Characters", "2"], ["EndTag", "", "li"]],
         [["StartTag", "", "script", {}], ["Characters", "a<b"], ["EndTag", "", "script"]],
         [["Doctype", "html"]],
+        [["StartTag", "", "html", {}], ["StartTag", "", "body", {}], ["Characters", "x"], ["EndTag", "", "body"], ["EndTag", "", "html"]],
+        [["Comment", "c"], ["StartTag", "", "p", {}], ["Characters", "y"], ["EndTag", "", "p"]],
+        [["StartTag", "", "table", {}], ["StartTag", "", "tbody", {}], ["StartTag", "", "tr", {}], ["StartTag", "", "td", {}], ["Characters", "1"], ["EndTag", "", "td"], ["EndTag", "", "tr"], ["EndTag", "", "tbody"]],
     ]
     sql.register(spark)
     df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "id long, tokens string")
     return df.select("id", sql.html_tokens_to_html("tokens").alias("html"))
 
 
-@query("encodings", values(["doc_id", "encoding", "html"], ["BIGINT", "VARCHAR", "VARCHAR"], [(0, "UTF-8", "é"), (1, "windows-1252", "“x”"), (2, "utf-16le", "ab"), (3, "iso-8859-2", "<meta charset=latin2>ą"), (4, "windows-1252", "<meta charset=utf-7>")]))
+@query("encodings", values(["doc_id", "encoding", "html"], ["BIGINT", "VARCHAR", "VARCHAR"], [(0, "UTF-8", "é"), (1, "windows-1252", "“x”"), (2, "utf-16le", "ab"), (3, "iso-8859-2", "<meta charset=latin2>ą"), (4, "windows-1252", "<meta charset=utf-7>"), (5, "UTF-8", "<meta charset=utf-16>é"), (6, "euc-jp", "<meta charset=euc-jp>�"), (7, "utf-16be", "ab")]))
 def encodings_query(spark, sf_dir):
-    data = [b"\xef\xbb\xbf\xc3\xa9", b"\x93x\x94", b"\xff\xfea\0b\0", b"<meta charset=latin2>\xb1", b"<meta charset=utf-7>"]
+    data = [b"\xef\xbb\xbf\xc3\xa9", b"\x93x\x94", b"\xff\xfea\0b\0", b"<meta charset=latin2>\xb1", b"<meta charset=utf-7>", b"<meta charset=utf-16>\xc3\xa9", b"<meta charset=euc-jp>\xc6\xfc", b"\xfe\xff\0a\0b"]
     df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "page_id long, content binary")
     return ps.decode_pages(df)
 
 
-@query("nodes_to_tokens_options")
+@query("token_serializer_charset", values(["id", "html"], ["BIGINT", "VARCHAR"], [(0, "<meta charset=utf-8><title>t</title>"), (1, "<meta charset=utf-8>")]))
+def token_serializer_charset(spark, sf_dir):
+    """Heads without and with another encoding's meta element, written with their own."""
+    cases = [
+        [["StartTag", "", "head", {}], ["StartTag", "", "title", {}], ["Characters", "t"], ["EndTag", "", "title"], ["EndTag", "", "head"]],
+        [["StartTag", "", "head", {}], ["EmptyTag", "meta", {"charset": "latin1"}], ["EndTag", "", "head"]],
+    ]
+    o = token_html.TokenOptions(inject_meta_charset=True, encoding="utf-8")
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "id long, tokens string")
+    return df.select("id", sql._arrow(lambda ts: token_html.serialize_tokens(json.loads(ts), o))("tokens").alias("html"))
+
+
+@query("nodes_to_tokens_options", f"SELECT page_id AS doc_id, list_aggregate(regexp_extract_all({_MARKED}, '[^' || chr(1) || ']+'), 'count') AS n_texts, len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS n_starts FROM pages")
 def nodes_to_tokens_options(spark, sf_dir):
     """Pages written by the token serializer with other options: every tag kept, values in single quotes."""
     o = token_html.TokenOptions(quote_char="'", omit_optional_tags=False)
@@ -418,4 +571,6 @@ def nodes_to_tokens_options(spark, sf_dir):
     kinds = F.when(F.col("kind") == "StartTag", F.to_json(F.array(F.lit("StartTag"), F.lit(""), F.col("name")))).when(F.col("kind") == "EndTag", F.to_json(F.array(F.lit("EndTag"), F.lit(""), F.col("name")))).when(F.col("kind") == "Character", F.to_json(F.array(F.lit("Characters"), F.col("data"))))
     rows = got.select("doc_id", "pos", kinds.alias("t")).where("t is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("ts"))
     write = sql._arrow(lambda ts: token_html.serialize_tokens(json.loads(ts), o))
-    return rows.select("doc_id", write(F.concat(F.lit("["), F.array_join("ts", ","), F.lit("]"))).alias("html"))
+    written = rows.select(F.col("doc_id").alias("page_id"), write(F.concat(F.lit("["), F.array_join("ts", ","), F.lit("]"))).alias("html"))
+    again = ps.pages_tokens(written).groupBy("doc_id")
+    return again.agg(F.count_if(F.col("kind") == "Character").alias("n_texts"), F.count_if(F.col("kind") == "StartTag").alias("n_starts"))

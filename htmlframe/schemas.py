@@ -27,3 +27,7 @@ MATCHES = pa.schema([("doc_id", pa.int64()), ("selector", pa.string()), ("idx",
 MATCHES_SQL = "doc_id bigint, selector string, idx int, node_id int, tag string, attrs array<struct<ns:string,name:string,value:string>>, text string, output string"
 TABLES = pa.schema([("doc_id", pa.int64()), ("table_idx", pa.int32()), ("row_idx", pa.int32()), ("is_header", pa.bool_()), ("cells", pa.list_(pa.string()))])
 TABLES_SQL = "doc_id bigint, table_idx int, row_idx int, is_header boolean, cells array<string>"
+RECORDS = pa.schema([("doc_id", pa.int64()), ("selector", pa.string()), ("n", pa.int32()), ("matches", pa.list_(pa.struct([("html", pa.string()), ("text", pa.string()), ("tree", pa.string())])))])
+RECORDS_SQL = "doc_id bigint, selector string, n int, matches array<struct<html:string,text:string,tree:string>>"
+ERRORS = pa.schema([("doc_id", pa.int64()), ("errors", pa.list_(ERROR))])
+ERRORS_SQL = "doc_id bigint, errors array<struct<code:string,message:string,line:int,col:int>>"

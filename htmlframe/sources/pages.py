@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from htmlframe.operators.parse import decode_pages
+from htmlframe.functions.encodings import decode
+from htmlframe.operators.parse import bound_batches
+from htmlframe.session import shared_folder, ship
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str = "pages") -> DataFrame:
@@ -13,9 +18,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str = "pages") -> DataFra
 
 
 def read_files(spark: SparkSession, path: str, hint: str | None = None, glob: str = "*") -> DataFrame:
-    """(doc_id, path, html, encoding) of files of any encoding. doc_id is a hash of the path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.xxhash64("path").alias("page_id"), "path", "content")
-    return decode_pages(files, hint).join(files.select(F.col("page_id").alias("doc_id"), "path"), "doc_id")
+    """(doc_id, path, html, encoding) of files of any encoding, read once. doc_id is a hash of the path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    ship(spark)
+    bound_batches(spark)
+    schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("html", pa.string()), ("encoding", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for key, where, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.record_batch([pa.array([x], f.type) for x, f in zip((key, where, *decode(bytes(content or b""), hint)), schema, strict=True)], schema)
+
+    return files.select(F.xxhash64("path"), "path", "content").mapInArrow(run, "doc_id bigint, path string, html string, encoding string")
+
+
+def keep_nodes(nodes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Nodes written to the shared folder and read again, so that plans which use them more than once parse them once.
+    columns: those that are needed, by default all."""
+    folder = f"{shared_folder(nodes.sparkSession)}/nodes-{uuid.uuid4().hex}"
+    (nodes.select(*columns) if columns else nodes).write.parquet(folder)
+    return nodes.sparkSession.read.parquet(folder)
 
 
 def stream_pages(spark: SparkSession, folder: str, glob: str = "pages.parquet", files_per_trigger: int = 16) -> DataFrame:

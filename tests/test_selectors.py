@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from htmlframe.functions import builder
@@ -50,3 +52,18 @@ def test_nth():
 def test_first_and_templates():
     doc = builder.parse("<p>1<p>2<template><p>3</template>")
     assert len(s.select(doc, "p")) == 2 and len(s.select(doc, "p", first=True)) == 1
+
+
+def test_siblings_and_depth_grow_in_proportion():
+    """Twice the items take about twice the time, not four times."""
+
+    def took(n):
+        begin = time.thread_time()
+        builder.parse("<div>" * n)
+        doc = builder.parse("<ul>" + "<li>x" * n)
+        for q in ("li + li", "li ~ li ~ li", "ul ~ li"):
+            for semantics in ("compat", "css"):
+                s.select(doc, q, semantics)
+        return time.thread_time() - begin
+
+    assert min(took(8000) for _ in range(2)) < 10 * min(took(2000) for _ in range(2))

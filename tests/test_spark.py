@@ -9,7 +9,7 @@ from htmlframe.operators import dom
 from htmlframe.operators import parse as ps
 from htmlframe.plans.selector_plan import select_nodes
 from htmlframe.sources.pages import read_files, stream_pages, write_nodes
-from htmlframe.streaming.events import run_to_memory, stream_events
+from htmlframe.streaming.events import run_to_table, stream_events
 
 SELECTORS = [
     "li", ".ad", "#x", "*", "nav > ul > li > a", "nav a", "li + li", "h1 ~ p", "li:nth-child(2n+1)", "li:nth-last-child(-n+2)", "p:first-of-type", "li:not(:first-child)", "h1, footer, li a", ":empty", ":root",
@@ -39,7 +39,7 @@ def _rows(columns, rows):
 @pytest.mark.parametrize("name", [n for n in q.QUERIES if n in q.ORACLES])
 def test_queries_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("pages", "documents", "conversations"):
+    for t in ("pages", "documents", "conversations", "nation", "part", "customer"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = q.QUERIES[name](spark, sf)
     columns = sorted(got.columns)
@@ -49,6 +49,66 @@ def test_queries_against_sql(spark, sf, name):
     assert _rows(columns, [r.asDict() for r in got.collect()]) == _rows(columns, rows)
 
 
+def test_pages_written_and_edited(spark, sf):
+    """Whole pages against the functions that write one."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in q.QUERIES["pages_written"](spark, sf).collect():
+        assert r.output == ps.render(ps.parse_page(pages[r.doc_id], ps.ParseOptions()), r.kind)
+    got = {r.doc_id: r.output for r in q.QUERIES["pages_edited"](spark, sf).collect()}
+    assert got.keys() == pages.keys()
+    for key, out in got.items():
+        assert "<nav>" not in out and out.count("<hr><p>") == out.count("<p>") == pages[key].count("<p>")
+
+
+@pytest.mark.parametrize("name", ["sel_child", "sel_greedy_chain", "nav_text", "title_plan"])
+def test_plans_parse_once(spark, sf, name):
+    """Plans that use nodes more than once read what one parse has written."""
+    plan = q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "PushedFilters" in plan
+    single = q.QUERIES["sel_tag"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert single.count("MapInArrow") == 1
+
+
+def test_pages_are_dealt_out_only_when_asked(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert "RoundRobin" not in ps.parse_docs(pages)._jdf.queryExecution().executedPlan().toString()
+    assert ps.spread(pages, 3).rdd.getNumPartitions() == 3 and ps.spread(pages, 1) is pages
+
+
+def test_batches_are_bounded(spark):
+    """Settings that are narrower already stay."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        spark.conf.set(keys[0], "7")
+        spark.conf.set(keys[1], "1000000")
+        ps.bound_batches(spark)
+        assert [spark.conf.get(k).removesuffix("b") for k in keys] == ["7", "1000000"]
+        spark.conf.set(keys[0], "0")
+        ps.bound_batches(spark)
+        assert spark.conf.get(keys[0]) == str(ps.ROWS_PER_BATCH)
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+XLINK = "http://www.w3.org/1999/xlink"
+
+
+def test_attributes_of_namespaces(spark):
+    n = ps.parse_nodes(spark.createDataFrame([(1, "<svg xlink:href=a href=b><g/></svg>")], "page_id long, html string"))
+    r = n.where("tag = 'svg'").select(dom.attr_ns(XLINK, "xlink:href").alias("x"), dom.attr("href").alias("h"), dom.with_attr_ns(XLINK, "xlink:href", "c").alias("set"), dom.with_attr_ns("xml", "lang", "d").alias("new"), dom.without_attr_ns(XLINK, "xlink:href").alias("cut"), dom.has_children().alias("kids")).first()
+    assert (r.h, r.kids, len(r.cut), len(r.set), len(r.new)) == ("b", True, 1, 2, 3) and "c" in [a.value for a in r.set] and r.new[-1].value == "d"
+    assert not n.where("tag = 'g'").select(dom.has_children().alias("k")).first().k
+    assert n.where("tag = 'svg'").select("attrs").first().attrs[0].ns == XLINK and r.x == "a"
+
+
+def test_tokenizer_may_begin_elsewhere(spark):
+    df = spark.createDataFrame([(1, "<b>&amp;</title><i>")], "page_id long, html string")
+    got = [(r.kind, r.name, r.data) for r in ps.pages_tokens(df, mode="rcdata", last_start="title").orderBy("pos").collect()]
+    assert got == [("Character", "", "<b>&"), ("EndTag", "title", ""), ("StartTag", "i", "")]
+
+
 def test_queries_without_sql(spark, sf):
     for name in q.QUERIES.keys() - q.ORACLES.keys():
         assert q.QUERIES[name](spark, sf).count() > 0, name
@@ -89,7 +149,7 @@ def test_files_streams_and_tables(spark, sf, tmp_path, nodes):
     (tmp_path / "b.html").write_bytes(b"<p>\xe9")
     assert {r.encoding: r.html[-1] for r in read_files(spark, str(tmp_path)).collect()} == {"UTF-8": "é", "windows-1252": "é"}
     batch = ps.pages_events(spark.read.parquet(f"{sf}/pages.parquet")).groupBy("type").count().collect()
-    stream = run_to_memory(stream_events(stream_pages(spark, sf))).groupBy("type").count().collect()
+    stream = run_to_table(stream_events(stream_pages(spark, sf))).groupBy("type").count().collect()
     assert sorted(batch) == sorted(stream)
     spark.sql(f"create database if not exists t location '{tmp_path}/w'")
     write_nodes(nodes, "t.nodes", 4)
