@@ -8,8 +8,10 @@ rises to the threshold after one that was empty; the next dive point is where th
 with weight right before a surge belong to it. The lines from each surge to its dive, those wholly of links too, are the
 main text; on a page with marked articles lines between them are not. If there is no surge, all lines with weight are.
 
-Null and empty pages and pages without main text give an empty string. Repeated rows give repeated rows; only the columns
-named are read.
+Null and empty pages and pages without main text give an empty string. Repeated rows give repeated rows, an empty table
+none; only the columns named are read. Every surge counts, so no span is chosen among others. Pages are read whole and once
+forward, so that time grows in proportion to their length, malformed or not: if a quote in a tag stays open to the end of
+the page, tags end at the next ">" from there on.
 """
 
 from __future__ import annotations
@@ -32,17 +34,19 @@ BOILER = frozenset("nav footer aside form menu dialog button select option input
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - frozenset("body html option select head title".split())
-# Words of class and id attributes that mark what isn't main text.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|foot|sidebar|side|rail|ads?|adsense|adverts?|advertis\w*|sponsor\w*|promo\w*|banner"
-    r"|cookies?|consent|gdpr|notices?|notification|alert|warning|popup|modal|overlay|newsletter|subscri\w*|signup|signin|login|register|search|share|sharing|social|related|recommend\w*"
-    r"|comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|responses|widget\w*|toolbar|pager|pagination|copyright|legal|disclaimer|skip|tags|byline|meta)(?=$|[\s_-])",
-    re.I,
-)
+LISTS = frozenset("ul ol dl menu select table tbody thead tfoot".split())
+# Elements that a start tag closes.
+SAME = {"li": ("li",), "option": ("option",), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
+# Words of class and id attributes that mark what isn't main text, anywhere and only outside a marked article.
+EVERYWHERE = r"nav\w*|menu\w*|breadcrumbs?|sidebar|ads?|adsense|adverts?|advertis\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|newsletter|subscri\w*|signup|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|respond|responses|toolbar|pager|pagination"
+OUTSIDE = r"header|masthead|topbar|footer|foot|side|rail|banner|notices?|notification|alert|modal|overlay|signin|login|register|copyright|widget\w*"
+MARKS = re.compile(rf"(?:^|[\s_-])(?:{EVERYWHERE}|{OUTSIDE})(?=$|[\s_-])", re.I)
+MARKS_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{EVERYWHERE})(?=$|[\s_-])", re.I)
 # Words of class and id attributes that say what a layout has or lacks, and the mark of a page's heading.
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]*", re.I)
 TOP = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead|banner)(?=$|[\s_-])", re.I)
-_TOKEN = re.compile(r"""<!--(?s:.*?)(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?/][^>]*>""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -58,7 +62,7 @@ def _is_boiler(name: str, attributes: str, in_article: bool) -> bool:
             value = LAYOUT.sub("", value)
             if name in HEADINGS:
                 value = TOP.sub("", value)
-        if key in ("class", "id") and name not in ("main",) and MARKS.search(value):
+        if key in ("class", "id") and name not in ("main",) and (MARKS_INSIDE if in_article else MARKS).search(value):
             if name != "article" or re.search("comment|repl|related|promo|sponsor|advert", value):
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -66,20 +70,43 @@ def _is_boiler(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class _Scanner:
+    """Where tags end, read forward once."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end_of_tag(self, at: int) -> int:
+        """Place of the ">" that ends a tag, -1 if there is none."""
+        page = self.page
+        if not self.quotes:
+            return page.find(">", at)
+        now = at
+        while m := _STOP.search(page, now):
+            if m.group() == ">":
+                return m.start()
+            now = page.find(m.group(), m.end()) + 1
+            if not now:
+                break
+        self.quotes = False
+        return page.find(">", at)
+
+
 def lines(page: str) -> list[tuple[str, int, int]]:
     """(text, weight, article) of each line that isn't boilerplate; article is 0 outside a marked one."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, int, bool]] = []  # name, boilerplate, article, article's own header
+    opened: dict[str, int] = {}  # elements of each name in the stack
     parts: list[str] = []
     in_links = articles = 0
-    link_depth = 0
     boiler, article, own_header = False, 0, False
+    scanner = _Scanner(page)
 
     def flush() -> None:
         nonlocal in_links
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and not boiler and (not own_header or any(s[0] in HEADINGS for s in stack)):
+        if text and not boiler and (not own_header or any(opened.get(h) for h in HEADINGS)):
             out.append((text, max(0, len(text) - in_links), article))
         in_links = 0
 
@@ -88,12 +115,13 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if "&" in text:
             text = html.unescape(text)
         parts.append(text)
-        if link_depth:
+        if opened.get("a"):
             in_links += len(text.strip())
 
     def close(at: int) -> None:
-        nonlocal boiler, article, own_header, link_depth
-        link_depth -= sum(s[0] == "a" for s in stack[at:])
+        nonlocal boiler, article, own_header
+        for s in stack[at:]:
+            opened[s[0]] -= 1
         del stack[at:]
         _, boiler, article, own_header = stack[-1] if stack else ("", False, 0, False)
 
@@ -105,29 +133,37 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             break
         if lt > at:
             say(page[at:lt])
-        m = _TOKEN.match(page, lt)
+        m = _NAME.match(page, lt + 1)
         if not m:
-            say("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+            sign = page[lt + 1 : lt + 2]
+            shut = (page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)) if sign and sign in "!?/" else -1
+            if page.startswith("<!--", lt):
+                at = shut + 3 if shut >= 0 else end
+            elif shut >= 0:
+                at = shut + 1
+            else:
+                say("<")
+                at = lt + 1
             continue
-        name = name.lower()
+        gt = scanner.end_of_tag(m.end())
+        if gt < 0:  # no tag ends any more
+            say(page[lt:])
+            break
+        at, name, attributes = gt + 1, m.group(2).lower(), page[m.end() : gt]
         if m.group(1):
             if name in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in BLOCKS and stack[k][0] in BLOCKS:
-                    break
+            if opened.get(name):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        close(k)
+                        break
+                    if name not in BLOCKS and stack[k][0] in BLOCKS:
+                        break
             continue
         if name in RAW:
-            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if not m.group(3).rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
+                shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 at = shut.end() if shut else end
             continue
         if name == "br" or name == "wbr":
@@ -135,7 +171,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if name in BLOCKS:
             flush()
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened.get("p"):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         # what is open inside the paragraph goes with it, but a mark of boilerplate on it ends too
@@ -143,17 +179,16 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                         break
                     if stack[k][0] in BLOCKS:
                         break
-            if name in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
+            same = SAME.get(name, ())
+            if any(opened.get(n) for n in same):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in same:
                         close(k)
                         break
-                    if stack[k][0] in ("ul", "ol", "dl", "menu", "select", "table", "tbody", "thead", "tfoot") or name in ("td", "th") and stack[k][0] == "tr":
+                    if stack[k][0] in LISTS or name in ("td", "th") and stack[k][0] == "tr":
                         break
         if name in VOID:
             continue
-        attributes = m.group(3)
         inside = article
         if name in ("article", "main") or 'role="main"' in attributes or "articleBody" in attributes:
             if not (article or boiler):
@@ -162,31 +197,40 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         boiler = boiler or _is_boiler(name, attributes, bool(article))
         own_header = own_header or name == "header" and bool(article)
         article = inside
-        link_depth += name == "a"
+        opened[name] = opened.get(name, 0) + 1
         stack.append((name, boiler, article, own_header))
     flush()
     return out
 
 
+def spans(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """(first, behind the last) of the lines from each surge to its dive."""
+    sums, total = [0] * len(weights), 0
+    for i in range(len(weights) - 1, -1, -1):
+        total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
+        sums[i] = total
+    found, start = [], None
+    for i in range(len(weights) + 1):
+        if start is None:
+            if i < len(weights) and weights[i] and sums[i] >= surge:
+                start = i
+                while start and weights[start - 1]:  # short lines right before it, such as a heading
+                    start -= 1
+        elif i == len(weights) or not sums[i]:
+            found.append((start, i))
+            start = None
+    return found
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page: its blocks in page order, one a line."""
     found = lines(page or "")
     marked = any(article for _, _, article in found)
     own = [(max(w, surge) if article else 0) if marked else 0 if len(t) > 2 * w else w for t, w, article in found]
-    sums = [sum(own[i : i + window]) for i in range(len(own))]
-    spans, start = [], None
-    for i in range(len(own) + 1):
-        if start is None:
-            if i < len(own) and own[i] and sums[i] >= surge:
-                start = i
-                while start and own[start - 1]:  # short lines right before it, such as a heading
-                    start -= 1
-        elif i == len(own) or not sums[i]:
-            spans.append((start, i))
-            start = None
-    if not spans:
+    picked = spans(own, window, surge) if window else []
+    if not picked:
         return "\n".join(t for (t, _, _), w in zip(found, own, strict=True) if w)
-    return "\n".join(t for span in spans for t, _, article in found[slice(*span)] if article or not marked)
+    return "\n".join(t for span in picked for t, _, article in found[slice(*span)] if article or not marked)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
