@@ -1,8 +1,9 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 A document's token ids end in an end id; only documents over the capacity are cut, into pieces of the capacity and a
-rest. Pieces are dealt by a hash into groups of about GROUP pieces (the number of groups follows the number of
-documents), and each group is packed by itself, which costs at most one sequence a group. In a group, best-fit
+rest. Pieces are dealt by a hash of their ids and number, and of a number that tells repeated ones apart, into
+groups of about GROUP pieces (the number of groups follows the number of documents), so the packing doesn't depend on how
+files are split; each group is packed by itself, which costs at most one sequence a group. In a group, best-fit
 decreasing gives the first solution. If that uses more sequences than the lower bound, branch and bound looks for a better
 one: it takes the largest piece left, enumerates the undominated ways to fill up its sequence (none in which a piece can
 be exchanged for a larger one left, or to which one can be added), least waste first, and turns back where the waste so
@@ -10,7 +11,8 @@ far leaves no room for a solution with fewer sequences. The search has a budget
 all pieces, so the budget limits only how long it tries to save another sequence.
 
 Null texts count as empty; an empty document is its end id alone. Repeated rows are packed as often as they occur. A
-null id stays null. Only the id and text columns are read.
+null id stays null; an empty table has no pieces; pieces of equal length are taken in the order of their ids. Only the id
+and text columns are read, so others and their names don't matter.
 """
 
 from __future__ import annotations
@@ -294,7 +296,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     """cut_documents() with each piece's sequence_id and offset in its sequence."""
     groups = max(1, -(-docs.count() // group))
     pieces = cut_documents(docs, path, capacity, end_id, id_col, text_col)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
+    same = pieces.groupBy("id", "piece", "start", "length", "ids_crc32").agg(F.count("*").alias("n"))
+    numbered = same.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    dealt = numbered.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "number"), F.lit(groups))).drop("number")
     out = [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
     def run(rows: pa.Table) -> pa.Table:
