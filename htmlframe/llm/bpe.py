@@ -6,13 +6,13 @@ BPE of its bytes exactly if each two neighbours are the BPE of theirs, so a conf
 that token is compatible with the one before. A state of the transducer is a set of configurations with what they
 have in common already emitted; since exactly one configuration ends at each byte, tokens come out after a lookahead
 bounded by the longest token. States and transitions are made when they are first needed and kept in tables of a bounded
-size, which are dropped and rebuilt when they are full.
+size. Full tables are dropped, in the midst of a piece too, and go on from the state that was reached.
 
 Decoding streams: a state machine over UTF-8 lead and continuation bytes holds back an incomplete character at the end
 of each block of tokens, so that texts of any length decode in bounded memory.
 
 Null texts count as empty; an empty text has no ids. Repeated rows give repeated rows. Only the id and text columns
-are read, so other columns and their names don't matter.
+are read, so other columns and their names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -127,6 +127,15 @@ class Transducer:
             self.fits[key] = ok
         return ok
 
+    def _state(self, configurations: tuple) -> int:
+        """The number of a state."""
+        to = self.number.get(configurations)
+        if to is None:
+            to = self.number[configurations] = len(self.states)
+            self.states.append(configurations)
+            self.final.append(configurations[-1][0])
+        return to
+
     def _step(self, state: int, b: int) -> tuple[int, tuple[int, ...]]:
         """Make one transition. Configurations stay in the order in which their tokens began, so equal sets are equal
         tuples; the one that ends here comes last, and as there is only one, no other completion is tried after it."""
@@ -161,24 +170,21 @@ class Transducer:
                 reached = [(p[common:], last, node) for p, last, node in reached]
             else:
                 first = ()
-        target = tuple(reached)
-        to = self.number.get(target)
-        if to is None:
-            to = self.number[target] = len(self.states)
-            self.states.append(target)
-            self.final.append(target[-1][0])
+        to = self._state(tuple(reached))
         self.moves[state << 8 | b] = move = (to, first)
         return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one piece, read byte by byte; a token leaves as soon as no reading of the rest can change it."""
-        if len(self.moves) >= self.most:
-            self._reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for b in piece:
             move = moves.get(state << 8 | b)
             if move is None:
+                if len(moves) >= self.most:  # begin anew, from the configurations of this very state
+                    now = self.states[state]
+                    self._reset()
+                    state, moves = self._state(now), self.moves
                 move = self._step(state, b)
             state, emitted = move
             if emitted:
