@@ -108,8 +108,11 @@ def query(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     out = format_conversations(rows.unionByName(hard))
+    # a conversation that doesn't read back is an error, not a row
+    out = out.withColumn("formatted", F.when(F.col("round_trip"), F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("conversation doesn't read back: "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == MASKED_ROLE), lambda t: t["text"]), "")
+    # what is under the mask, cut out of the output and unescaped
+    loss = F.array_join(F.transform("loss_spans", lambda m: unescape(F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), m["length"].cast("int")))), "")
     return out.select(
         F.col("id").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
