@@ -8,7 +8,8 @@ and likeness takes off the matches that chance gives them.
 
 Null texts count as empty. A text without words has the fingerprint of zeros only, like 1 to another such text and 0 to
 any other; a text of less than five words is one run. The next document is that of the next id; equal ids are ordered by
-their text, a null id comes first, and the last row's next is the first. Repeated rows give repeated rows.
+their text, a null id comes first, and the last row's next is the first. Repeated rows give repeated rows, an empty table
+none. Only the id and text columns are read, so others and their names don't matter.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from htmlframe.llm.common import table
+from htmlframe.llm.common import cut, table
 
 BINS, RUN, TRIES = 256, 5, 24
 #: Documents in a range of ids, and most ranges (their first ids are broadcast).
@@ -69,20 +70,30 @@ def likeness(a: str, b: str):
     return F.expr(f"case when size({a}) = 0 or size({b}) = 0 then if(size({a}) = size({b}), 1D, 0D) else {share} end")
 
 
+def with_range(df: DataFrame, id_col: str) -> DataFrame:
+    """Add range_, the number of the range of ids that a row falls into, by quantiles of the ids.
+
+    The bounds, MOST_RANGES at most, are one row that the plan looks up; each row's range is found by halving.
+    """
+    n = df.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE)))
+    if ranges == 1:
+        return df.withColumn("range_", F.lit(0))
+    shares = F.expr(f"cast(split('{','.join(str(k / ranges) for k in range(1, ranges))}', ',') as array<double>)")
+    bounds = cut(df.where(F.col(id_col).isNotNull()).agg(F.coalesce(F.percentile_approx(id_col, shares, 20 * ranges), F.array().cast("array<bigint>")).alias("bounds"))).scalar()
+    steps = max(1, ranges.bit_length())
+    halving = F.aggregate(F.expr(f"transform(sequence(0, {steps - 1}), x -> shiftleft(1, {steps - 1} - x))"), F.lit(0), lambda at, step: F.when(F.get(F.col("bounds_"), at + step - 1) <= F.col(id_col), at + step).otherwise(at))
+    return df.withColumn("bounds_", bounds).withColumn("range_", F.when(F.col(id_col).isNull(), 0).otherwise(halving)).drop("bounds_")
+
+
 def with_next(df: DataFrame, id_col: str, tie: list[str], carried: list[str]) -> DataFrame:
     """Add next_<name> for each carried column: its value in the row of the next id, after the last row in the first.
 
     Rows are dealt by ranges of ids of about RANGE rows, and the first row of each range is also dealt, as a guest, to the
-    range before it, so one shuffle brings every row together with its next. Only the ranges' first ids, MOST_RANGES at
-    most, are gathered and broadcast.
+    range before it, so one shuffle brings every row together with its next. The ranges follow quantiles, so outlying ids
+    change nothing; rows of one id share a range. Only the ranges' first ids, MOST_RANGES at most, are broadcast.
     """
-    low, high, n = df.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    ranges = max(1, min(MOST_RANGES, -(-n // RANGE)))
-    if low is None or low == high:
-        of = F.when(F.col(id_col).isNull(), 0).otherwise(1)
-    else:
-        of = F.coalesce(F.width_bucket(F.col(id_col).cast("double"), F.lit(float(low)), F.lit(float(high)) + 1, F.lit(ranges)), F.lit(0))
-    dealt = df.withColumn("range_", of.cast("int"))
+    dealt = with_range(df, id_col)
     firsts = dealt.groupBy("range_").agg(F.min(id_col).alias("first_"))
     line = Window.orderBy("range_")
     before = F.coalesce(F.lag("range_").over(line), F.last("range_").over(line.rowsBetween(0, Window.unboundedFollowing)))
