@@ -512,3 +512,49 @@ def test_fingerprint_odd_rows(spark, monkeypatch):
     one = fingerprint.with_next(fingerprint.fingerprints(df.limit(1)), "id", ["text"], ["text"]).collect()
     assert len(one) == 1 and one[0].next_text == one[0].text
     assert fingerprint.with_next(fingerprint.fingerprints(df.limit(0)), "id", ["text"], ["text"]).count() == 0
+
+
+def plain_slots(spark, text):
+    """Stored bits of a text's bins, worked out value by value; Spark's hash comes from Spark."""
+    def hashes(kind, rows):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + kind)
+        return [r.h for r in df.select("i", F.xxhash64(*df.columns[1:]).alias("h")).orderBy("i").collect()]
+
+    words = text.split()
+    if not words:
+        return []
+    w = hashes("w string", [(x,) for x in words])
+    if len(w) >= 5:
+        h = hashes("a long, b long, c long, d long, e long", [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+    else:
+        h = [spark.range(1).select(F.xxhash64(F.array(*[F.lit(x) for x in w])).alias("h")).first().h]
+    least = {}
+    for x in h:
+        b = (x >> 56 & 255) ^ 128  # from the smallest signed value
+        least[b] = min(x, least.get(b, x))
+    tries = hashes("b long, r int", [(b, r) for b in range(fingerprint.BINS) for r in range(fingerprint.TRIES)])
+    out = []
+    for b in range(fingerprint.BINS):
+        own = [x % fingerprint.BINS for x in tries[b * fingerprint.TRIES : (b + 1) * fingerprint.TRIES]]
+        x = least.get(b) if b in least else next((least[p] for p in own if p in least), None)
+        if x is None:
+            others = sorted(least)
+            x = least[min(zip(hashes("b long, o long", [(b, o ^ 128) for o in others]), others, strict=True))[1]]
+        out.append((x & 255) - 128)
+    return out
+
+
+def test_fingerprints_are_the_plain_ones(spark, documents):
+    df = documents.select("doc_id", "text").limit(4).union(spark.createDataFrame([(-1, "one two three"), (-2, "a b c d e f g"), (-3, "word " * 20_000)], "doc_id long, text string"))
+    for r in fingerprint.fingerprints(df).collect():
+        assert list(r.slots) == plain_slots(spark, r.text)
+
+
+def test_ranges_of_ids_with_outliers(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE", 100)
+    df = spark.range(2000).union(spark.createDataFrame([(10**15,), (-(10**17),)], "id long")).withColumn("text", F.col("id").cast("string"))
+    sizes = [r["count"] for r in fingerprint.with_range(df, "id").groupBy("range_").count().collect()]
+    assert sum(sizes) == 2002 and max(sizes) < 220 and len(sizes) > 15
+    got = {r.id: r.next_text for r in fingerprint.with_next(df, "id", ["text"], ["text"]).collect()}
+    ids = sorted(got)
+    assert got == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
