@@ -12,9 +12,9 @@ stays or not. Lines of fewer than min_words different words (1 by default: blank
    least as many bits). Numbers that two words have in common make pairs here, but lose none.
 4. Pairs that are left are verified on the words themselves.
 
-Dense groups of like lines don't make all their pairs: before the join, the lines under a word that more than DENSE lines
-have in their prefixes are verified against a few early ones of these lines, in rounds, and a line that this removes takes
-part in the join only as an earlier one.
+Dense groups of like lines don't make all their pairs: before the join, lines are verified against a few early ones of
+those with the same two neighbouring prefix words, in rounds, wherever more than DENSE lines have these, and a line that
+this removes takes part in the join only as an earlier one.
 
 Null texts have no lines and stay null; empty texts stay empty. Rows with the same id and text are one document for the
 order, and lose the same lines. A null id comes first. Lines of any length are compared as wholes. Of an empty table
@@ -32,8 +32,8 @@ from htmlframe.llm.common import cut, kept, release, table
 THRESHOLD, MIN_WORDS = 0.8, 1
 #: Buckets of the counts that give the order of words: a table of as many small numbers, whatever the corpus' size.
 BUCKETS = 1 << 19
-#: A prefix word of more lines is dense. Its lines are first compared with HEADS of its lines in each of ROUNDS rounds.
-DENSE, HEADS, ROUNDS = 64, 4, 3
+#: Two neighbouring prefix words of more lines are dense: these lines are first compared with HEADS of them in each round.
+DENSE, HEADS, ROUNDS = 16, 4, 3
 #: Sides of at most this many rows of a few numbers, some 20 MB, are broadcast; larger ones are joined by a shuffle.
 MOST_BROADCAST = 500_000
 #: Parts of the words that are joined one after another, so that less is on disk at a time.
@@ -129,13 +129,17 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     return found
 
 
+#: Hashes of each two neighbouring words of a prefix, or of its only word.
+NEIGHBOURS = "if(size(prefix) = 1, transform(prefix, x -> xxhash64(x)), transform(sequence(0, size(prefix) - 2), i -> xxhash64(get(prefix, i), get(prefix, i + 1))))"
+
+
 def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """(line) of lines under a dense prefix word that match an earlier one of the lines they are compared with."""
-    dense = cut(able.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > DENSE).select("word"))
+    """(line) of lines in dense groups that match an earlier one of the lines they are compared with."""
+    dense = cut(able.select(F.explode(F.expr(NEIGHBOURS)).alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > DENSE).select("word"))
     gone = cut(first.select("line").limit(0))
     if dense.isEmpty():
         return gone
-    rows = able.select("line", "doc", "n", "bits", F.posexplode("prefix").alias("p", "word")).join(_small(dense), "word")
+    rows = able.select("line", "doc", "n", "bits", F.posexplode(F.expr(NEIGHBOURS)).alias("p", "word")).join(_small(dense), "word")
     rows = kept(rows.select("word", F.struct("doc", "line", "n", "bits", F.expr("n - p - 1").alias("after")).alias("x"), F.pmod("line", F.lit(HEADS * ROUNDS)).alias("part")), "dense")
     for number in range(ROUNDS):
         heads = rows.where(F.col("part").between(number * HEADS, (number + 1) * HEADS - 1)).groupBy("word", "part").agg(F.min("x").alias("y")).select("word", "y")
