@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers as pt
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -514,40 +516,39 @@ def test_fingerprint_odd_rows(spark, monkeypatch):
     assert fingerprint.with_next(fingerprint.fingerprints(df.limit(0)), "id", ["text"], ["text"]).count() == 0
 
 
-def plain_slots(spark, text):
-    """Stored bits of a text's bins, worked out value by value; Spark's hash comes from Spark."""
-    def hashes(kind, rows):
-        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + kind)
-        return [r.h for r in df.select("i", F.xxhash64(*df.columns[1:]).alias("h")).orderBy("i").collect()]
+def spark_hash(*values):
+    """Spark's xxhash64: each value hashed with the hash so far as its seed. Longs in pairs ("q", n), ints ("i", n), or text."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<" + v[0], v[1]), h)
+    return h - (1 << 64) if h >> 63 else h
 
+
+def plain_slots(text):
+    """Stored bits of a text's bins, worked out value by value."""
     words = text.split()
     if not words:
         return []
-    w = hashes("w string", [(x,) for x in words])
-    if len(w) >= 5:
-        h = hashes("a long, b long, c long, d long, e long", [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
-    else:
-        h = [spark.range(1).select(F.xxhash64(F.array(*[F.lit(x) for x in w])).alias("h")).first().h]
+    w = [("q", spark_hash(x)) for x in words]
+    h = [spark_hash(*w[i : i + 5]) for i in range(max(1, len(w) - 4))]
     least = {}
     for x in h:
         b = (x >> 56 & 255) ^ 128  # from the smallest signed value
         least[b] = min(x, least.get(b, x))
-    tries = hashes("b long, r int", [(b, r) for b in range(fingerprint.BINS) for r in range(fingerprint.TRIES)])
     out = []
     for b in range(fingerprint.BINS):
-        own = [x % fingerprint.BINS for x in tries[b * fingerprint.TRIES : (b + 1) * fingerprint.TRIES]]
+        own = [spark_hash(("q", b), ("i", r)) % fingerprint.BINS for r in range(fingerprint.TRIES)]
         x = least.get(b) if b in least else next((least[p] for p in own if p in least), None)
         if x is None:
-            others = sorted(least)
-            x = least[min(zip(hashes("b long, o long", [(b, o ^ 128) for o in others]), others, strict=True))[1]]
+            x = least[min(least, key=lambda o: (spark_hash(("q", b), ("q", o ^ 128)), least[o]))]
         out.append((x & 255) - 128)
     return out
 
 
 def test_fingerprints_are_the_plain_ones(spark, documents):
-    df = documents.select("doc_id", "text").limit(4).union(spark.createDataFrame([(-1, "one two three"), (-2, "a b c d e f g"), (-3, "word " * 20_000)], "doc_id long, text string"))
+    df = documents.select("doc_id", "text").limit(60).union(spark.createDataFrame([(-1, "one two three"), (-2, "a b c d e f g"), (-3, "word " * 20_000)], "doc_id long, text string"))
     for r in fingerprint.fingerprints(df).collect():
-        assert list(r.slots) == plain_slots(spark, r.text)
+        assert list(r.slots) == plain_slots(r.text)
 
 
 def test_ranges_of_ids_with_outliers(spark, monkeypatch):
