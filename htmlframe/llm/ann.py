@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from htmlframe.llm.common import cut, prepare, table
 
 SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 64, 160, 1.2
-BATCH, BLOCK = 256, 512
+BATCH = 256
+#: Queries that meet a shard's index at a time, so often is it copied; and those that a beam search takes together.
+BLOCK, STEP = 8192, 512
 
 
 def _beam_search(x: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +168,11 @@ def nearest(index: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFr
             for row in batch.to_pylist():
                 x = np.frombuffer(row["v"], np.float32).reshape(-1, row["dim"])
                 links = np.frombuffer(row["links"], np.int32).reshape(len(x), -1)
-                found, far = search(x, links, row["start"], np.array(row["q"], np.float32), k + 1)
-                hits = [(q, d, row["ids"][i]) for q, ii, dd in zip(row["q_ids"], found.tolist(), far.tolist(), strict=True) for i, d in zip(ii, dd, strict=True) if i >= 0]
-                yield pa.record_batch([pa.array(list(c), t.type) for c, t in zip(zip(*hits, strict=True), schema, strict=True)], schema)
+                queries_ = np.array(row["q"], np.float32)
+                for at in range(0, len(queries_), STEP):
+                    found, far = search(x, links, row["start"], queries_[at : at + STEP], k + 1)
+                    hits = [(q, d, row["ids"][i]) for q, ii, dd in zip(row["q_ids"][at : at + STEP], found.tolist(), far.tolist(), strict=True) for i, d in zip(ii, dd, strict=True) if i >= 0]
+                    yield pa.record_batch([pa.array(list(c), t.type) for c, t in zip(zip(*hits, strict=True), schema, strict=True)], schema)
 
     hits = work.mapInArrow(run, "query_id long, score double, ids array<bigint>").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
