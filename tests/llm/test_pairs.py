@@ -230,7 +230,9 @@ def test_neighbours_recall(spark, sf):
     assert np.mean([len({i for _, i in want[q]} & {i for _, i, _ in got[q]}) / len(want[q]) for q in want]) >= 0.95
 
 
-def test_shards_and_copies(spark):
+@pytest.mark.parametrize("step", [512, 3])
+def test_shards_and_copies(spark, step, monkeypatch):
+    monkeypatch.setattr(ann, "STEP", step)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 8)).astype(np.float32)
     x[300:420] = x[5]
