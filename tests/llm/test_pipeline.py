@@ -49,3 +49,11 @@ def test_run_and_odd_documents(spark, sf, tmp_path):
         assert set(stage(spark, docs, sf).columns) == set(docs.columns)
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert simhash.drop_near_duplicates(docs).count() == 2
+
+
+def test_clashing_columns(spark, sf):
+    """Columns besides those of documents may have any names, such as those that the operators use."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    more = docs.selectExpr("*", "1 as id", "2 as doc_", "3 as th_", "4 as gone_", "5 as lost_", "6 as lost_th_", "7 as line", "8 as th", "9 as fp", "10 as n_removed", "11 as score")
+    for _, stage in cp.STAGES[2:4]:
+        assert sorted(map(tuple, stage(spark, more, sf).collect())) == sorted(map(tuple, stage(spark, docs, sf).collect()))
