@@ -165,12 +165,19 @@ def looped(id_col: str = "doc_id", text_col: str = "text") -> Column:
     i >= a becomes word a + (i - a) % p. Other texts stay as they are."""
     h = F.crc32(F.col(id_col).cast("long").cast("string"))
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"({WORD})"))
-    g, n = F.floor(h / 10), F.size(words)
-    a = (g % F.greatest(n, F.lit(1))).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    tail = F.slice(words, a + 1, n - a)
-    turned = F.transform(tail, lambda x, i: F.get(tail, i % p))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), turned), " ")).otherwise(F.col(text_col))
+
+    def turned(w: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(w)
+        a = (g % n).cast("int")
+        return F.struct(w.alias("w"), a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).cast("int").alias("p"))
+
+    def said(x: Column) -> Column:
+        rest = F.transform(F.sequence(F.lit(0), F.size(x["w"]) - x["a"] - 1), lambda i: F.get(x["w"], x["a"] + i % x["p"]))
+        return F.array_join(F.concat(F.slice(x["w"], F.lit(1), x["a"]), rest), " ")
+
+    # arrays of one element name what is worked out once for a text; those without words aren't turned
+    once = F.transform(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), turned), said)
+    return F.when(h % 10 == 0, F.coalesce(F.get(once, F.lit(0)), F.col(text_col))).otherwise(F.col(text_col))
 
 
 def query(spark, sf_dir):
