@@ -1,22 +1,37 @@
-"""Selectors as plans over a table of nodes.
+"""Selectors as plans over a table of nodes, without a join.
 
-A compound becomes a predicate. A chain becomes joins: children, next and later siblings are equi-joins, descendants an
-interval join on the document. With the "css" semantics each step is a semi-join from left to right. "compat" fixes the
-nearest ancestor or sibling from right to left; for most chains both give the same, and only the others pay for the
-aggregate that finds the nearest. Everything about the selector is worked out on the driver.
+A compound becomes a predicate; only elements that some compound of the selectors matches stay. Chains are worked out from
+left to right: each step adds a column that says whether an element ends a prefix of the chain. Steps are windows over
+sorted rows, so time grows in proportion to a page however deep or wide it is:
+
+* descendants: of the elements before this one that end the prefix, does the largest last_id reach it? Elements nest, so
+  this is a running maximum in document order.
+* general siblings: does an element before this one among its parent's children end the prefix? With `split`, families are
+  cut into ranges of node numbers; what a range adds up to is carried on to the ranges after it.
+* children and next siblings: elements take part twice, as themselves and under the number of the one they look for.
+
+"compat" fixes the nearest ancestor or sibling from right to left, "css" tries all. For most chains both give the same. For
+the others a step asks for the nearest candidate: for siblings the last value in the window; for ancestors the number of
+open candidates tells the depth at which the nearest one was opened, and it is the last one of that depth.
+
+Prefixes that selectors have in common are steps once, and steps of a kind at the same place of their chains share a window,
+so many selectors cost about as many shuffles as the longest of them. All is planned on the driver, from the selectors alone.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from htmlframe.functions import selectors as sel
 from htmlframe.operators.dom import attr
 
 FIELDS = ("doc_id", "node_id", "parent_id", "last_id", "el_idx", "prev_el")
+#: Node numbers of a range of siblings, where families are split.
+RANGE = 1 << 16
 
 
 def _attribute(s: sel.Simple) -> Column:
@@ -46,14 +61,9 @@ def _nth(at: Column, argument: str) -> Column:
 
 
 def predicate(compound: sel.Compound) -> Column | None:
-    """A compound as a column; None if it has a :not() that needs a join."""
-    parts = []
-    for s in compound:
-        c = _simple(s)
-        if c is None:
-            return None
-        parts.append(c)
-    return reduce(lambda a, b: a & b, parts)
+    """A compound as a column; None if it has a :not() with combinators."""
+    parts = [_simple(s) for s in compound]
+    return None if any(c is None for c in parts) else reduce(lambda a, b: a & b, parts)
 
 
 def _simple(s: sel.Simple) -> Column | None:
@@ -87,66 +97,187 @@ def _simple(s: sel.Simple) -> Column | None:
     return None if any(p is None for p in inner) else ~reduce(lambda a, b: a | b, inner)
 
 
-def _matching(elements: DataFrame, compound: sel.Compound, semantics: str) -> DataFrame:
-    """Elements that a compound matches. What a :not() with combinators matches is found among all elements."""
-    whole = predicate(compound)
-    if whole is not None:
-        return elements.where(whole)
-    out = elements
-    for s in compound:
-        c = _simple(s)
-        out = out.where(c) if c is not None else out.join(_find(elements, sel.parse(s.value), semantics).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
-    return out
+def nearest_matters(chain: sel.Chain) -> bool:
+    """Whether fixing the nearest candidate can differ from trying all."""
+    return any(chain[i][0] == " " and chain[i - 1][0] in (">", "+", "~") or chain[i][0] == "~" and chain[i - 1][0] == "+" for i in range(2, len(chain)))
 
 
-def _met(how: str) -> Column:
-    """What ties an element (l_) to one further left (r_)."""
-    c = F.col
-    same = c("l_doc_id") == c("r_doc_id")
-    return same & {
-        " ": (c("r_node_id") < c("l_node_id")) & (c("l_node_id") <= c("r_last_id")),
-        ">": c("l_parent_id") == c("r_node_id"),
-        "+": c("l_prev_el") == c("r_node_id"),
-        "~": (c("l_parent_id") == c("r_parent_id")) & (c("r_el_idx") < c("l_el_idx")),
-    }[how]
+@dataclass(frozen=True)
+class _Step:
+    """Column `out` becomes: the compound in column `own` matches, and `how` leads to an element that ends the prefix in column
+    `ends` and whose compound is that in column `before`; with nearest, the nearest of those that the compound matches."""
 
+    how: str
+    nearest: bool
+    before: str
+    ends: str
+    own: str
+    out: str
 
-def _named(df: DataFrame, prefix: str, *more: str) -> DataFrame:
-    return df.select(*[F.col(f).alias(prefix + f) for f in FIELDS], *more)
 
+def _said(found: Column, own: str) -> Column:
+    return F.col(own) & F.coalesce(found, F.lit(False))
 
-def nearest_matters(chain: sel.Chain) -> bool:
-    """Whether fixing the nearest candidate can differ from trying all."""
-    return any(chain[i][0] == " " and chain[i - 1][0] in (">", "+", "~") or chain[i][0] == "~" and chain[i - 1][0] == "+" for i in range(2, len(chain)))
+
+def _descendants(rows: DataFrame, steps: list[_Step]) -> DataFrame:
+    earlier = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    reach = {s.ends: F.max(F.when(F.col(s.ends), F.col("last_id"))).over(earlier) for s in steps}
+    return rows.select("*", *[_said(reach[s.ends] >= F.col("node_id"), s.own).alias(s.out) for s in steps])
+
+
+def _nearest_ancestor(rows: DataFrame, step: _Step) -> DataFrame:
+    """Candidates that are open around an element number its depth among them; the last one opened at that depth is nearest."""
+    closing = F.when(F.col(step.before), F.struct(F.col("last_id").alias("at"), F.lit(1).alias("closes")))
+    places = rows.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("node_id").alias("at"), F.lit(0).alias("closes")), closing))))
+    earlier = Window.partitionBy("doc_id").orderBy("at", "closes").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.sum(F.when(F.col("closes") == 1, -1).when(F.col(step.before), 1).otherwise(0)).over(earlier), F.lit(0))
+    deep = places.withColumn("open_", opened).where("closes = 0")
+    candidate = F.when(F.col(step.before), F.struct((F.col("open_") + 1).alias("level_"), F.lit(0).alias("asks_")))
+    asked = deep.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("open_").alias("level_"), F.lit(1).alias("asks_")), candidate))))
+    before = Window.partitionBy("doc_id", "level_").orderBy("node_id", "asks_").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("asks_") == 0, F.col(step.ends)), ignorenulls=True).over(before)
+    return asked.withColumn(step.out, _said(last, step.own)).where("asks_ = 1").drop("at", "closes", "open_", "level_", "asks_")
+
+
+def _siblings(rows: DataFrame, steps: list[_Step], split: int | None) -> DataFrame:
+    def said(s: _Step) -> Column:
+        return F.when(F.col(s.before), F.col(s.ends)) if s.nearest else F.when(F.col(s.ends), True)
+
+    def upto(values: list[Column], family: list[str], end: int) -> list[Column]:
+        w = Window.partitionBy(*family).orderBy("node_id").rowsBetween(Window.unboundedPreceding, end)
+        return [F.last(v, ignorenulls=True).over(w) for v in values]
+
+    values = [said(s) for s in steps]
+    if not split:
+        return rows.select("*", *[_said(v, s.own).alias(s.out) for v, s in zip(upto(values, ["doc_id", "parent_id"], -1), steps, strict=True)])
+    # the sum of a range goes, as a row of its own, to the range that comes next among the family's
+    names = [f"sum{i}_" for i in range(len(steps))]
+    ranged = rows.withColumn("range_", F.floor(F.col("node_id") / split).cast("int"))
+    family = ["doc_id", "parent_id", "range_"]
+    following = F.lead("node_id").over(Window.partitionBy(*family).orderBy("node_id"))
+    inner = ranged.select("*", *[x.alias(f"{n}in") for n, x in zip(names, upto(values, family, -1), strict=True)], *[x.alias(n) for n, x in zip(names, upto(values, family, 0), strict=True)], following.isNull().alias("last_"))
+    doubled = inner.select("*", F.explode(F.when(F.col("last_"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("row_")).withColumn("part_", F.when(F.col("row_") == 0, F.lit(-1)).otherwise(F.col("range_")))
+    sums = Window.partitionBy("doc_id", "parent_id", "part_").orderBy("range_", "node_id")
+    running = sums.rowsBetween(Window.unboundedPreceding, 0)
+    added = doubled.select("*", *[F.when(F.col("row_") == 0, F.last(n, ignorenulls=True).over(running)).alias(f"{n}upto") for n in names], F.when(F.col("row_") == 0, F.lead("range_").over(sums)).otherwise(F.col("range_")).alias("to_"))
+    carried = Window.partitionBy("doc_id", "parent_id", "to_").orderBy("row_", "node_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = added.where("to_ is not null").select("*", *[F.coalesce(F.col(f"{n}in"), F.first(F.col(f"{n}upto")).over(carried)).alias(f"{n}all") for n in names]).where("row_ = 1")
+    done = out.select("*", *[_said(F.col(f"{n}all"), s.own).alias(s.out) for n, s in zip(names, steps, strict=True)])
+    return done.drop("range_", "last_", "row_", "part_", "to_", *[n + x for n in names for x in ("", "in", "upto", "all")])
+
+
+def _fetched(rows: DataFrame, steps: list[_Step], key: str) -> DataFrame:
+    """Steps to the one element whose number is in a column."""
+    ends = sorted({s.ends for s in steps})
+    given = F.when(reduce(lambda a, b: a | b, map(F.col, ends)), F.struct(F.col("node_id").alias("key_"), F.lit(0).alias("asks_")))
+    both = rows.select("*", F.inline(F.array_compact(F.array(F.struct(F.col(key).alias("key_"), F.lit(1).alias("asks_")), given))))
+    w = Window.partitionBy("doc_id", "key_").orderBy("asks_").rowsBetween(Window.unboundedPreceding, 0)
+    got = {e: F.max(F.when((F.col("asks_") == 0) & F.col("key_").isNotNull(), F.col(e))).over(w) for e in ends}
+    return both.select("*", *[_said(got[s.ends], s.own).alias(s.out) for s in steps]).where("asks_ = 1").drop("key_", "asks_")
 
 
-def _chain(elements: DataFrame, chain: sel.Chain, semantics: str) -> DataFrame:
-    if semantics == "css" or not nearest_matters(chain):
-        found = _matching(elements, chain[0][1], semantics)
-        for how, compound in chain[1:]:
-            met = _named(_matching(elements, compound, semantics), "l_").join(_named(found, "r_"), _met(how), "left_semi")
-            found = met.select(*[F.col(f"l_{f}").alias(f) for f in FIELDS])
-        return found.select(*FIELDS)
-    now = _named(_matching(elements, chain[-1][1], semantics), "l_", F.col("node_id").alias("match"))
-    for i in range(len(chain) - 1, 0, -1):
-        right = _named(_matching(elements, chain[i - 1][1], semantics), "r_")
-        met = now.join(right, _met(chain[i][0]))
-        best = F.max(F.struct(F.col("r_node_id"), *[F.col(f"r_{f}").alias(f"x_{f}") for f in FIELDS]))
-        now = met.groupBy("l_doc_id", "match").agg(best.alias("b")).select("match", *[F.col(f"b.x_{f}").alias(f"l_{f}") for f in FIELDS])
-    return elements.join(now.select(F.col("l_doc_id").alias("doc_id"), F.col("match").alias("node_id")), ["doc_id", "node_id"], "left_semi").select(*FIELDS)
-
-
-def _find(elements: DataFrame, chains: tuple[sel.Chain, ...], semantics: str) -> DataFrame:
-    if all(len(c) == 1 for c in chains):
-        whole = [predicate(c[0][1]) for c in chains]
-        if all(p is not None for p in whole):
-            return elements.where(reduce(lambda a, b: a | b, whole)).select(*FIELDS)
-    found = [_chain(elements, c, semantics) for c in chains]
-    return found[0] if len(found) == 1 else reduce(DataFrame.union, found).dropDuplicates(["doc_id", "node_id"])
-
-
-def select_nodes(nodes: DataFrame, selector: str, semantics: str = "compat") -> DataFrame:
-    """(doc_id, node_id, parent_id, last_id, el_idx, prev_el) of the elements that match in a table of nodes."""
+def _run(rows: DataFrame, steps: list[_Step], split: int | None) -> DataFrame:
+    """Steps that don't depend on each other: those of a kind share a window."""
+    plain = [s for s in steps if s.how == " " and not s.nearest]
+    if plain:
+        rows = _descendants(rows, plain)
+    for s in steps:
+        if s.how == " " and s.nearest:
+            rows = _nearest_ancestor(rows, s)
+    for how, key in ((">", "parent_id"), ("+", "prev_el")):
+        some = [s for s in steps if s.how == how]
+        if some:
+            rows = _fetched(rows, some, key)
+    beside = [s for s in steps if s.how == "~"]
+    return _siblings(rows, beside, split) if beside else rows
+
+
+class _Compiled:
+    """Selectors compiled to predicates of compounds, what nested :not() ask for, and a trie of steps."""
+
+    def __init__(self, semantics: str):
+        self.semantics = semantics
+        #: compound -> column, its predicate without nested selectors, and these.
+        self.compounds: dict[sel.Compound, tuple[str, Column, list[tuple[sel.Chain, ...]]]] = {}
+        #: steps by how deep they are nested in :not(), inner first, then by place in the chain.
+        self.steps: dict[tuple[int, int], dict[tuple, _Step]] = {}
+        self.nested: dict[tuple[sel.Chain, ...], tuple[int, list[str]]] = {}
+
+    def compound(self, c: sel.Compound) -> str:
+        if c not in self.compounds:
+            simple = [(s, _simple(s)) for s in c]
+            inner = [sel.parse(s.value) for s, column in simple if column is None]
+            self.compounds[c] = (f"is{len(self.compounds)}_", reduce(lambda a, b: a & b, [x for _, x in simple if x is not None], F.lit(True)), inner)
+            for chains in inner:
+                if chains not in self.nested:
+                    self.nested[chains] = (0, [])
+                    columns = [self.chain(x) for x in chains]
+                    self.nested[chains] = (1 + max(self.depth(x) for x in chains), columns)
+        return self.compounds[c][0]
+
+    def depth(self, chain: sel.Chain) -> int:
+        """How deep :not() with combinators are nested below a chain's compounds."""
+        return max((self.nested[x][0] for _, c in chain for x in self.compounds[c][2]), default=0)
+
+    def chain(self, chain: sel.Chain) -> str:
+        """The column that says which elements a chain matches."""
+        own = [self.compound(c) for _, c in chain]
+        compat, depth, ends = self.semantics == "compat" and nearest_matters(chain), self.depth(chain), own[0]
+        for i in range(1, len(chain)):
+            how = chain[i][0]
+            level = self.steps.setdefault((depth, i), {})
+            key = (how, compat and how in " ~", own[i - 1], ends, own[i])
+            step = level.setdefault(key, _Step(*key, f"ends{depth}_{i}_{len(level)}_"))
+            ends = step.out
+        return ends
+
+    def rows(self, elements: DataFrame, split: int | None) -> DataFrame:
+        """Elements that some compound matches, with a boolean column for each chain."""
+        fields = [F.col(f) for f in FIELDS]
+        rows = elements.select(*fields, *[F.coalesce(p, F.lit(False)).alias(n) for n, p, _ in self.compounds.values()])
+        rows = rows.where(reduce(lambda a, b: a | b, [F.col(n) for n, _, _ in self.compounds.values()]))
+        deepest = max((d for d, _ in self.steps), default=0)
+        for depth in range(deepest + 1):
+            for n, _, inner in self.compounds.values():
+                if inner and max(self.nested[x][0] for x in inner) == depth:
+                    excluded = [F.col(x) for chains in inner for x in self.nested[chains][1]]
+                    rows = rows.withColumn(n, F.col(n) & ~reduce(lambda a, b: a | b, excluded))
+            for d, i in sorted(self.steps):
+                if d == depth:
+                    rows = _run(rows, list(self.steps[d, i].values()), split)
+        for n, _, inner in self.compounds.values():
+            if inner and max(self.nested[x][0] for x in inner) > deepest:
+                excluded = [F.col(x) for chains in inner for x in self.nested[chains][1]]
+                rows = rows.withColumn(n, F.col(n) & ~reduce(lambda a, b: a | b, excluded))
+        return rows
+
+
+def _check(semantics: str) -> None:
     if semantics not in ("compat", "css"):
         raise ValueError("semantics must be compat or css")
-    return _find(nodes.where("node_type = 1 and not in_template"), sel.parse(selector), semantics)
+
+
+ELEMENTS = "node_type = 1 and not in_template"
+
+
+def select_nodes(nodes: DataFrame, selector: str, semantics: str = "compat", split: int | None = None) -> DataFrame:
+    """(doc_id, node_id, parent_id, last_id, el_idx, prev_el) of the elements that match in a table of nodes.
+
+    split: node numbers of a range of siblings, where a parent may have millions of children; by default a family is one."""
+    _check(semantics)
+    made = _Compiled(semantics)
+    columns = [made.chain(c) for c in sel.parse(selector)]
+    return made.rows(nodes.where(ELEMENTS), split).where(reduce(lambda a, b: a | b, map(F.col, columns))).select(*FIELDS)
+
+
+def select_many(nodes: DataFrame, selectors: list[str], semantics: str = "compat", split: int | None = None) -> DataFrame:
+    """(selector_idx, doc_id, node_id, parent_id, last_id, el_idx, prev_el): what each of many selectors matches, found together.
+
+    selector_idx is the place in the list. A bad selector raises SelectorError here, on the driver."""
+    _check(semantics)
+    made = _Compiled(semantics)
+    columns = [[made.chain(c) for c in sel.parse(s)] for s in selectors]
+    if not columns:
+        return nodes.where("false").select(F.lit(0).alias("selector_idx"), *FIELDS)
+    met = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, map(F.col, some)), F.lit(i)) for i, some in enumerate(columns)]))
+    return made.rows(nodes.where(ELEMENTS), split).select(F.explode(met).alias("selector_idx"), *FIELDS)
