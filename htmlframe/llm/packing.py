@@ -24,7 +24,6 @@ import re
 import struct
 import unicodedata
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -185,39 +184,46 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _fillings(sizes: list[int], counts: dict[int, int], room: int):
-    """Ways to fill room with what is left, as lists of lengths; an exact one ends the search."""
-    chosen: list[int] = []
-
-    def search(room: int, top: int):
-        at = bisect.bisect_right(sizes, min(room, top)) - 1
-        any_fits = False
-        while at >= 0:
-            n = sizes[at]
-            at -= 1
-            if counts[n] <= chosen.count(n):
-                continue
-            any_fits = True
-            chosen.append(n)
-            yield from search(room - n, n)
-            chosen.pop()
-        if not any_fits:
-            yield list(chosen)
-
-    for filling in islice(search(room, room), 40 * FILLINGS):
-        waste = room - sum(filling)
-        yield waste, filling
-        if not waste:
+    """Ways to fill room with what is left so that nothing left fits in, as (waste, [(length, copies)]), the longest lengths
+    and most copies first; an exact one ends the search."""
+    taken: list[tuple[int, int]] = []
+    # of each length chosen: the room below it, the place of the next length to try there, and its copies (None: as many as fit)
+    frames: list[tuple[int, int, int | None]] = [(room, bisect.bisect_right(sizes, room) - 1, None)]
+    if frames[0][1] < 0:
+        yield room, []
+    for _ in range(40 * FILLINGS):
+        while frames and frames[-1][1] < 0:
+            frames.pop()
+            if taken:
+                taken.pop()
+        if not frames:
             return
+        left, at, copies = frames.pop()
+        n = sizes[at]
+        k = min(counts[n], left // n) if copies is None else copies
+        frames.append((left, at, k - 1) if k > 1 and at else (left, at - 1, None))
+        taken.append((n, k))
+        rest = left - k * n
+        below = bisect.bisect_right(sizes, rest, 0, at) - 1
+        if below >= 0:
+            frames.append((rest, below, None))
+            continue
+        used = dict(taken)
+        if all(counts[m] == used.get(m, 0) for m in sizes[: bisect.bisect_right(sizes, rest)]):
+            yield rest, list(taken)
+            if not rest:
+                return
+        taken.pop()
 
 
-def _undominated(sizes: list[int], counts: dict[int, int], room: int) -> list[tuple[int, list[int]]]:
+def _undominated(sizes: list[int], counts: dict[int, int], room: int) -> list[tuple[int, list[tuple[int, int]]]]:
     out = []
-    for waste, filling in sorted(_fillings(sizes, counts, room), key=lambda x: (x[0], len(x[1]))):
-        worse = False
-        for n in set(filling):
+    for waste, filling in sorted(_fillings(sizes, counts, room), key=lambda x: (x[0], sum(k for _, k in x[1]))):
+        worse, used = False, dict(filling)
+        for n in used:
             at = bisect.bisect_right(sizes, n + waste) - 1
             while at >= 0 and sizes[at] > n and not worse:
-                worse = counts[sizes[at]] > filling.count(sizes[at])
+                worse = counts[sizes[at]] > used.get(sizes[at], 0)
                 at -= 1
         if not worse:
             out.append((waste, filling))
@@ -233,21 +239,22 @@ def complete_bins(lengths: list[int], capacity: int, most_bins: int, nodes: int
         counts[n] = counts.get(n, 0) + 1
     sizes = sorted(counts)
     spare = most_bins * capacity - sum(lengths)
-    done: list[list[int]] = []
-    stack: list[tuple[int, list[tuple[int, list[int]]], int]] = []
+    done: list[list[tuple[int, int]]] = []
+    stack: list[tuple[int, list[tuple[int, list[tuple[int, int]]]], int]] = []
     left = len(lengths)
 
-    def use(filling: list[int], by: int) -> None:
-        for n in filling:
-            counts[n] -= by
-            if by > 0 and not counts[n]:
+    def use(filling: list[tuple[int, int]], by: int) -> None:
+        for n, k in filling:
+            before = counts[n]
+            counts[n] -= k * by
+            if not counts[n]:
                 sizes.pop(bisect.bisect_left(sizes, n))
-            elif by < 0 and counts[n] == 1:
+            elif not before:
                 bisect.insort(sizes, n)
 
     def open_bin() -> None:
         top = sizes[-1]
-        use([top], 1)
+        use([(top, 1)], 1)
         stack.append((top, [x for x in _undominated(sizes, counts, capacity - top) if x[0] <= spare][::-1], -1))
 
     if spare < 0 or not left:
@@ -260,18 +267,18 @@ def complete_bins(lengths: list[int], capacity: int, most_bins: int, nodes: int
             filling = done.pop()
             use(filling[1:], -1)
             spare += taken
-            left += len(filling)
+            left += sum(k for _, k in filling)
         if not choices or choices[-1][0] > spare:
-            use([top], -1)
+            use([(top, 1)], -1)
             continue
         waste, filling = choices.pop()
         use(filling, 1)
         spare -= waste
-        left -= len(filling) + 1
-        done.append([top, *filling])
+        left -= sum(k for _, k in filling) + 1
+        done.append([(top, 1), *filling])
         stack.append((top, choices, waste))
         if not left:
-            return done
+            return [[n for n, k in b for _ in range(k)] for b in done]
         open_bin()
     return None
 
