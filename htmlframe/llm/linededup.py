@@ -18,12 +18,14 @@ this removes takes part in the join only as an earlier one.
 
 Null texts have no lines and stay null; empty texts stay empty. Rows with the same id and text are one document for the
 order, and lose the same lines. A null id comes first. Lines of any length are compared as wholes. Of an empty table
-nothing is left to do. Only the id and text columns are read; dedup_lines() keeps the others, which mustn't be called
-doc_, th_ or gone_.
+nothing is left to do. Only the id and text columns are read; dedup_lines() keeps the others, whatever their names, but
+columns n_lines and n_removed that the table has give way to those of the result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,15 +185,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with their text without the removed lines, and two more columns: n_lines, n_removed (long)."""
-    gone = removed_lines(docs, id_col, text_col, threshold, min_words).groupBy("doc", "th").agg(F.collect_set("ln").alias("gone_"))
-    gone = cut(gone.select(F.col("doc").alias("doc_"), F.col("th").alias("th_"), "gone_"))
-    gone = _small(gone, gone.agg(F.sum(F.size("gone_") + 2)).first()[0] or 0)
+    for name in ("n_lines", "n_removed"):
+        docs = docs.drop(name) if name in docs.columns else docs
+    doc, th, at = (f"{c}_{uuid.uuid4().hex}" for c in ("doc", "th", "gone"))
+    gone = removed_lines(docs.select(id_col, text_col), id_col, text_col, threshold, min_words).groupBy("doc", "th").agg(F.collect_set("ln").alias("at"))
+    gone = cut(gone.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("at").alias(at)))
+    gone = _small(gone, gone.agg(F.sum(F.size(at) + 2)).first()[0] or 0)
     text = F.col(text_col).cast("string")
-    met = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("doc_")) & (F.xxhash64(text) == F.col("th_")), "left")
+    met = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(th)), "left")
     parts = F.split(text, "\n", -1)
-    left = F.when(F.col("gone_").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone_", i)), "\n"))
+    left = F.when(F.col(at).isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(at, i)), "\n"))
     n = F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")
-    return met.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("gone_"), F.lit(0)).cast("long"), text_col: left}).drop("doc_", "th_", "gone_")
+    return met.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size(at), F.lit(0)).cast("long"), text_col: left}).drop(doc, th, at)
 
 
 def query(spark, sf_dir):
