@@ -1,16 +1,21 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. Lines in menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments are left out. A line weighs its characters outside links, and nothing if it is mostly links; if
-the page marks its article or articles, their lines weigh SURGE at least and lines outside them weigh nothing. On every
-page the weights are summed over sliding windows of WINDOW lines. A surge point is a line with weight whose window
-rises to the threshold after one that was empty; the next dive point is where the window falls back to nothing; lines
-with weight right before a surge belong to it. The lines from each surge to its dive, those wholly of links too, are the
-main text; on a page with marked articles lines between them are not. If there is no surge, all lines with weight are.
-
-Null and empty pages and pages without main text give an empty string. Repeated rows give repeated rows, an empty table
-none; only the columns named are read. Every surge counts, so no span is chosen among others. Pages are read whole and once
-forward, so that time grows in proportion to their length, malformed or not: if a quote in a tag stays open to the end of
+Markup is stripped to lines, one for each block element. A line weighs its characters outside links, and nothing if it is
+mostly links. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments, as element names, roles
+and class names of containers say, stand in the distribution with no weight and are never text. The same class names on a
+paragraph, heading or list item only quarter its weight. If the page's marked articles hold most of its text, their lines get
+BONUS more, lines outside them weigh a quarter, and the windows run over the articles and over each stretch outside by itself.
+
+The weights are summed over sliding windows of WINDOW lines. A surge point is a line with weight whose window rises to SURGE
+after one that was empty; the next dive point is where the window falls back to nothing; lines with weight right before a surge
+belong to it. The lines from each surge to its dive, those wholly of links too, are the main text, and so are lines with weight
+that stand in the same element as one of these. If there is no surge, all lines with weight are, of articles that hold most of
+the text those in them.
+
+A form that holds most of the page's text or an article is the page's wrapper, not a form. Null and empty pages and pages
+without main text give an empty string. Repeated rows give repeated rows, an empty table none; only the columns named are read,
+so other columns and their names don't matter. Every surge counts, so no span is chosen among others. Pages are read whole and
+once forward, so that time grows in proportion to their length, malformed or not: if a quote in a tag stays open to the end of
 the page, tags end at the next ">" from there on.
 """
 
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,49 +31,93 @@ from pyspark.sql import functions as F
 
 from htmlframe.llm.common import prepare, table
 
-WINDOW, SURGE = 3, 60
+WINDOW, SURGE, BONUS = 3, 60, 20
 # Element names.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title head option select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript noframes noembed iframe xmp template svg math object canvas audio video".split())
-BOILER = frozenset("nav footer aside form menu dialog button select option input fieldset legend label head".split())
+BOILER = frozenset("nav footer aside menu dialog button select option input fieldset legend label head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - frozenset("body html option select head title".split())
 LISTS = frozenset("ul ol dl menu select table tbody thead tfoot".split())
 # Elements that a start tag closes.
 SAME = {"li": ("li",), "option": ("option",), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
-# Words of class and id attributes that mark what isn't main text, anywhere and only outside a marked article.
-EVERYWHERE = r"nav\w*|menu\w*|breadcrumbs?|sidebar|ads?|adsense|adverts?|advertis\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|newsletter|subscri\w*|signup|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|respond|responses|toolbar|pager|pagination"
-OUTSIDE = r"header|masthead|topbar|footer|foot|side|rail|banner|notices?|notification|alert|modal|overlay|signin|login|register|copyright|widget\w*"
-MARKS = re.compile(rf"(?:^|[\s_-])(?:{EVERYWHERE}|{OUTSIDE})(?=$|[\s_-])", re.I)
-MARKS_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{EVERYWHERE})(?=$|[\s_-])", re.I)
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption address".split())
+# Words of class and id attributes that mark what isn't main text, anywhere and only outside a marked article, and
+# words that may stand beside them.
+EVERYWHERE = frozenset(
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion cookie cookies"
+    " consent gdpr popup newsletter subscribe subscription signup share sharing social comment comments commentlist disqus reply replies respond responses toolbar pager pagination".split()
+)
+OUTSIDE = frozenset("header masthead topbar footer foot side rail banner notice notices notification alert modal overlay signin login register copyright widget widgets".split())
+BESIDE = frozenset(
+    "site page main top bottom left right upper lower global primary secondary mobile desktop sticky fixed box wrapper wrap container content inner outer list section area block panel row col column item items unit"
+    " slot bar buttons button links link icons media form thread user reader post article blog entry text image google".split()
+)
 # Words of class and id attributes that say what a layout has or lacks, and the mark of a page's heading.
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]*", re.I)
 TOP = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead|banner)(?=$|[\s_-])", re.I)
+OWN_ARTICLES = re.compile("comment|repl|related|promo|sponsor|advert")
+_WORDS = re.compile(r"[^\s_-]+")
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def _is_boiler(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something else than main text."""
+def _marks(value: str, in_article: bool) -> bool:
+    """Whether a name in a class or id attribute says of nothing else than what isn't main text: each of its words is such a mark,
+    a word that goes with one, or a number."""
+    for name in value.split():
+        words = [w for w in _WORDS.findall(name) if not w.isdigit()]
+        marks = [w in EVERYWHERE or not in_article and w in OUTSIDE for w in words]
+        if any(marks) and all(m or w in BESIDE or w in OUTSIDE for m, w in zip(marks, words, strict=True)):
+            return True
+    return False
+
+
+def _is_boiler(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element holds something else than main text, and whether its class says so of a text element."""
     if name in BOILER or name == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or name in ("html", "body"):
-        return False
+        return False, False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
             value = LAYOUT.sub("", value)
             if name in HEADINGS:
                 value = TOP.sub("", value)
-        if key in ("class", "id") and name not in ("main",) and (MARKS_INSIDE if in_article else MARKS).search(value):
-            if name != "article" or re.search("comment|repl|related|promo|sponsor|advert", value):
-                return True
+            if name != "main" and _marks(value, in_article) and (name != "article" or OWN_ARTICLES.search(value)):
+                return name not in TEXTS, name in TEXTS
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return True, False
+    return False, False
+
+
+class Line(NamedTuple):
+    """own: characters outside links; article: 0 outside a marked one; boiler: never text; form: inside one; soft: marked as
+    something else by its own class only; within: the element it stands in."""
+
+    text: str
+    own: int
+    article: int
+    boiler: bool
+    form: bool
+    soft: bool
+    within: int
+
+
+class _Open(NamedTuple):
+    """An open element, with what holds for the lines in it."""
+
+    name: str = ""
+    boiler: bool = False
+    article: int = 0
+    own_header: bool = False
+    form: bool = False
+    soft: bool = False
+    within: int = 0
 
 
 class _Scanner:
@@ -92,22 +142,24 @@ class _Scanner:
         return page.find(">", at)
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, article) of each line that isn't boilerplate; article is 0 outside a marked one."""
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, boilerplate, article, article's own header
-    opened: dict[str, int] = {}  # elements of each name in the stack
+def lines(page: str) -> list[Line]:
+    """The lines of a page in order."""
+    out: list[Line] = []
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
+    blocks: list[int] = []  # places of open block elements
     parts: list[str] = []
-    in_links = articles = 0
-    boiler, article, own_header = False, 0, False
-    scanner = _Scanner(page)
+    in_links = articles = elements = 0
+    top = _Open()
+    scanner, more = _Scanner(page), True
 
     def flush() -> None:
         nonlocal in_links
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and not boiler and (not own_header or any(opened.get(h) for h in HEADINGS)):
-            out.append((text, max(0, len(text) - in_links), article))
+        if text:
+            boiler = top.boiler or top.own_header and not any(places.get(h) for h in HEADINGS)
+            out.append(Line(text, max(0, len(text) - in_links), top.article, boiler, top.form, top.soft, top.within))
         in_links = 0
 
     def say(text: str) -> None:
@@ -115,15 +167,20 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if "&" in text:
             text = html.unescape(text)
         parts.append(text)
-        if opened.get("a"):
+        if places.get("a"):
             in_links += len(text.strip())
 
     def close(at: int) -> None:
-        nonlocal boiler, article, own_header
-        for s in stack[at:]:
-            opened[s[0]] -= 1
-        del stack[at:]
-        _, boiler, article, own_header = stack[-1] if stack else ("", False, 0, False)
+        nonlocal top
+        while len(stack) > at:
+            name = stack.pop().name
+            places[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
+        top = stack[-1] if stack else _Open()
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     at, end = 0, len(page)
     while at < end:
@@ -136,16 +193,18 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         m = _NAME.match(page, lt + 1)
         if not m:
             sign = page[lt + 1 : lt + 2]
-            shut = (page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)) if sign and sign in "!?/" else -1
-            if page.startswith("<!--", lt):
+            comment = page.startswith("<!--", lt)
+            shut = (page.find("-->", lt + 4) if comment else page.find(">", lt) if more else -1) if sign and sign in "!?/" else -1
+            if comment:
                 at = shut + 3 if shut >= 0 else end
             elif shut >= 0:
                 at = shut + 1
             else:
+                more = more and not (sign and sign in "!?/")
                 say("<")
                 at = lt + 1
             continue
-        gt = scanner.end_of_tag(m.end())
+        gt = scanner.end_of_tag(m.end()) if more else -1
         if gt < 0:  # no tag ends any more
             say(page[lt:])
             break
@@ -153,13 +212,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if m.group(1):
             if name in BLOCKS:
                 flush()
-            if opened.get(name):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if name not in BLOCKS and stack[k][0] in BLOCKS:
-                        break
+            k = last((name,))
+            if k >= 0 and (name in BLOCKS or not blocks or k > blocks[-1]):
+                close(k)
             continue
         if name in RAW:
             if not attributes.rstrip().endswith("/"):
@@ -171,38 +226,44 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if name in BLOCKS:
             flush()
-            if name in CLOSES_P and opened.get("p"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        # what is open inside the paragraph goes with it, but a mark of boilerplate on it ends too
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            same = SAME.get(name, ())
-            if any(opened.get(n) for n in same):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in same:
-                        close(k)
-                        break
-                    if stack[k][0] in LISTS or name in ("td", "th") and stack[k][0] == "tr":
-                        break
+            if name in CLOSES_P and (k := last("p")) >= 0 and k == blocks[-1]:
+                # what is open inside the paragraph goes with it, but a mark of boilerplate on it ends too
+                close(k)
+            if (k := last(SAME.get(name, ()))) >= 0 and k > last((*LISTS, "tr") if name in ("td", "th") else LISTS):
+                close(k)
         if name in VOID:
             continue
-        inside = article
-        if name in ("article", "main") or 'role="main"' in attributes or "articleBody" in attributes:
-            if not (article or boiler):
-                articles += 1
-                inside = articles
-        boiler = boiler or _is_boiler(name, attributes, bool(article))
-        own_header = own_header or name == "header" and bool(article)
-        article = inside
-        opened[name] = opened.get(name, 0) + 1
-        stack.append((name, boiler, article, own_header))
+        elements += 1
+        inside, form = top.article, top.form or name == "form"
+        if (name in ("article", "main") or 'role="main"' in attributes or "articleBody" in attributes) and not (top.article or top.boiler):
+            articles += 1
+            inside, form = articles, False
+        boiler, soft = _is_boiler(name, attributes, bool(top.article))
+        within = top.within if name in TEXTS or name not in BLOCKS else elements
+        top = _Open(name, top.boiler or boiler, inside, top.own_header or name == "header" and bool(top.article), form, top.soft or soft, within)
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            blocks.append(len(stack))
+        stack.append(top)
     flush()
     return out
 
 
+def weights(found: list[Line]) -> tuple[list[int], list[bool]]:
+    """What lines weigh in the distribution, -1 for what is never text; and which stand in articles that hold most of the text."""
+    in_forms = sum(x.own for x in found if x.form and not x.boiler)
+    wrapped = in_forms > sum(x.own for x in found if not x.form and not x.boiler)
+    kept = [not x.boiler and (wrapped or not x.form) for x in found]
+    marked = sum(x.own for x, k in zip(found, kept, strict=True) if k and x.article)
+    most = marked > 0 and 2 * marked >= sum(x.own for x, k in zip(found, kept, strict=True) if k)
+    inside = [most and x.article > 0 for x in found]
+    own = []
+    for x, k, a in zip(found, kept, inside, strict=True):
+        weight = 0 if len(x.text) > 2 * x.own else max(1, x.own // 4) if x.soft or most and not a else x.own
+        own.append((weight + BONUS * a) if k else -1)
+    return own, inside
+
+
 def spans(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
     """(first, behind the last) of the lines from each surge to its dive."""
     sums, total = [0] * len(weights), 0
@@ -223,14 +284,24 @@ def spans(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of a page: its blocks in page order, one a line."""
+    """The main text of a page: its blocks in page order, one a line. Without a window all lines with weight are."""
     found = lines(page or "")
-    marked = any(article for _, _, article in found)
-    own = [(max(w, surge) if article else 0) if marked else 0 if len(t) > 2 * w else w for t, w, article in found]
-    picked = spans(own, window, surge) if window else []
-    if not picked:
-        return "\n".join(t for (t, _, _), w in zip(found, own, strict=True) if w)
-    return "\n".join(t for span in picked for t, _, article in found[slice(*span)] if article or not marked)
+    own, articles = weights(found)
+    picked: set[int] = set()
+    parts = [[i for i, a in enumerate(articles) if a]]
+    for i, a in enumerate(articles):
+        if not a:
+            if i == 0 or articles[i - 1]:
+                parts.append([])
+            parts[-1].append(i)
+    for at in parts if window else ():
+        picked.update(i for first, behind in spans([max(0, own[i]) for i in at], window, surge) for i in at[first:behind])
+    if picked:
+        homes = {found[i].within for i in picked if own[i] > 0}
+        taken = [own[i] >= 0 and (i in picked or own[i] > 0 and x.within in homes) for i, x in enumerate(found)]
+    else:
+        taken = [w > 0 and (a or not window or not any(articles)) for w, a in zip(own, articles, strict=True)]
+    return "\n".join(x.text for x, t in zip(found, taken, strict=True) if t)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

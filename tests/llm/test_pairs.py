@@ -180,12 +180,20 @@ def test_lines_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, sig string")
     got = linededup.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "sig", "n_lines", "n_removed"]
-    assert sorted((r.doc_id, r.text or "", r.n_removed) for r in got.collect()) == [(1, line + "\nshort line", 0), (2, "other words stand in this line", 1), (2, "short line", 1), (2, "short line", 1), (3, "", 0), (4, "", 0), (5, "\n", 1)]
+    assert sorted((r.doc_id, r.text or "", r.n_removed) for r in got.collect()) == [(1, line + "\nshort line", 0), (2, "", 2), (2, "", 2), (2, "other words stand in this line", 1), (3, "", 0), (4, "", 0), (5, "\n", 1)]
     null = spark.createDataFrame([(None, line), (1, line)], "doc_id long, text string")
     assert sorted(r.n_removed for r in linededup.dedup_lines(null).collect()) == [0, 1]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    line = "one two three four five six"
+    df = spark.createDataFrame([(1, line, 1, 2, 3, 4, 5), (2, line, 1, 2, 3, 4, 5)], "doc_id long, text string, doc_ int, th_ int, gone_ int, n_removed int, doc int")
+    got = linededup.dedup_lines(df)
+    assert sorted(got.columns) == sorted([*df.columns, "n_lines"])
+    assert sorted((r.doc_id, r.text, r.n_removed, r.doc_, r.th_, r.gone_, r.doc) for r in got.collect()) == [(1, line, 0, 1, 2, 3, 5), (2, "", 1, 1, 2, 3, 5)]
+
+
 def test_lines_white_space(spark):
     words = ["one", "two", "three", "four", "five", "six"]
     rows = [(1, " ".join(words)), (2, "\t".join(words) + "\r"), (3, "  ".join(words) + "\r\nleft alone in this line here\r"), (4, "a\tb\tc\td\te\na\tb\tc\td\te"), (5, "one\x0btwo\fthree four five six")]

@@ -176,6 +176,15 @@ def _check_packing(rows, texts, capacity=4096):
     return len(places)
 
 
+def test_packing_many_tiny_pieces():
+    """Thousands of equal pieces are stepped over by count."""
+    big = [1600, 2040, 1366, 2040, 2040, 2040, 700, 1400, 1600, 1370, 1500, 1370]
+    for n in (1300, 3000):
+        bins = packing.pack(big + [1] * n)
+        assert sorted(i for b in bins for i in b) == list(range(len(big) + n)) and len(bins) <= 6
+    assert len(packing.complete_bins([2000] * 3 + [1] * 3000, 4096, 3)) == 3
+
+
 def test_packing_query(spark, sf, documents):
     n = _check_packing(packing.query(spark, sf).collect(), {r.doc_id: r.text for r in documents.collect()})
     total = sum(r.length for r in packing.query(spark, sf).collect())
@@ -261,7 +270,7 @@ def test_main_text_unmarked_pages():
 def test_main_text_layout_classes(attribute):
     assert html_extract.main_text(f"<div {attribute}><h1 class='page-header'>T</h1><p>{LONG}</div>") == f"T\n{LONG}"
     assert html_extract.main_text(f"<div {attribute}><article><p>{LONG}</article><p>Outside.</div>") == LONG
-    assert html_extract.main_text(f"<div class='has-x sidebar'><p>{LONG}</div><h2 class='comments-header'>{LONG}</h2>") == ""
+    assert html_extract.main_text(f"<div class='has-x sidebar'><p>{LONG}</div><div class='comments-header'>{LONG}</div>") == ""
 
 
 def plain_spans(w, window, surge):
@@ -297,6 +306,37 @@ def test_main_text_keeps_the_rest():
     assert html_extract.main_text(f"<article><p>{LONG}{kept}<div class='share-buttons'>Share</div></article>") == f"{LONG}\nRelated work\n{LONG}\nFound.\nNoted."
 
 
+@pytest.mark.parametrize("name", "text-navy navy menu-of-the-day social-history share-price replies-to-critics promo respond comments-on-law subscription-model rail widget-theory foot".split())
+def test_main_text_keeps_paragraphs_of_any_class(name):
+    for page in (f"<article><p>{LONG}<p class='{name}'>Short.<p>End.</article>", f"<div><p>{LONG}<p class='{name}'>Short.<p>End.</div>"):
+        assert html_extract.main_text(page) == f"{LONG}\nShort.\nEnd."
+    if "-" in name:
+        assert html_extract.main_text(f"<article><p>{LONG}<div class='{name}'><p>Box.</div></article>") == f"{LONG}\nBox."
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "ad-slot", "cookie-notice", "site-nav", "post-comments", "newsletter-signup", "share-buttons", "advert-1", "comment_list", "promo box"])
+def test_main_text_leaves_marked_containers_out(name):
+    assert html_extract.main_text(f"<article><p>{LONG}<div class='{name}'><p>{LONG} {LONG}</div><p>End.</article>") == f"{LONG}\nEnd."
+
+
+def test_main_text_in_forms_and_beside_teasers():
+    assert html_extract.main_text(f"<form id=f><article><p>{LONG}</article></form>") == LONG
+    assert html_extract.main_text(f"<form id=aspnet><div><h1>T</h1><p>{LONG}<input value=x></div></form><p>Out.") == f"T\n{LONG}\nOut."
+    assert html_extract.main_text(f"<div><p>{LONG}<form>Your name <input></form><p>{LONG} 2</div>") == f"{LONG}\n{LONG} 2"
+    assert html_extract.main_text(f"<div><p>{LONG}<p>{LONG} 2</div><article>see this</article>").startswith(f"{LONG}\n{LONG} 2")
+    links = "".join(f"<li><a href=x>link {i}</a>" for i in range(6))
+    assert html_extract.main_text(f"<div><p>{LONG}<ul>{links}</ul><p>Short end.</div>") == f"{LONG}\nShort end."
+
+
+def test_windows_decide_on_pages_with_an_article():
+    """A stray line outside an article goes, a long text outside stays; without windows both stay."""
+    page = f"<div>Stray line.</div><article><h1>T</h1><p>{LONG} {LONG} {LONG} {LONG} {LONG}</article><div>{{}}</div>"
+    body = " ".join([LONG] * 5)
+    assert html_extract.main_text(page.format("Other.")) == f"T\n{body}"
+    assert html_extract.main_text(page.format("Other."), window=0) == f"Stray line.\nT\n{body}\nOther."
+    assert html_extract.main_text(page.format(f"{LONG} {LONG} {LONG}")) == f"T\n{body}\n{LONG} {LONG} {LONG}"
+
+
 def test_main_text_grows_in_proportion():
     """Malformed pages of twice the length take about twice the time."""
     for part in ('<a "x ', "<b><i></u>", "<p><b>x", "<", "<a href='x>y", "<!-- x", "</a ", "<li><b>y"):
@@ -306,6 +346,13 @@ def test_main_text_grows_in_proportion():
             html_extract.main_text(part * n)
             took.append(time.thread_time() - begin)
         assert took[1] < 12 * took[0] + 0.2, part
+    took = []
+    for n in (4000, 16000):
+        begin = time.thread_time()
+        html_extract.main_text("<b><div>" + "<i>" * n + "</b>" * n)
+        html_extract.main_text("<!" * 10 * n)
+        took.append(time.thread_time() - begin)
+    assert took[1] < 12 * took[0] + 0.2
     assert html_extract.main_text(f"<p>{LONG}<a href='x>y</a><p>{LONG} 2") == f"{LONG}y\n{LONG} 2"
 
 
