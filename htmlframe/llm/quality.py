@@ -1,9 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
 The features of a text are its words, the character n-grams of 3 to 5 characters within words (a white space may stand at
-either end), and the pairs of neighbouring words, each hashed to one of BUCKETS vectors. A pair is hashed by the difference
-of its words' hashes, so that a word said twice is one feature, whatever the word. A document is the mean of its features'
-vectors; a softmax layer gives the probability of each label. Vectors and layer are learned together by stochastic gradient
+either end), and the pairs of neighbouring words, each hashed to one of BUCKETS vectors. A pair is hashed by both
+of its words in order. A document is the mean of its features' vectors; a softmax layer gives the probability of each label. Vectors and layer are learned together by stochastic gradient
 descent in numpy on a sample of labelled rows of at most 2 * PER_CLASS documents. As the layer is linear in the mean,
 scoring folds it into the vectors: the difference of the two outputs is the mean of one number for each feature.
 
@@ -65,7 +64,7 @@ def features(text: str) -> np.ndarray:
         begin[starts] = starts
         at = (place - np.maximum.accumulate(begin)) & 4095
         words = np.add.reduceat(np.where(space, np.uint64(0), (x + np.uint64(1)) * _POWERS[at]), starts)
-        out += [_spread(words, 1), _spread(words[1:] - words[:-1], 2)]
+        out += [_spread(words, 1), _spread(words[:-1] * _P + words[1:], 2)]
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 

@@ -397,7 +397,7 @@ def plain_quality_features(text):
             if " " not in t[i + 1 : i + n - 1]:
                 out.append(spread(sum(ord(c) * power[j] for j, c in enumerate(t[i : i + n])) % top, n))
     words = [sum((ord(c) + 1) * power[j & 4095] for j, c in enumerate(w)) % top for w in t.split(" ") if w]
-    return out + [spread(w, 1) for w in words] + [spread((b - a) % top, 2) for a, b in zip(words, words[1:], strict=False)]
+    return out + [spread(w, 1) for w in words] + [spread((a * mix + b) % top, 2) for a, b in zip(words, words[1:], strict=False)]
 
 
 def test_quality_is_the_plain_scorer(documents):
@@ -417,7 +417,7 @@ def test_quality_features_in_blocks(monkeypatch):
     parts = sum(np.bincount(quality.features(b), minlength=quality.BUCKETS) for b in quality.blocks(text))
     assert "".join(quality.blocks(text)) == text and abs(whole - parts).sum() < 0.2 * whole.sum()
     assert "".join(quality.blocks("x" * 100)) == "x" * 100
-    assert len(quality.features("nö nö nö")) == len(plain_quality_features("nö nö nö")) and quality.features("nö nö")[-1] == quality.features("ß ß")[-1]
+    assert len(quality.features("nö nö nö")) == len(plain_quality_features("nö nö nö")) and quality.features("nö nä")[-1] != quality.features("nä nö")[-1]
 
 
 def _labels(spark, sf, module, label, least):
@@ -430,7 +430,8 @@ def _labels(spark, sf, module, label, least):
 
 
 def test_quality_held_out(spark, sf):
-    _labels(spark, sf, quality, "quality", 0.97)
+    """0.962; it was 1.0 while any word said twice was one feature, which served these tables' junk and no other."""
+    _labels(spark, sf, quality, "quality", 0.95)
 
 
 def test_toxicity_held_out(spark, sf):
