@@ -91,8 +91,13 @@ def _attrs(node: Node) -> list[dict]:
     return [{"ns": ns, "name": n, "value": v} for ns, n, v in node.attrs]
 
 
+def _doctype(node: Node) -> str | None:
+    return serialize.doctype(*node.doctype) if isinstance(node, Document) and node.doctype is not None else None
+
+
 def node_rows(key: int, doc: Node) -> list[tuple]:
-    """Rows of a tree in document order, the document first. last_id is the largest node_id below a node."""
+    """Rows of a tree in document order, the document first. last_id is the largest node_id below a node; data of a document
+    is its document type as it is written."""
     out: list[list] = []
     stack: list = [(doc, None, 0, False, (None,) * 5)]
     while stack:
@@ -105,7 +110,7 @@ def node_rows(key: int, doc: Node) -> list[tuple]:
         element = node.kind == ELEMENT
         out.append([
             key, me, parent, me, depth, node.kind, node.name if element else None, node.ns if element else None, _attrs(node) if element else None, node.get("id") if element else None,
-            node.classes if element else None, node.data if node.kind not in (ELEMENT, DOCUMENT, FRAGMENT) else None, inside, *place,
+            node.classes if element else None, None if node.kind in (ELEMENT, FRAGMENT) else _doctype(node) if node.kind == DOCUMENT else node.data, inside, *place,
             (not any(c.kind == ELEMENT or c.kind == TEXT and c.data.strip() for c in node.children)) if element else None,
             (node.parent is not None and node.parent.kind in (DOCUMENT, FRAGMENT)) if element else None,
         ])

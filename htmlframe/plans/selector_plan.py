@@ -231,11 +231,13 @@ class _Compiled:
             ends = step.out
         return ends
 
-    def rows(self, elements: DataFrame, split: int | None) -> DataFrame:
-        """Elements that some compound matches, with a boolean column for each chain."""
-        fields = [F.col(f) for f in FIELDS]
-        rows = elements.select(*fields, *[F.coalesce(p, F.lit(False)).alias(n) for n, p, _ in self.compounds.values()])
-        rows = rows.where(reduce(lambda a, b: a | b, [F.col(n) for n, _, _ in self.compounds.values()]))
+    def rows(self, nodes: DataFrame, split: int | None, whole: bool = False) -> DataFrame:
+        """Elements that some compound matches, with a boolean column for each chain; or whole rows of all nodes."""
+        element = F.expr(ELEMENTS)
+        fields = nodes.columns if whole else FIELDS
+        rows = (nodes if whole else nodes.where(element)).select(*fields, *[F.coalesce(element & p if whole else p, F.lit(False)).alias(n) for n, p, _ in self.compounds.values()])
+        if not whole:
+            rows = rows.where(reduce(lambda a, b: a | b, [F.col(n) for n, _, _ in self.compounds.values()]))
         deepest = max((d for d, _ in self.steps), default=0)
         for depth in range(deepest + 1):
             for n, _, inner in self.compounds.values():
@@ -267,7 +269,15 @@ def select_nodes(nodes: DataFrame, selector: str, semantics: str = "compat", spl
     _check(semantics)
     made = _Compiled(semantics)
     columns = [made.chain(c) for c in sel.parse(selector)]
-    return made.rows(nodes.where(ELEMENTS), split).where(reduce(lambda a, b: a | b, map(F.col, columns))).select(*FIELDS)
+    return made.rows(nodes, split).where(reduce(lambda a, b: a | b, map(F.col, columns))).select(*FIELDS)
+
+
+def mark_nodes(nodes: DataFrame, selector: str, name: str = "matched", semantics: str = "compat", split: int | None = None) -> DataFrame:
+    """All nodes with a boolean column that says which elements match."""
+    _check(semantics)
+    made = _Compiled(semantics)
+    columns = [made.chain(c) for c in sel.parse(selector)]
+    return made.rows(nodes, split, whole=True).select(*nodes.columns, reduce(lambda a, b: a | b, map(F.col, columns)).alias(name))
 
 
 def select_many(nodes: DataFrame, selectors: list[str], semantics: str = "compat", split: int | None = None) -> DataFrame:
@@ -280,4 +290,4 @@ def select_many(nodes: DataFrame, selectors: list[str], semantics: str = "compat
     if not columns:
         return nodes.where("false").select(F.lit(0).alias("selector_idx"), *FIELDS)
     met = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, map(F.col, some)), F.lit(i)) for i, some in enumerate(columns)]))
-    return made.rows(nodes.where(ELEMENTS), split).select(F.explode(met).alias("selector_idx"), *FIELDS)
+    return made.rows(nodes, split).select(F.explode(met).alias("selector_idx"), *FIELDS)
