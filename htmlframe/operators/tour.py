@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from htmlframe import schemas as sc
 from htmlframe.functions import builder, serialize
 from htmlframe.functions.tree import FRAGMENT, Node
-from htmlframe.operators.dom import attribute_text
+from htmlframe.operators.dom import attribute_text, first_of
 from htmlframe.operators.parse import node_rows
+from htmlframe.plans.selector_plan import mark_nodes
 
 WRITTEN = "not in_template"
 NAMES = [f.name for f in sc.NODES]
@@ -114,6 +115,12 @@ def text_of_marked(marked: DataFrame) -> DataFrame:
     return each.select("doc_id", "node_id", F.expr("substr(said, cast(first + 1 as int), cast(behind - first as int))").alias("text"))
 
 
+def titles(nodes: DataFrame) -> DataFrame:
+    """(doc_id, title): text of the first title directly in the head, as it is."""
+    found = text_of_marked(mark_nodes(nodes, ":root > head > title"))
+    return first_of(found).select("doc_id", F.col("text").alias("title"))
+
+
 def places(nodes: DataFrame) -> DataFrame:
     """Nodes with their places among siblings, and whether they are empty, worked out anew."""
     element = F.col("node_type") == 1

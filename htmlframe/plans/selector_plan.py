@@ -102,78 +102,103 @@ def nearest_matters(chain: sel.Chain) -> bool:
     return any(chain[i][0] == " " and chain[i - 1][0] in (">", "+", "~") or chain[i][0] == "~" and chain[i - 1][0] == "+" for i in range(2, len(chain)))
 
 
+#: Flags in a column: what is known of an element is bits of a few numbers, however many selectors are asked.
+BITS = 60
+
+
+def _flag(i: int) -> Column:
+    return F.col(f"flags{i // BITS}_").bitwiseAND(F.lit(1 << i % BITS)) != 0
+
+
+def _any(flags: list[int]) -> Column:
+    """Whether any of some flags is set."""
+    masks: dict[int, int] = {}
+    for i in flags:
+        masks[i // BITS] = masks.get(i // BITS, 0) | 1 << i % BITS
+    return reduce(lambda a, b: a | b, [F.col(f"flags{k}_").bitwiseAND(F.lit(m)) != 0 for k, m in sorted(masks.items())])
+
+
+def _set(rows: DataFrame, found: dict[int, Column]) -> DataFrame:
+    """Rows with more flags, from boolean columns."""
+    added: dict[str, list[Column]] = {}
+    for i, c in found.items():
+        added.setdefault(f"flags{i // BITS}_", []).append(F.when(c, F.lit(1 << i % BITS)).otherwise(F.lit(0)).cast("long"))
+    old = set(rows.columns)
+    return rows.withColumns({n: reduce(lambda a, b: a.bitwiseOR(b), ([F.col(n)] if n in old else []) + cs) for n, cs in added.items()})
+
+
 @dataclass(frozen=True)
 class _Step:
-    """Column `out` becomes: the compound in column `own` matches, and `how` leads to an element that ends the prefix in column
-    `ends` and whose compound is that in column `before`; with nearest, the nearest of those that the compound matches."""
+    """Flag `out` becomes: the compound of flag `own` matches, and `how` leads to an element that ends the prefix of flag `ends`
+    and whose compound is that of flag `before`; with nearest, the nearest of those that the compound matches."""
 
     how: str
     nearest: bool
-    before: str
-    ends: str
-    own: str
-    out: str
+    before: int
+    ends: int
+    own: int
+    out: int
 
 
-def _said(found: Column, own: str) -> Column:
-    return F.col(own) & F.coalesce(found, F.lit(False))
+def _done(rows: DataFrame, keep: list[str], found: dict[_Step, Column]) -> DataFrame:
+    """Rows with the columns to keep, and a flag for each step set by what its window gives."""
+    given = rows.select(*keep, *[c.alias(f"found{s.out}_") for s, c in found.items()])
+    return _set(given, {s.out: _flag(s.own) & F.coalesce(F.col(f"found{s.out}_"), F.lit(False)) for s in found}).drop(*[f"found{s.out}_" for s in found])
 
 
 def _descendants(rows: DataFrame, steps: list[_Step]) -> DataFrame:
     earlier = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    reach = {s.ends: F.max(F.when(F.col(s.ends), F.col("last_id"))).over(earlier) for s in steps}
-    return rows.select("*", *[_said(reach[s.ends] >= F.col("node_id"), s.own).alias(s.out) for s in steps])
+    return _done(rows, rows.columns, {s: F.max(F.when(_flag(s.ends), F.col("last_id"))).over(earlier) >= F.col("node_id") for s in steps})
 
 
 def _nearest_ancestor(rows: DataFrame, step: _Step) -> DataFrame:
     """Candidates that are open around an element number its depth among them; the last one opened at that depth is nearest."""
-    closing = F.when(F.col(step.before), F.struct(F.col("last_id").alias("at"), F.lit(1).alias("closes")))
+    keep, candidate = rows.columns, _flag(step.before)
+    closing = F.when(candidate, F.struct(F.col("last_id").alias("at"), F.lit(1).alias("closes")))
     places = rows.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("node_id").alias("at"), F.lit(0).alias("closes")), closing))))
     earlier = Window.partitionBy("doc_id").orderBy("at", "closes").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.sum(F.when(F.col("closes") == 1, -1).when(F.col(step.before), 1).otherwise(0)).over(earlier), F.lit(0))
+    opened = F.coalesce(F.sum(F.when(F.col("closes") == 1, -1).when(candidate, 1).otherwise(0)).over(earlier), F.lit(0))
     deep = places.withColumn("open_", opened).where("closes = 0")
-    candidate = F.when(F.col(step.before), F.struct((F.col("open_") + 1).alias("level_"), F.lit(0).alias("asks_")))
-    asked = deep.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("open_").alias("level_"), F.lit(1).alias("asks_")), candidate))))
+    stands = F.when(candidate, F.struct((F.col("open_") + 1).alias("level_"), F.lit(0).alias("asks_")))
+    asked = deep.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("open_").alias("level_"), F.lit(1).alias("asks_")), stands))))
     before = Window.partitionBy("doc_id", "level_").orderBy("node_id", "asks_").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("asks_") == 0, F.col(step.ends)), ignorenulls=True).over(before)
-    return asked.withColumn(step.out, _said(last, step.own)).where("asks_ = 1").drop("at", "closes", "open_", "level_", "asks_")
+    last = F.last(F.when(F.col("asks_") == 0, _flag(step.ends)), ignorenulls=True).over(before)
+    return _done(asked, [*keep, "asks_"], {step: last}).where("asks_ = 1").drop("asks_")
 
 
 def _siblings(rows: DataFrame, steps: list[_Step], split: int | None) -> DataFrame:
-    def said(s: _Step) -> Column:
-        return F.when(F.col(s.before), F.col(s.ends)) if s.nearest else F.when(F.col(s.ends), True)
+    keep = rows.columns
+    values = [F.when(_flag(s.before), _flag(s.ends)) if s.nearest else F.when(_flag(s.ends), True) for s in steps]
 
-    def upto(values: list[Column], family: list[str], end: int) -> list[Column]:
+    def upto(family: list[str], end: int) -> list[Column]:
         w = Window.partitionBy(*family).orderBy("node_id").rowsBetween(Window.unboundedPreceding, end)
         return [F.last(v, ignorenulls=True).over(w) for v in values]
 
-    values = [said(s) for s in steps]
     if not split:
-        return rows.select("*", *[_said(v, s.own).alias(s.out) for v, s in zip(upto(values, ["doc_id", "parent_id"], -1), steps, strict=True)])
+        return _done(rows, keep, dict(zip(steps, upto(["doc_id", "parent_id"], -1), strict=True)))
     # the sum of a range goes, as a row of its own, to the range that comes next among the family's
     names = [f"sum{i}_" for i in range(len(steps))]
     ranged = rows.withColumn("range_", F.floor(F.col("node_id") / split).cast("int"))
     family = ["doc_id", "parent_id", "range_"]
     following = F.lead("node_id").over(Window.partitionBy(*family).orderBy("node_id"))
-    inner = ranged.select("*", *[x.alias(f"{n}in") for n, x in zip(names, upto(values, family, -1), strict=True)], *[x.alias(n) for n, x in zip(names, upto(values, family, 0), strict=True)], following.isNull().alias("last_"))
+    inner = ranged.select("*", *[x.alias(f"{n}in") for n, x in zip(names, upto(family, -1), strict=True)], *[x.alias(n) for n, x in zip(names, upto(family, 0), strict=True)], following.isNull().alias("last_"))
     doubled = inner.select("*", F.explode(F.when(F.col("last_"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("row_")).withColumn("part_", F.when(F.col("row_") == 0, F.lit(-1)).otherwise(F.col("range_")))
     sums = Window.partitionBy("doc_id", "parent_id", "part_").orderBy("range_", "node_id")
     running = sums.rowsBetween(Window.unboundedPreceding, 0)
     added = doubled.select("*", *[F.when(F.col("row_") == 0, F.last(n, ignorenulls=True).over(running)).alias(f"{n}upto") for n in names], F.when(F.col("row_") == 0, F.lead("range_").over(sums)).otherwise(F.col("range_")).alias("to_"))
     carried = Window.partitionBy("doc_id", "parent_id", "to_").orderBy("row_", "node_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = added.where("to_ is not null").select("*", *[F.coalesce(F.col(f"{n}in"), F.first(F.col(f"{n}upto")).over(carried)).alias(f"{n}all") for n in names]).where("row_ = 1")
-    done = out.select("*", *[_said(F.col(f"{n}all"), s.own).alias(s.out) for n, s in zip(names, steps, strict=True)])
-    return done.drop("range_", "last_", "row_", "part_", "to_", *[n + x for n in names for x in ("", "in", "upto", "all")])
+    whole = {s: F.coalesce(F.col(f"{n}in"), F.first(F.col(f"{n}upto")).over(carried)) for n, s in zip(names, steps, strict=True)}
+    return _done(added.where("to_ is not null"), [*keep, "row_"], whole).where("row_ = 1").drop("row_")
 
 
 def _fetched(rows: DataFrame, steps: list[_Step], key: str) -> DataFrame:
     """Steps to the one element whose number is in a column."""
-    ends = sorted({s.ends for s in steps})
-    given = F.when(reduce(lambda a, b: a | b, map(F.col, ends)), F.struct(F.col("node_id").alias("key_"), F.lit(0).alias("asks_")))
+    keep = rows.columns
+    given = F.when(_any([s.ends for s in steps]), F.struct(F.col("node_id").alias("key_"), F.lit(0).alias("asks_")))
     both = rows.select("*", F.inline(F.array_compact(F.array(F.struct(F.col(key).alias("key_"), F.lit(1).alias("asks_")), given))))
     w = Window.partitionBy("doc_id", "key_").orderBy("asks_").rowsBetween(Window.unboundedPreceding, 0)
-    got = {e: F.max(F.when((F.col("asks_") == 0) & F.col("key_").isNotNull(), F.col(e))).over(w) for e in ends}
-    return both.select("*", *[_said(got[s.ends], s.own).alias(s.out) for s in steps]).where("asks_ = 1").drop("key_", "asks_")
+    stands = (F.col("asks_") == 0) & F.col("key_").isNotNull()
+    return _done(both, [*keep, "asks_"], {s: F.max(F.when(stands, _flag(s.ends))).over(w) for s in steps}).where("asks_ = 1").drop("asks_")
 
 
 def _run(rows: DataFrame, steps: list[_Step], split: int | None) -> DataFrame:
@@ -193,66 +218,77 @@ def _run(rows: DataFrame, steps: list[_Step], split: int | None) -> DataFrame:
 
 
 class _Compiled:
-    """Selectors compiled to predicates of compounds, what nested :not() ask for, and a trie of steps."""
+    """Selectors compiled to predicates of compounds, what nested :not() ask for, and a trie of steps. Each compound and each
+    step is a flag."""
 
     def __init__(self, semantics: str):
         self.semantics = semantics
-        #: compound -> column, its predicate without nested selectors, and these.
-        self.compounds: dict[sel.Compound, tuple[str, Column, list[tuple[sel.Chain, ...]]]] = {}
+        self.flags = 0
+        #: compound -> flag, its predicate without nested selectors, and these.
+        self.compounds: dict[sel.Compound, tuple[int, Column, list[tuple[sel.Chain, ...]]]] = {}
         #: steps by how deep they are nested in :not(), inner first, then by place in the chain.
         self.steps: dict[tuple[int, int], dict[tuple, _Step]] = {}
-        self.nested: dict[tuple[sel.Chain, ...], tuple[int, list[str]]] = {}
+        #: nested selectors -> how deep they are nested, and the flags of their chains.
+        self.nested: dict[tuple[sel.Chain, ...], tuple[int, list[int]]] = {}
 
-    def compound(self, c: sel.Compound) -> str:
+    def _next(self) -> int:
+        self.flags += 1
+        return self.flags - 1
+
+    def compound(self, c: sel.Compound) -> int:
         if c not in self.compounds:
             simple = [(s, _simple(s)) for s in c]
             inner = [sel.parse(s.value) for s, column in simple if column is None]
-            self.compounds[c] = (f"is{len(self.compounds)}_", reduce(lambda a, b: a & b, [x for _, x in simple if x is not None], F.lit(True)), inner)
+            self.compounds[c] = (self._next(), reduce(lambda a, b: a & b, [x for _, x in simple if x is not None], F.lit(True)), inner)
             for chains in inner:
                 if chains not in self.nested:
                     self.nested[chains] = (0, [])
-                    columns = [self.chain(x) for x in chains]
-                    self.nested[chains] = (1 + max(self.depth(x) for x in chains), columns)
+                    found = [self.chain(x) for x in chains]
+                    self.nested[chains] = (1 + max(self.depth(x) for x in chains), found)
         return self.compounds[c][0]
 
     def depth(self, chain: sel.Chain) -> int:
         """How deep :not() with combinators are nested below a chain's compounds."""
         return max((self.nested[x][0] for _, c in chain for x in self.compounds[c][2]), default=0)
 
-    def chain(self, chain: sel.Chain) -> str:
-        """The column that says which elements a chain matches."""
+    def chain(self, chain: sel.Chain) -> int:
+        """The flag that says which elements a chain matches."""
         own = [self.compound(c) for _, c in chain]
         compat, depth, ends = self.semantics == "compat" and nearest_matters(chain), self.depth(chain), own[0]
         for i in range(1, len(chain)):
             how = chain[i][0]
             level = self.steps.setdefault((depth, i), {})
             key = (how, compat and how in " ~", own[i - 1], ends, own[i])
-            step = level.setdefault(key, _Step(*key, f"ends{depth}_{i}_{len(level)}_"))
-            ends = step.out
+            if key not in level:
+                level[key] = _Step(*key, self._next())
+            ends = level[key].out
         return ends
 
     def rows(self, nodes: DataFrame, split: int | None, whole: bool = False) -> DataFrame:
-        """Elements that some compound matches, with a boolean column for each chain; or whole rows of all nodes."""
+        """Elements that some compound matches, with flags; or whole rows of all nodes."""
         element = F.expr(ELEMENTS)
-        fields = nodes.columns if whole else FIELDS
-        rows = (nodes if whole else nodes.where(element)).select(*fields, *[F.coalesce(element & p if whole else p, F.lit(False)).alias(n) for n, p, _ in self.compounds.values()])
+        rows = nodes if whole else nodes.where(element)
+        compounds = [n for n, _, _ in self.compounds.values()]
+        rows = _set(rows, {n: F.coalesce(element & p if whole else p, F.lit(False)) for n, p, _ in self.compounds.values()})
+        flags = [f"flags{k}_" for k in range(-(-self.flags // BITS))]
+        rows = rows.select(*(nodes.columns if whole else FIELDS), *[n if n in rows.columns else F.lit(0).cast("long").alias(n) for n in flags])
         if not whole:
-            rows = rows.where(reduce(lambda a, b: a | b, [F.col(n) for n, _, _ in self.compounds.values()]))
+            rows = rows.where(_any(compounds))
         deepest = max((d for d, _ in self.steps), default=0)
-        for depth in range(deepest + 1):
+        for depth in range(max([deepest, *(d for d, _ in self.nested.values())]) + 1):
             for n, _, inner in self.compounds.values():
                 if inner and max(self.nested[x][0] for x in inner) == depth:
-                    excluded = [F.col(x) for chains in inner for x in self.nested[chains][1]]
-                    rows = rows.withColumn(n, F.col(n) & ~reduce(lambda a, b: a | b, excluded))
+                    rows = self._excluded(rows, n, [i for chains in inner for i in self.nested[chains][1]])
             for d, i in sorted(self.steps):
                 if d == depth:
                     rows = _run(rows, list(self.steps[d, i].values()), split)
-        for n, _, inner in self.compounds.values():
-            if inner and max(self.nested[x][0] for x in inner) > deepest:
-                excluded = [F.col(x) for chains in inner for x in self.nested[chains][1]]
-                rows = rows.withColumn(n, F.col(n) & ~reduce(lambda a, b: a | b, excluded))
         return rows
 
+    def _excluded(self, rows: DataFrame, flag: int, others: list[int]) -> DataFrame:
+        """A flag taken back where any of others is set."""
+        name = f"flags{flag // BITS}_"
+        return rows.withColumn(name, F.when(_any(others), F.col(name).bitwiseAND(F.lit(~(1 << flag % BITS)))).otherwise(F.col(name)))
+
 
 def _check(semantics: str) -> None:
     if semantics not in ("compat", "css"):
@@ -268,16 +304,16 @@ def select_nodes(nodes: DataFrame, selector: str, semantics: str = "compat", spl
     split: node numbers of a range of siblings, where a parent may have millions of children; by default a family is one."""
     _check(semantics)
     made = _Compiled(semantics)
-    columns = [made.chain(c) for c in sel.parse(selector)]
-    return made.rows(nodes, split).where(reduce(lambda a, b: a | b, map(F.col, columns))).select(*FIELDS)
+    chains = [made.chain(c) for c in sel.parse(selector)]
+    return made.rows(nodes, split).where(_any(chains)).select(*FIELDS)
 
 
 def mark_nodes(nodes: DataFrame, selector: str, name: str = "matched", semantics: str = "compat", split: int | None = None) -> DataFrame:
     """All nodes with a boolean column that says which elements match."""
     _check(semantics)
     made = _Compiled(semantics)
-    columns = [made.chain(c) for c in sel.parse(selector)]
-    return made.rows(nodes, split, whole=True).select(*nodes.columns, reduce(lambda a, b: a | b, map(F.col, columns)).alias(name))
+    chains = [made.chain(c) for c in sel.parse(selector)]
+    return made.rows(nodes, split, whole=True).select(*nodes.columns, _any(chains).alias(name))
 
 
 def select_many(nodes: DataFrame, selectors: list[str], semantics: str = "compat", split: int | None = None) -> DataFrame:
@@ -286,8 +322,9 @@ def select_many(nodes: DataFrame, selectors: list[str], semantics: str = "compat
     selector_idx is the place in the list. A bad selector raises SelectorError here, on the driver."""
     _check(semantics)
     made = _Compiled(semantics)
-    columns = [[made.chain(c) for c in sel.parse(s)] for s in selectors]
-    if not columns:
+    chains = [[made.chain(c) for c in sel.parse(s)] for s in selectors]
+    if not chains:
         return nodes.where("false").select(F.lit(0).alias("selector_idx"), *FIELDS)
-    met = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, map(F.col, some)), F.lit(i)) for i, some in enumerate(columns)]))
-    return made.rows(nodes, split).select(F.explode(met).alias("selector_idx"), *FIELDS)
+    met = F.array_compact(F.array(*[F.when(_any(some), F.lit(i)) for i, some in enumerate(chains)]))
+    rows = made.rows(nodes, split).where(_any([i for some in chains for i in some]))
+    return rows.select(F.explode(met).alias("selector_idx"), *FIELDS)

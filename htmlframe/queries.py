@@ -11,17 +11,18 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from htmlframe.errors import error_rows
 from htmlframe.functions import dump as dmp
 from htmlframe.functions import builder, sql, token_html
 from htmlframe.functions import selectors as sel
-from htmlframe.operators import dom
+from htmlframe.operators import dom, tour
 from htmlframe.operators import parse as ps
-from htmlframe.plans.selector_plan import predicate, select_nodes
+from htmlframe.plans.selector_plan import mark_nodes, select_many, select_nodes
 from htmlframe.sources.pages import joined_output, keep_nodes, read_table, stream_pages
+from htmlframe.schemas import NODES
 from htmlframe.streaming.events import run_to_table, stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,8 +87,7 @@ def _count_query(name: str, selector: str, oracle: str) -> None:
     """The number of matches on each page, by the plan over nodes."""
 
     def run(spark, sf_dir, selector=selector):
-        simple = all(len(c) == 1 and predicate(c[0][1]) is not None for c in sel.parse(selector))
-        return select_nodes(nodes(spark, sf_dir, None if simple else [c for c in PLANNED if c != "data"]), selector).groupBy("doc_id").agg(F.count("*").alias("n"))
+        return select_nodes(nodes(spark, sf_dir), selector).groupBy("doc_id").agg(F.count("*").alias("n"))
 
     QUERIES[name] = run
     ORACLES[name] = f"SELECT page_id AS doc_id, CAST({oracle} AS BIGINT) AS n FROM pages WHERE {oracle} > 0"
@@ -159,6 +159,33 @@ def sel_greedy_semantics(spark, sf_dir):
     return both[0].union(both[1])
 
 
+@query("sel_greedy_pages", f"SELECT page_id AS doc_id, 'compat' AS semantics, CAST({_P} AS BIGINT) AS n FROM pages WHERE {_P} > 0 UNION ALL SELECT page_id, 'css', CAST({_P} + {_LI} AS BIGINT) FROM pages WHERE {_P} + {_LI} > 0")
+def sel_greedy_pages(spark, sf_dir):
+    """A list whose items' nearest element above, their list, isn't a child of the body: it matches them in css only."""
+    n = nodes(spark, sf_dir)
+    both = [select_nodes(n, "body > * li, body > * p", s).groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(s).alias("semantics"), "n") for s in ("compat", "css")]
+    return both[0].union(both[1])
+
+
+#: A hundred selectors with the number of their matches on a page.
+MANY = [
+    ("nav a", f"len({_HREFS})"), ("nav > ul > li > a", f"len({_HREFS})"), ("h1 ~ p", _P), ("body > article p", _P), ("li + li", f"greatest({_LI} - 1, 0)"), ("article > p:first-of-type", f"least({_P}, 1)"), ("li:not(:first-child)", f"greatest({_LI} - 1, 0)"),
+    ("body li a", f"len({_HREFS})"), ("ul > li ~ li", f"greatest({_LI} - 1, 0)"), ("html > body > article > h1", "len(regexp_extract_all(html, '<h1>'))"),
+    *[(f"ul > li:nth-child({k})", f"CASE WHEN {_LI} >= {k} THEN 1 ELSE 0 END") for k in range(1, 16)],
+    *[(f"nav li:nth-child(n+{k}) > a", f"greatest({_LI} - {k - 1}, 0)") for k in range(1, 16)],
+    *[(f"nav li:nth-last-child({k}) a", f"CASE WHEN {_LI} >= {k} THEN 1 ELSE 0 END") for k in range(1, 16)],
+    *[(f"article p:nth-of-type(-n+{k})", f"least({_P}, {k})") for k in range(1, 16)],
+    *[(f"h1 ~ p:nth-of-type({k})", f"CASE WHEN {_P} >= {k} THEN 1 ELSE 0 END") for k in range(1, 16)],
+    *[(f"body > article > p:nth-of-type(n+{k})", f"greatest({_P} - {k - 1}, 0)") for k in range(1, 16)],
+]
+
+
+@query("sel_many", " UNION ALL ".join(f"SELECT page_id AS doc_id, {i} AS selector_idx, CAST({want} AS BIGINT) AS n FROM pages WHERE {want} > 0" for i, (_, want) in enumerate(MANY)))
+def sel_many(spark, sf_dir):
+    """A hundred selectors in one pass over the nodes."""
+    return select_many(nodes(spark, sf_dir), [s for s, _ in MANY]).groupBy("doc_id", "selector_idx").agg(F.count("*").alias("n"))
+
+
 @query("links", f"SELECT page_id AS doc_id, i - 1 AS idx, {_decoded('href')} AS href, {_decoded('text')} AS text FROM (SELECT page_id, CAST(unnest(range(1, len(h) + 1)) AS INTEGER) AS i, unnest(h) AS href, unnest(t) AS text FROM (SELECT page_id, {_HREFS} AS h, regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) AS t FROM pages))")
 def links(spark, sf_dir):
     """All links in document order: the flagship query."""
@@ -173,9 +200,8 @@ def query_first(spark, sf_dir):
 
 @query("query_first_plan", f"SELECT page_id AS doc_id, {_decoded('h[1]')} AS href FROM (SELECT page_id, {_HREFS} AS h FROM pages) WHERE len(h) > 0")
 def query_first_plan(spark, sf_dir):
-    n = nodes(spark, sf_dir, PLANNED)
-    found = dom.first_of(select_nodes(n, "a[href]"))
-    return n.join(found.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", dom.attr("href").alias("href"))
+    found = mark_nodes(nodes(spark, sf_dir), "a[href]").where("matched").select("doc_id", "node_id", dom.attr("href").alias("href"))
+    return dom.first_of(found).select("doc_id", "href")
 
 
 @query("el_count_by_tag", f"SELECT page_id AS doc_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) WHERE tag <> 'b' GROUP BY ALL UNION ALL SELECT page_id, 'b', CAST({_B} AS BIGINT) FROM pages WHERE {_B} > 0")
@@ -190,7 +216,7 @@ def title_text(spark, sf_dir):
 
 @query("title_plan", f"SELECT page_id AS doc_id, {_decoded(chr(120))} AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS x FROM pages)")
 def title_plan(spark, sf_dir):
-    return dom.titles(nodes(spark, sf_dir, PLANNED))
+    return tour.titles(nodes(spark, sf_dir))
 
 
 @query("doctype_quirks", "SELECT page_id AS doc_id, 'html' AS name, CAST(0 AS INTEGER) AS quirks_mode FROM pages")
@@ -205,8 +231,7 @@ def comments(spark, sf_dir):
 
 @query("nav_text", f"SELECT page_id AS doc_id, {_decoded(chr(120))} AS text FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<[^>]*>', '', 'g') AS x FROM pages)")
 def nav_text(spark, sf_dir):
-    n = nodes(spark, sf_dir, PLANNED)
-    return dom.text_of(n, select_nodes(n, "nav")).select("doc_id", "text")
+    return tour.text_of_marked(mark_nodes(nodes(spark, sf_dir), "nav")).select("doc_id", "text")
 
 
 @query("script_text", "SELECT page_id AS doc_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS text FROM pages")
@@ -266,8 +291,7 @@ def body_section(spark, sf_dir):
 
 @query("removed_nav", "SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS n FROM pages")
 def removed_nav(spark, sf_dir):
-    n = nodes(spark, sf_dir, PLANNED)
-    left = dom.without(n, select_nodes(n, "nav"))
+    left = tour.without_marked(mark_nodes(nodes(spark, sf_dir), "nav"))
     return left.groupBy("doc_id").agg(F.count_if(F.col("tag") == "li").alias("n"))
 
 
@@ -377,10 +401,82 @@ def _each(df: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of every page without its menu and with a rule before each paragraph."""
+    left = tour.edit_nodes(mark_nodes(nodes(spark, sf_dir), "nav"), "remove")
+    return tour.edit_nodes(mark_nodes(left, "p"), "before", "<hr>")
+
+
 @query("pages_edited")
 def pages_edited(spark, sf_dir):
-    """Every page without its menu and with a note before each paragraph."""
-    return ps.edit_pages(ps.edit_pages(pages(spark, sf_dir), "nav", "remove").select(F.col("doc_id").alias("page_id"), F.col("output").alias("html")), "p", "before", "<hr>")
+    """Every page without its menu and with a rule before each paragraph, as HTML."""
+    return tour.nodes_to_html(_edited(spark, sf_dir))
+
+
+#: Tags that may be missing where elements were left open, and the signs that HTML may write in two ways.
+_LOOSE = "</?(b|p|body|html)>"
+_SAME = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _skeleton(html: Column) -> Column:
+    """HTML with signs instead of references, and without the tags that may be missing."""
+    for reference, sign in _SAME:
+        html = F.replace(html, F.lit(reference), F.lit(sign))
+    return F.regexp_replace(html, _LOOSE, "")
+
+
+def _skeleton_sql(html: str) -> str:
+    return f"regexp_replace({_decoded(html)}, '{_LOOSE}', '', 'g')"
+
+
+@query("html_of_nodes", f"SELECT page_id AS doc_id, {_skeleton_sql('html')} AS html FROM pages")
+def html_of_nodes(spark, sf_dir):
+    """Every page written from its nodes, compared without the tags that may be left open."""
+    return tour.nodes_to_html(nodes(spark, sf_dir)).select("doc_id", _skeleton(F.col("output")).alias("html"))
+
+
+@query("html_of_edited_nodes", f"SELECT page_id AS doc_id, {_skeleton_sql(chr(120))} AS html FROM (SELECT page_id, replace(regexp_replace(html, '(?s)<nav>.*?</nav>', ''), '<p>', '<hr><p>') AS x FROM pages)")
+def html_of_edited_nodes(spark, sf_dir):
+    """Every page written after its nodes were edited."""
+    return tour.nodes_to_html(_edited(spark, sf_dir)).select("doc_id", _skeleton(F.col("output")).alias("html"))
+
+
+@query("edited_nodes", f"SELECT page_id AS doc_id, CAST({_P} AS BIGINT) AS n_rules, CAST({_P} AS BIGINT) AS n_rules_in_article, CAST({_P} AS BIGINT) AS n_rules_before_p, CAST(0 AS BIGINT) AS n_li, CAST({_P} AS BIGINT) AS n_matched FROM pages")
+def edited_nodes(spark, sf_dir):
+    """What selectors find in edited nodes, which are a table of nodes like any other."""
+    found = select_many(_edited(spark, sf_dir), ["hr", "article > hr", "hr + p", "nav li", "article > p:nth-child(n+2)"]).groupBy("doc_id").agg(*[F.count_if(F.col("selector_idx") == i).alias(name) for i, name in enumerate(("n_rules", "n_rules_in_article", "n_rules_before_p", "n_li", "n_matched"))])
+    return found
+
+
+@query("replaced_nodes", f"SELECT page_id AS doc_id, CAST({_LI} AS BIGINT) AS n_items, CAST({_LI} AS BIGINT) AS n_marks, CAST(0 AS BIGINT) AS n_links, CAST(CASE WHEN {_LI} > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_last FROM pages WHERE {_LI} > 0")
+def replaced_nodes(spark, sf_dir):
+    """Links replaced by two elements each, and an element appended to each list."""
+    made = tour.edit_nodes(mark_nodes(nodes(spark, sf_dir), "li > a"), "replace", "<i>to</i><em>there</em>")
+    made = tour.edit_nodes(mark_nodes(made, "nav > ul"), "append", "<ol class=end>end</ol>")
+    names = ("n_items", "n_marks", "n_links", "n_last")
+    return select_many(made, ["li > i:first-child:nth-last-child(2)", "i + em", "nav a", "nav > ul > ol.end:last-child"]).groupBy("doc_id").agg(*[F.count_if(F.col("selector_idx") == i).alias(n) for i, n in enumerate(names)])
+
+
+@query("json_of_nodes", f"SELECT page_id AS doc_id, CAST({_TAGS} AS BIGINT) AS n_elements, CAST({_LI} AS BIGINT) AS n_li, 'html' AS doctype, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def json_of_nodes(spark, sf_dir):
+    """Every page as a tree in JSON, made from its nodes."""
+    o = F.col("output")
+    got = tour.nodes_to_json(nodes(spark, sf_dir))
+    return got.select("doc_id", F.regexp_count(o, F.lit('"type": "element", "tagName"')).cast("long").alias("n_elements"), F.regexp_count(o, F.lit('"tagName": "li"')).cast("long").alias("n_li"), F.get_json_object(o, "$.doctype.name").alias("doctype"), F.get_json_object(o, "$.children[0].attributes.lang").alias("lang"))
+
+
+@query("clones_of_lists", f"SELECT page_id AS doc_id, 'ul' AS top, CAST({_LI} AS BIGINT) AS n_li, CAST(len({_HREFS}) AS BIGINT) AS n_a, CAST(1 AS BIGINT) AS n_tops FROM pages WHERE contains(html, '<ul>')")
+def clones_of_lists(spark, sf_dir):
+    """The lists of menus copied as documents of their own."""
+    n = nodes(spark, sf_dir, [f.name for f in NODES])
+    c = tour.clones(n, select_nodes(n, "nav > ul"))
+    return c.groupBy("doc_id").agg(F.max(F.when(F.col("node_id") == 0, F.col("tag"))).alias("top"), F.count_if(F.col("tag") == "li").alias("n_li"), F.count_if((F.col("tag") == "a") & (F.col("depth") == 2)).alias("n_a"), F.count_if(F.col("parent_id").isNull()).alias("n_tops"))
+
+
+@query("elements_with_children", f"SELECT page_id AS doc_id, CAST({_LI} AS BIGINT) AS n_li_with, CAST(len(regexp_extract_all(html, '<br>')) AS BIGINT) AS n_br_without FROM pages")
+def elements_with_children(spark, sf_dir):
+    has = dom.has_children()
+    return nodes(spark, sf_dir).groupBy("doc_id").agg(F.count_if((F.col("tag") == "li") & has).alias("n_li_with"), F.count_if((F.col("tag") == "br") & ~has).alias("n_br_without"))
 
 
 @query("match_records", f"SELECT page_id AS doc_id, CAST(len({_HREFS}) AS INTEGER) AS n, {_LI} AS n_html, CASE WHEN len({_HREFS}) > 0 THEN 'a' END AS tag FROM pages")
