@@ -17,37 +17,58 @@ START, END, TEXT, COMMENT, DOCTYPE, EOF = "StartTag", "EndTag", "Character", "Co
 #: The mode that a start tag switches to.
 SWITCHES = {"title": RCDATA, "textarea": RCDATA, "script": SCRIPT, "style": RAWTEXT, "xmp": RAWTEXT, "iframe": RAWTEXT, "noembed": RAWTEXT, "noframes": RAWTEXT, "plaintext": PLAINTEXT}
 
-# Messages of the error codes that have one, after the words that all of them begin with.
-_BEGIN = "This error occurs if the parser encounters "
-_ENCOUNTERED = {
-    "abrupt-closing-of-empty-comment": "an empty comment that is abruptly closed by a U+003E (>) code point.",
-    "abrupt-doctype-public-identifier": "a U+003E (>) code point in the DOCTYPE public identifier.",
-    "abrupt-doctype-system-identifier": "a U+003E (>) code point in the DOCTYPE system identifier.",
-    "cdata-in-html-content": "a CDATA section outside of foreign content (SVG or MathML).",
-    "duplicate-attribute": "an attribute with the same name as an earlier attribute on the same tag.",
-    "eof-before-tag-name": "EOF where a tag name is expected.",
-    "eof-in-cdata": "EOF in a CDATA section.",
-    "eof-in-comment": "EOF in a comment.",
-    "eof-in-doctype": "EOF in a DOCTYPE.",
-    "eof-in-tag": "EOF in a tag.",
-    "incorrectly-closed-comment": "an incorrectly closed comment.",
-    "incorrectly-opened-comment": "an incorrectly opened comment.",
-    "invalid-first-character-of-tag-name": "an invalid first character of a tag name.",
-    "missing-attribute-value": "an attribute name not followed by an attribute value.",
-    "missing-doctype-public-identifier": "a DOCTYPE with a missing public identifier.",
-    "missing-doctype-system-identifier": "a DOCTYPE with a missing system identifier.",
-    "missing-quote-before-doctype-public-identifier": "a DOCTYPE public identifier without a leading quote.",
-    "missing-quote-before-doctype-system-identifier": "a DOCTYPE system identifier without a leading quote.",
-    "missing-whitespace-before-doctype-name": "a DOCTYPE without whitespace before the name.",
-    "missing-whitespace-between-attributes": "a missing whitespace between attributes.",
-    "missing-whitespace-between-doctype-public-and-system-identifiers": "a DOCTYPE with missing whitespace between public and system identifiers.",
-    "unexpected-character-in-attribute-name": "an unexpected character in an attribute name.",
-    "unexpected-character-in-unquoted-attribute-value": "an unexpected character in an unquoted attribute value.",
-    "unexpected-equals-sign-before-attribute-name": "an equals sign before an attribute name.",
-    "unexpected-null-character": "an unexpected null character.",
-    "unexpected-question-mark-instead-of-tag-name": "a question mark instead of a tag name.",
+# Messages of the error codes that have one.
+MESSAGES = {
+    "abrupt-closing-of-empty-comment": "This error occurs if the parser encounters an empty comment that is abruptly closed by a U+003E (>) code point.",
+    "abrupt-doctype-public-identifier": "This error occurs if the parser encounters a U+003E (>) code point in the DOCTYPE public identifier.",
+    "abrupt-doctype-system-identifier": "This error occurs if the parser encounters a U+003E (>) code point in the DOCTYPE system identifier.",
+    "absence-of-digits-in-numeric-character-reference": "This error occurs if the parser encounters a numeric character reference that doesn't contain any digits.",
+    "cdata-in-html-content": "This error occurs if the parser encounters a CDATA section outside of foreign content (SVG or MathML).",
+    "character-reference-outside-unicode-range": "This error occurs if the parser encounters a numeric character reference that references a code point greater than U+10FFFF.",
+    "control-character-in-input-stream": "This error occurs if the input stream contains a control character other than ASCII whitespace or U+0000 NULL.",
+    "control-character-reference": "This error occurs if the parser encounters a numeric character reference that references a control character.",
+    "duplicate-attribute": "This error occurs if the parser encounters an attribute with the same name as an earlier attribute on the same tag.",
+    "end-tag-with-attributes": "This error occurs if the parser encounters an end tag with attributes.",
+    "end-tag-with-trailing-solidus": "This error occurs if the parser encounters an end tag with a trailing solidus (/).",
+    "eof-before-tag-name": "This error occurs if the parser encounters EOF where a tag name is expected.",
+    "eof-in-cdata": "This error occurs if the parser encounters EOF in a CDATA section.",
+    "eof-in-comment": "This error occurs if the parser encounters EOF in a comment.",
+    "eof-in-doctype": "This error occurs if the parser encounters EOF in a DOCTYPE.",
+    "eof-in-script-html-comment-like-text": "This error occurs if the parser encounters EOF in a script element in an HTML comment-like text.",
+    "eof-in-tag": "This error occurs if the parser encounters EOF in a tag.",
+    "incorrectly-closed-comment": "This error occurs if the parser encounters an incorrectly closed comment.",
+    "incorrectly-opened-comment": "This error occurs if the parser encounters an incorrectly opened comment.",
+    "invalid-character-sequence-after-doctype-name": "This error occurs if the parser encounters an invalid character sequence after a DOCTYPE name.",
+    "invalid-first-character-of-tag-name": "This error occurs if the parser encounters an invalid first character of a tag name.",
+    "missing-attribute-value": "This error occurs if the parser encounters an attribute name not followed by an attribute value.",
+    "missing-doctype-name": "This error occurs if the parser encounters a DOCTYPE without a name.",
+    "missing-doctype-public-identifier": "This error occurs if the parser encounters a DOCTYPE with a missing public identifier.",
+    "missing-doctype-system-identifier": "This error occurs if the parser encounters a DOCTYPE with a missing system identifier.",
+    "missing-end-tag-name": "This error occurs if the parser encounters a missing end tag name.",
+    "missing-quote-before-doctype-public-identifier": "This error occurs if the parser encounters a DOCTYPE public identifier without a leading quote.",
+    "missing-quote-before-doctype-system-identifier": "This error occurs if the parser encounters a DOCTYPE system identifier without a leading quote.",
+    "missing-semicolon-after-character-reference": "This error occurs if the parser encounters a character reference not terminated by a semicolon.",
+    "missing-whitespace-after-doctype-public-keyword": "This error occurs if the parser encounters a DOCTYPE with missing whitespace after the PUBLIC keyword.",
+    "missing-whitespace-after-doctype-system-keyword": "This error occurs if the parser encounters a DOCTYPE with missing whitespace after the SYSTEM keyword.",
+    "missing-whitespace-before-doctype-name": "This error occurs if the parser encounters a DOCTYPE without whitespace before the name.",
+    "missing-whitespace-between-attributes": "This error occurs if the parser encounters a missing whitespace between attributes.",
+    "missing-whitespace-between-doctype-public-and-system-identifiers": "This error occurs if the parser encounters a DOCTYPE with missing whitespace between public and system identifiers.",
+    "nested-comment": "This error occurs if the parser encounters a nested comment.",
+    "noncharacter-character-reference": "This error occurs if the parser encounters a numeric character reference that references a noncharacter.",
+    "noncharacter-in-input-stream": "This error occurs if the input stream contains a noncharacter.",
+    "non-void-html-element-start-tag-with-trailing-solidus": "This error occurs if the parser encounters a non-void HTML element start tag with a trailing solidus.",
+    "null-character-reference": "This error occurs if the parser encounters a numeric character reference that references U+0000 NULL.",
+    "surrogate-character-reference": "This error occurs if the parser encounters a numeric character reference that references a surrogate.",
+    "surrogate-in-input-stream": "This error occurs if the input stream contains a surrogate.",
+    "unexpected-character-after-doctype-system-identifier": "This error occurs if the parser encounters an unexpected character after a DOCTYPE system identifier.",
+    "unexpected-character-in-attribute-name": "This error occurs if the parser encounters an unexpected character in an attribute name.",
+    "unexpected-character-in-unquoted-attribute-value": "This error occurs if the parser encounters an unexpected character in an unquoted attribute value.",
+    "unexpected-equals-sign-before-attribute-name": "This error occurs if the parser encounters an equals sign before an attribute name.",
+    "unexpected-null-character": "This error occurs if the parser encounters an unexpected null character.",
+    "unexpected-question-mark-instead-of-tag-name": "This error occurs if the parser encounters a question mark instead of a tag name.",
+    "unexpected-solidus-in-tag": "This error occurs if the parser encounters an unexpected solidus in a tag.",
+    "unknown-named-character-reference": "This error occurs if the parser encounters an unknown named character reference.",
 }
-MESSAGES = {code: _BEGIN + what for code, what in _ENCOUNTERED.items()}
 
 _SPACES = re.compile(r"[\t\n\f ]*")
 _TAG_NAME = re.compile(r"[^\t\n\f />]*")

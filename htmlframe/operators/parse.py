@@ -225,9 +225,17 @@ def select_records(df: DataFrame, selectors: str | list[str], id_col: str = "pag
     return per_page(df, id_col, html_col, sc.RECORDS, sc.RECORDS_SQL, rows)
 
 
-def render_pages(df: DataFrame, output: str, id_col: str = "page_id", html_col: str = "html", options: ParseOptions = ParseOptions()) -> DataFrame:  # noqa: B008
-    """(doc_id, output): each whole page as html, pretty, text, strip, markdown, cli_markdown or tree."""
-    return per_page(df, id_col, html_col, pa.schema([("doc_id", pa.int64()), ("output", pa.string())]), "doc_id bigint, output string", lambda key, page: [(key, render(parse_page(page, options), output))])
+def render_pages(df: DataFrame, output: str | list[str], id_col: str = "page_id", html_col: str = "html", options: ParseOptions = ParseOptions()) -> DataFrame:  # noqa: B008
+    """(doc_id, output): each whole page as html, pretty, text, strip, markdown, cli_markdown or tree; with several of them, which
+    one parse serves, (doc_id, kind, output)."""
+    if isinstance(output, str):
+        return per_page(df, id_col, html_col, pa.schema([("doc_id", pa.int64()), ("output", pa.string())]), "doc_id bigint, output string", lambda key, page: [(key, render(parse_page(page, options), output))])
+
+    def rows(key, page):
+        doc = parse_page(page, options)
+        return [(key, o, render(doc, o)) for o in output]
+
+    return per_page(df, id_col, html_col, pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("output", pa.string())]), "doc_id bigint, kind string, output string", rows)
 
 
 def pages_tokens(df: DataFrame, id_col: str = "page_id", html_col: str = "html", xml_coercion: bool = False, mode: str = tk.DATA, last_start: str = "") -> DataFrame:

@@ -8,6 +8,7 @@ oracle.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,9 +21,13 @@ from htmlframe.functions import builder, sql, token_html
 from htmlframe.functions import selectors as sel
 from htmlframe.operators import dom, tour
 from htmlframe.operators import parse as ps
+from htmlframe.operators.decode import decode_bytes
 from htmlframe.plans.selector_plan import mark_nodes, select_many, select_nodes
 from htmlframe.sources.pages import joined_output, keep_nodes, read_table, stream_pages
 from htmlframe.schemas import NODES
+from htmlframe.session import shared_folder
+from htmlframe.sources import files
+from htmlframe.streaming.chunks import chunk_events
 from htmlframe.streaming.events import run_to_table, stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,7 +303,40 @@ def removed_nav(spark, sf_dir):
 @query("encoding_detect", "SELECT page_id AS doc_id, 'UTF-8' AS encoding FROM pages")
 def encoding_detect(spark, sf_dir):
     raw = pages(spark, sf_dir).select("page_id", F.encode("html", "utf-8").alias("content"))
-    return ps.decode_pages(raw).select("doc_id", "encoding")
+    return decode_bytes(raw).select("doc_id", "encoding")
+
+
+#: What each of five documents is encoded as; those with signs that Latin-1 lacks are in UTF-8 with a mark, too.
+_KINDS = "CASE WHEN doc_id % 5 = 3 AND regexp_matches(coalesce(text, ''), '[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]') THEN 0 ELSE doc_id % 5 END"
+
+
+@query("encodings_of_documents", f"SELECT doc_id, CASE k WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' WHEN 3 THEN 'windows-1252' ELSE 'UTF-8' END AS encoding, CASE k WHEN 4 THEN '<meta charset=utf-8>' ELSE '' END || coalesce(text, '') AS html FROM (SELECT doc_id, text, {_KINDS} AS k FROM documents)")
+def encodings_of_documents(spark, sf_dir):
+    """Documents as bytes in five ways, decoded again: with a mark of UTF-8 or UTF-16, in Latin-1 without any, and behind a meta
+    element."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = F.col("doc_id") % 5
+    kind = F.when((kind == 3) & F.col("text").rlike(r"[^\x{00}-\x{7F}\x{A0}-\x{FF}]"), 0).otherwise(kind)
+    made = (
+        F.when(kind == 0, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8")))
+        .when(kind == 1, F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE")))
+        .when(kind == 2, F.concat(F.lit(b"\xfe\xff"), F.encode("text", "UTF-16BE")))
+        .when(kind == 3, F.encode("text", "ISO-8859-1"))
+        .otherwise(F.concat(F.lit(b"<meta charset=utf-8>"), F.encode("text", "UTF-8")))
+    )
+    return decode_bytes(docs.select(F.col("doc_id").alias("page_id"), made.alias("content")))
+
+
+@query("pages_of_files", "SELECT page_id AS doc_id, CASE WHEN page_id % 2 = 1 THEN 'utf-16le' ELSE 'UTF-8' END AS encoding, html FROM pages WHERE page_id % 7 < 4 OR page_id % 7 = 5")
+def pages_of_files(spark, sf_dir):
+    """Pages written as files, half of them in UTF-16, and read again through the data source; what filters on ids ask for is
+    left out before a file is opened."""
+    files.register(spark)
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    content = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit(b"\xff\xfe"), F.encode("html", "UTF-16LE"))).otherwise(F.encode("html", "UTF-8"))
+    for part, rest in (("a", F.col("page_id") % 7 < 4), ("b", F.col("page_id") % 7 == 5)):
+        read_table(spark, sf_dir).where(rest).select("page_id", content.alias("html")).write.format("htmlpages").mode("append").save(f"{folder}/{part}")
+    return spark.read.format("htmlpages").load(folder).select("doc_id", "encoding", "html")
 
 
 _EVENTS = (
@@ -342,6 +380,19 @@ def stream_events_query(spark, sf_dir):
     return got.groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query("stream_chunks", _EVENTS)
+def stream_chunks(spark, sf_dir):
+    """The events of pages that come in pieces of 1,000 bytes, in three batches of a stream."""
+    size, folder = 1000, f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    raw = pages(spark, sf_dir).select("page_id", F.encode("html", "UTF-8").alias("raw")).withColumn("n", F.greatest(F.ceil(F.octet_length("raw") / size), F.lit(1)).cast("int"))
+    cut = raw.select("page_id", "n", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("number"))
+    chunks = cut.select("page_id", "number", F.substring(F.col("raw"), F.col("number") * size + 1, F.lit(size)).alias("chunk"), (F.col("number") == F.col("n") - 1).alias("last"), F.floor(F.col("number") * 3 / F.col("n")).alias("batch"))
+    for batch in range(3):
+        chunks.where(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{folder}/{batch}")
+    stream = spark.readStream.schema("page_id bigint, number int, chunk binary, last boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return run_to_table(chunk_events(stream)).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+
+
 @query("raw_tokens", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS BIGINT) AS n FROM pages")
 def raw_tokens(spark, sf_dir):
     return ps.pages_tokens(pages(spark, sf_dir)).where("kind = 'StartTag'").groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -393,12 +444,7 @@ def attributes_edited(spark, sf_dir):
 @query("pages_written")
 def pages_written(spark, sf_dir):
     """Every page as HTML again, in one form for each output. SQL can't say where elements left open end."""
-    return _each(pages(spark, sf_dir), ("html", "pretty2", "markdown", "cli_markdown", "strip", "tree"))
-
-
-def _each(df: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
-    found = [ps.render_pages(df, o).select("doc_id", F.lit(o).alias("kind"), "output") for o in outputs]
-    return reduce(DataFrame.union, found)
+    return ps.render_pages(pages(spark, sf_dir), ["html", "pretty2", "markdown", "cli_markdown", "strip", "tree"])
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
