@@ -10,7 +10,8 @@ stays or not. Lines of fewer than min_words different words (1 by default: blank
 3. Lines that match share a word of their prefixes. Lines are joined on these under the length filter, the positional
    filter (what can still be shared after the word's places) and the bitmap filter (words that differ in two sets flip at
    least as many bits). Numbers that two words have in common make pairs here, but lose none.
-4. Pairs that are left are verified on the words themselves.
+4. Of the lines of pairs that are left, a bitmap of 64 * WIDE bits is made from their texts; what passes the bitmap filter on
+   these, too, is verified on the words themselves. Only these pairs meet their texts.
 
 Dense groups of like lines don't make all their pairs: before the join, lines are verified against a few early ones of
 those with the same two neighbouring prefix words, in rounds, wherever more than DENSE lines have these, and a line that
@@ -40,6 +41,8 @@ DENSE, HEADS, ROUNDS = 16, 4, 3
 MOST_BROADCAST = 500_000
 #: Parts of the words that are joined one after another, so that less is on disk at a time.
 SLICES = 2
+#: 64-bit numbers of the bitmap that pairs must pass before they meet their texts: lines of hundreds of words fill one of 64 bits.
+WIDE = 4
 #: Added to what stands after a word if its line looks for no others.
 DONE = 1 << 28
 
@@ -97,6 +100,10 @@ def _filters(t: float, left: str, right: str) -> str:
     )
 
 
+#: From the hashes of a line's words, their number and a parity bitmap of WIDE numbers.
+_MARKS = f"h -> struct(size(h) as n, transform(sequence(0, {WIDE - 1}), k -> aggregate(filter(h, x -> (shiftright(x, 6) & {WIDE - 1}) = k), 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))) as wide)"
+
+
 def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
     """(line) of the later lines of those pairs (line, other) that match. first: (line, doc, th, ln) of each line.
 
@@ -110,12 +117,18 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     texts = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     met = texts.join(near, (F.col("th") == F.col("th_")) & F.col("doc").eqNullSafe(F.col("doc_"))).select("doc", "th", F.split(_spaced(), "\n", -1).alias("parts"), F.explode("at").alias("p"))
     said = met.select(F.col("p.number").alias("line"), F.struct("doc", "th", F.col("p.ln").alias("ln")).alias("at"), F.get("parts", F.col("p.ln")).alias("said"))
-    said = kept(said, "said")
+    said = kept(said.select("*", F.inline(F.expr(f"transform(array(transform(array_distinct({WORDS.replace('line', 'said')}), x -> xxhash64(x))), {_MARKS})"))), "said")
     if said.count() > ends.count():  # rows with the same id and text
         once = kept(said.dropDuplicates(["line"]), "said")
         release(said)
         said = once
-    a, b = said.toDF("line", "at1", "said1"), said.toDF("other", "at2", "said2")
+    marks = said.select("line", "n", "wide")
+    both = pairs.join(marks.toDF("line", "n1", "wide1"), "line").join(marks.toDF("other", "n2", "wide2"), "other")
+    flips = " + ".join(f"bit_count(wide1[{k}] ^ wide2[{k}])" for k in range(WIDE))
+    pairs = cut(both.where(f"{flips} <= {(1 - t) / (1 + t)!r}D * (n1 + n2) + 1e-9D").select("line", "other"))
+    pairs = _small(pairs)
+    said_of = said.select("line", "at", "said")
+    a, b = said_of.toDF("line", "at1", "said1"), said_of.toDF("other", "at2", "said2")
     words = lambda c: f"array_remove(split({c}, ' '), '')"
 
     def later(some: DataFrame) -> DataFrame:
