@@ -4,8 +4,9 @@ Equal vectors collapse to one row that keeps their smallest ids (one more than a
 an answer is lost). Distinct vectors are dealt by a hash into shards of about SHARD vectors, and each shard gets a graph:
 points come in batches of doubling size; a greedy beam search from the shard's most central point proposes neighbours
 for each, pruning keeps those that no kept neighbour is nearer to than the point itself by the factor ALPHA, and the kept
-ones get links back, pruned in the same way when they are too many. Queries travel in blocks to every shard, a beam
-search answers them there, and the best of all shards are merged by their exact distance in double precision.
+ones get links back, pruned in the same way when they are too many. Queries travel in blocks to every shard, where they follow
+its index, which comes once; a beam search answers them there, and the best of all shards are merged by their exact distance in
+double precision.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of different lengths are
 never compared. Repeated rows count once; ties go to the smaller id; an empty table gives no rows. Rows with a null id
@@ -23,8 +24,8 @@ from htmlframe.llm.common import cut, prepare, table
 
 SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 64, 160, 1.2
 BATCH = 256
-#: Queries that meet a shard's index at a time, so often is it copied; and those that a beam search takes together.
-BLOCK, STEP = 8192, 512
+#: Queries that travel together, and those that a beam search takes together.
+BLOCK, STEP = 2048, 512
 
 
 def _beam_search(x: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,20 +160,28 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame,
 def nearest(index: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query (id, v), without its own id."""
     blocks = queries.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block"))
-    blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    work = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["shard", "dim"]).select("dim", F.col("q.id").alias("q_ids"), F.col("q.v").alias("q"), "v", "links", "start", "ids")
+    blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("q")).select("dim", "block", F.col("q.id").alias("q_ids"), F.flatten("q.v").alias("q"))
+    asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", "block", "q_ids", "q")
+    # a shard's index comes first and once, then the blocks that ask it, one after another
+    work = index.withColumn("block", F.lit(-1).cast("long")).unionByName(asked, allowMissingColumns=True).repartition("shard", "dim").sortWithinPartitions("shard", "dim", "block")
     schema = pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches):
+        of, x, links, start, ids = None, None, None, 0, []
         for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["v"], np.float32).reshape(-1, row["dim"])
-                links = np.frombuffer(row["links"], np.int32).reshape(len(x), -1)
-                queries_ = np.array(row["q"], np.float32)
-                for at in range(0, len(queries_), STEP):
-                    found, far = search(x, links, row["start"], queries_[at : at + STEP], k + 1)
-                    hits = [(q, d, row["ids"][i]) for q, ii, dd in zip(row["q_ids"][at : at + STEP], found.tolist(), far.tolist(), strict=True) for i, d in zip(ii, dd, strict=True) if i >= 0]
-                    yield pa.record_batch([pa.array(list(c), t.type) for c, t in zip(zip(*hits, strict=True), schema, strict=True)], schema)
+            for row in batch.select(["shard", "dim", "block", "start"]).append_column("at", pa.array(range(batch.num_rows))).to_pylist():
+                column = lambda name, i=row["at"], batch=batch: batch.column(name)[i]
+                if row["block"] < 0:
+                    of, start = (row["shard"], row["dim"]), row["start"]
+                    x = np.frombuffer(column("v").as_buffer(), np.float32).reshape(-1, row["dim"])
+                    links = np.frombuffer(column("links").as_buffer(), np.int32).reshape(len(x), -1)
+                    ids = column("ids").as_py()
+                elif of == (row["shard"], row["dim"]):
+                    q_ids, q = column("q_ids").as_py(), column("q").values.to_numpy(zero_copy_only=False).reshape(-1, row["dim"])
+                    for at in range(0, len(q), STEP):
+                        found, far = search(x, links, start, q[at : at + STEP], k + 1)
+                        hits = [(one, d, ids[i]) for one, ii, dd in zip(q_ids[at : at + STEP], found.tolist(), far.tolist(), strict=True) for i, d in zip(ii, dd, strict=True) if i >= 0]
+                        yield pa.record_batch([pa.array(list(c), t.type) for c, t in zip(zip(*hits, strict=True), schema, strict=True)], schema)
 
     hits = work.mapInArrow(run, "query_id long, score double, ids array<bigint>").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

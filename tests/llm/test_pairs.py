@@ -261,3 +261,15 @@ def test_vectors_odd_rows(spark):
     assert got == [(0, 1, 1, 0.0), (0, 2, 100, 1.414214), (100, 1, 0, 1.414214), (100, 2, 1, 1.414214)]
     assert ann.neighbours(df.limit(0)).count() == 0
     assert ann.usable(df, "vec_id", "embedding").where(F.size("v") == 2).count() == 3
+
+
+def test_an_index_comes_once_for_all_blocks(spark, monkeypatch):
+    """However many blocks of queries there are, each shard's index is one row of what the search reads."""
+    rnd = random.Random(11)
+    df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(600)], "vec_id long, embedding array<float>")
+    want = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.neighbours(df, every=2, shard=150).collect())
+    monkeypatch.setattr(ann, "BLOCK", 20)
+    monkeypatch.setattr(ann, "STEP", 7)
+    got = ann.neighbours(df, every=2, shard=150)
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in got.collect()) == want and len(want) == 3000
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
