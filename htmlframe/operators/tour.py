@@ -59,6 +59,43 @@ def nodes_to_html(nodes: DataFrame, split: int | None = None) -> DataFrame:
     return _toured(nodes.where(WRITTEN), opening, closing, split)
 
 
+def nodes_to_pretty(nodes: DataFrame, indent: int = 2) -> DataFrame:
+    """(doc_id, output): each document as indented HTML, a line for each child of an element that has block elements below it.
+
+    What a node needs of those above it comes down as prefix sums over the tour: how many elements that are broken into lines are
+    open around it. Whether its parent is one comes from the parent, and whether an element is one from its children."""
+    kind, blank = F.col("node_type"), F.expr("node_type = 3 and data rlike '^[ \\\\t\\\\n\\\\r\\\\f]*$'")
+    kept = nodes.where(WRITTEN).where(~blank).select("doc_id", "node_id", "parent_id", "last_id", "node_type", "tag", "attrs", "data")
+    block = (kind == 1) & F.col("tag").isin(*sorted(serialize.BLOCK))
+    void = F.col("tag").isin(*sorted(serialize.VOID))
+    # an element is broken if a child is a block; each node takes part as itself and as its parent's child
+    both = kept.select("*", F.inline(F.array(F.struct(F.col("node_id").alias("key_"), F.lit(0).alias("child_")), F.struct(F.col("parent_id").alias("key_"), F.lit(1).alias("child_")))))
+    family = Window.partitionBy("doc_id", "key_")
+    known = both.withColumn("broken_", F.coalesce(F.max(F.when((F.col("child_") == 1) & block, True)).over(family), F.lit(False)))
+    own = Window.partitionBy("doc_id", "node_id")
+    up_is = F.max(F.when(F.col("child_") == 1, F.col("broken_"))).over(own)
+    top = F.max(F.when((F.col("child_") == 0) & kind.isin(9, 11), True)).over(family)
+    flagged = known.withColumn("top_", F.coalesce(top, F.lit(False))).withColumns({"up_": up_is, "under_top_": F.max(F.when(F.col("child_") == 1, F.col("top_"))).over(own)}).where("child_ = 0")
+    element = (kind == 1) & F.col("broken_") & ~void
+    moves = flagged.withColumns({"breaks_": element, "line_": F.coalesce(F.col("up_"), F.lit(False)) & ~F.coalesce(F.col("under_top_"), F.lit(False)), "inline_": ~(F.coalesce(F.col("up_"), F.lit(False)) | F.coalesce(F.col("under_top_"), F.lit(False)))})
+    tour = moves.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("node_id").alias("at"), F.lit(0).alias("closes"), F.lit(0).alias("tie")), F.when(kind == 1, F.struct(F.col("last_id").alias("at"), F.lit(1).alias("closes"), (-F.col("node_id")).cast("int").alias("tie")))))))
+    before = Window.partitionBy("doc_id").orderBy("at", "closes", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.col("breaks_"), F.when(F.col("closes") == 0, 1).otherwise(-1)).otherwise(0)
+    deep = tour.withColumn("depth_", F.coalesce(F.sum(step).over(before), F.lit(0)) - F.when(F.col("closes") == 1, F.when(F.col("breaks_"), 1).otherwise(0)).otherwise(0))
+    pad = F.repeat(F.lit(" " * indent), F.col("depth_").cast("int"))
+    at_line = F.when(F.col("line_"), F.lit("\n")).otherwise("")
+    indented = F.when(F.col("inline_"), "").otherwise(pad)
+    said = (
+        F.when(F.col("closes") == 1, F.when(void, "").otherwise(F.concat(F.when(F.col("breaks_"), F.concat(F.lit("\n"), pad)).otherwise(""), F.lit("</"), "tag", F.lit(">"))))
+        .when(kind == 1, F.concat(at_line, indented, F.lit("<"), "tag", attribute_text(F.col("attrs")), F.lit(">")))
+        .when(kind == 3, F.concat(at_line, _escaped(F.regexp_replace("data", "[ \\t\\n\\r\\f]+", " "))))
+        .when(kind == 8, F.concat(at_line, indented, F.lit("<!--"), "data", F.lit("-->")))
+        .otherwise(F.when(F.col("data").isNotNull(), F.concat("data", F.lit("\n"))).otherwise(""))
+    )
+    parts = deep.select("doc_id", "at", "closes", "tie", said.alias("said"))
+    return parts.groupBy("doc_id").agg(F.coalesce(F.expr("listagg(said, '') within group (order by at, closes, tie)"), F.lit("")).alias("output"))
+
+
 def _json(c: Column) -> Column:
     """A string as JSON writes it."""
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)

@@ -481,6 +481,14 @@ def html_of_nodes(spark, sf_dir):
     return tour.nodes_to_html(nodes(spark, sf_dir)).select("doc_id", _skeleton(F.col("output")).alias("html"))
 
 
+@query("pretty_of_nodes", f"SELECT page_id AS doc_id, regexp_replace({_skeleton_sql('html')}, '[ \\t\\n\\r\\f]+', '', 'g') AS html, CAST({_P} + {_LI} AS BIGINT) AS n_lines FROM pages")
+def pretty_of_nodes(spark, sf_dir):
+    """Every page written with indents from its nodes: without blanks the page as it was, and a line for each paragraph and item."""
+    o = F.col("output")
+    lines = F.regexp_count(o, F.lit(r"(?m)^ +<(?:p|li)>"))
+    return tour.nodes_to_pretty(nodes(spark, sf_dir)).select("doc_id", F.regexp_replace(_skeleton(o), r"[ \t\n\r\f]+", "").alias("html"), lines.cast("long").alias("n_lines"))
+
+
 @query("html_of_edited_nodes", f"SELECT page_id AS doc_id, {_skeleton_sql(chr(120))} AS html FROM (SELECT page_id, replace(regexp_replace(html, '(?s)<nav>.*?</nav>', ''), '<p>', '<hr><p>') AS x FROM pages)")
 def html_of_edited_nodes(spark, sf_dir):
     """Every page written after its nodes were edited."""

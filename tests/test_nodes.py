@@ -122,6 +122,14 @@ def test_nodes_are_written_as_the_pages_are(pages, nodes, split):
     assert "Join" not in tour.nodes_to_html(nodes)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nodes_are_written_with_indents_as_the_pages_are(spark):
+    more = ["<!-- a --><p>x</p><!-- b -->", "<body>a<div> b </div>c<span>d<div>e</div></span>  f\n g<br><img>", "<table><tr><td>1<td>2</table>", "<pre>a\n  b</pre><p> </p>"]
+    made = spark.createDataFrame(list(enumerate(ODD + more)), "page_id long, html string").cache()
+    for indent in (2, 4):
+        want = {r.doc_id: r.output for r in ps.render_pages(made, f"pretty{indent}").collect()}
+        assert {r.doc_id: r.output for r in tour.nodes_to_pretty(ps.parse_nodes(made), indent).collect()} == want
+
+
 def test_places_are_those_of_the_parser(nodes):
     assert sorted(map(str, tour.places(nodes).collect())) == sorted(map(str, nodes.collect()))
 
