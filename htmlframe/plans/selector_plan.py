@@ -151,19 +151,26 @@ def _descendants(rows: DataFrame, steps: list[_Step]) -> DataFrame:
     return _done(rows, rows.columns, {s: F.max(F.when(_flag(s.ends), F.col("last_id"))).over(earlier) >= F.col("node_id") for s in steps})
 
 
-def _nearest_ancestor(rows: DataFrame, step: _Step) -> DataFrame:
-    """Candidates that are open around an element number its depth among them; the last one opened at that depth is nearest."""
-    keep, candidate = rows.columns, _flag(step.before)
-    closing = F.when(candidate, F.struct(F.col("last_id").alias("at"), F.lit(1).alias("closes")))
+def _nearest_ancestors(rows: DataFrame, steps: list[_Step]) -> DataFrame:
+    """Candidates that are open around an element number its depth among them; the last one opened at that depth is nearest.
+
+    Each element asks, and each candidate stands, once for each step; what was found comes back to the element's own row."""
+    keep, stands = rows.columns, sorted({s.before for s in steps})
+    closing = F.when(_any(stands), F.struct(F.col("last_id").alias("at"), F.lit(1).alias("closes")))
     places = rows.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("node_id").alias("at"), F.lit(0).alias("closes")), closing))))
     earlier = Window.partitionBy("doc_id").orderBy("at", "closes").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.sum(F.when(F.col("closes") == 1, -1).when(candidate, 1).otherwise(0)).over(earlier), F.lit(0))
-    deep = places.withColumn("open_", opened).where("closes = 0")
-    stands = F.when(candidate, F.struct((F.col("open_") + 1).alias("level_"), F.lit(0).alias("asks_")))
-    asked = deep.select("*", F.inline(F.array_compact(F.array(F.struct(F.col("open_").alias("level_"), F.lit(1).alias("asks_")), stands))))
-    before = Window.partitionBy("doc_id", "level_").orderBy("node_id", "asks_").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("asks_") == 0, _flag(step.ends)), ignorenulls=True).over(before)
-    return _done(asked, [*keep, "asks_"], {step: last}).where("asks_ = 1").drop("asks_")
+    moves = {b: F.sum(F.when(_flag(b), 1 - 2 * F.col("closes")).otherwise(0)).over(earlier) for b in stands}
+    deep = places.select(*keep, "closes", *[F.coalesce(m, F.lit(0)).cast("int").alias(f"open{b}_") for b, m in moves.items()]).where("closes = 0")
+    place = lambda i, level, asks: F.struct(F.lit(i).alias("step_"), level.alias("level_"), F.lit(asks).alias("asks_"))
+    asking = [F.when(_flag(s.own), place(i, F.col(f"open{s.before}_"), 1)) for i, s in enumerate(steps)]
+    standing = [F.when(_flag(s.before), place(i, F.col(f"open{s.before}_") + 1, 0)) for i, s in enumerate(steps)]
+    asked = deep.select(*keep, F.inline(F.array_compact(F.array(place(-1, F.lit(0), 1), *asking, *standing))))
+    before = Window.partitionBy("doc_id", "step_", "level_").orderBy("node_id", "asks_").rowsBetween(Window.unboundedPreceding, -1)
+    ends = reduce(lambda c, i: c.when(F.col("step_") == i, _flag(steps[i].ends)), range(1, len(steps)), F.when(F.col("step_") == 0, _flag(steps[0].ends)))
+    given = asked.withColumn("last_", F.last(F.when(F.col("asks_") == 0, ends), ignorenulls=True).over(before))
+    own = Window.partitionBy("doc_id", "node_id")
+    found = {s: F.max(F.when((F.col("step_") == i) & (F.col("asks_") == 1), F.col("last_"))).over(own) for i, s in enumerate(steps)}
+    return _done(given, [*keep, "step_"], found).where("step_ = -1").drop("step_")
 
 
 def _siblings(rows: DataFrame, steps: list[_Step], split: int | None) -> DataFrame:
@@ -206,9 +213,9 @@ def _run(rows: DataFrame, steps: list[_Step], split: int | None) -> DataFrame:
     plain = [s for s in steps if s.how == " " and not s.nearest]
     if plain:
         rows = _descendants(rows, plain)
-    for s in steps:
-        if s.how == " " and s.nearest:
-            rows = _nearest_ancestor(rows, s)
+    nearest = [s for s in steps if s.how == " " and s.nearest]
+    if nearest:
+        rows = _nearest_ancestors(rows, nearest)
     for how, key in ((">", "parent_id"), ("+", "prev_el")):
         some = [s for s in steps if s.how == how]
         if some:
