@@ -10,7 +10,7 @@ double precision.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of different lengths are
 never compared. Repeated rows count once; ties go to the smaller id; an empty table gives no rows. Rows with a null id
-take no part.
+take no part. Only the id and the vector column are read, so other columns and their names don't matter.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ renders the turn again with more escapes: first of the characters that begin mar
 always gives the source back. So texts without conflicts stay as they are.
 
 A null text or role counts as empty. A null conversation id is a conversation of its own. Turns come in the order of
-turn (null first); equal turns, and repeated rows, all stay, ordered by role and text. An empty table has no rows.
+turn (null first); equal turns, and repeated rows, all stay, ordered by role and text. Texts of any length are taken whole, by
+functions that read them a fixed number of times. An empty table has no rows. Only the columns named are read, so other columns and
+their names don't matter.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ and likeness takes off the matches that chance gives them.
 Null texts count as empty. A text without words has the fingerprint of zeros only, like 1 to another such text and 0 to
 any other; a text of less than five words is one run. The next document is that of the next id; equal ids are ordered by
 their text, a null id comes first, and the last row's next is the first. Repeated rows give repeated rows, an empty table
-none. Only the id and text columns are read, so others and their names don't matter.
+none. Texts of any length are taken whole. Only the id and text columns are read, so others and their names don't matter.
 """
 
 from __future__ import annotations

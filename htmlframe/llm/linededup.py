@@ -126,7 +126,6 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     both = pairs.join(marks.toDF("line", "n1", "wide1"), "line").join(marks.toDF("other", "n2", "wide2"), "other")
     flips = " + ".join(f"bit_count(wide1[{k}] ^ wide2[{k}])" for k in range(WIDE))
     pairs = cut(both.where(f"{flips} <= {(1 - t) / (1 + t)!r}D * (n1 + n2) + 1e-9D").select("line", "other"))
-    pairs = _small(pairs)
     said_of = said.select("line", "at", "said")
     a, b = said_of.toDF("line", "at1", "said1"), said_of.toDF("other", "at2", "said2")
     words = lambda c: f"array_remove(split({c}, ' '), '')"
@@ -180,7 +179,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = able.join(_small(gone.select(F.col("line").alias("gone"))), F.col("line") == F.col("gone"), "left")
     rows = marked.select("line", "doc", "n", "bits", F.when(F.col("gone").isNull(), 0).otherwise(DONE).alias("done"), F.posexplode("prefix").alias("p", "word"))
     rows = rows.select("word", "line", "doc", "n", F.expr("n - p - 1 + done").alias("after"), "bits")
-    earlier = f"x.word = y.word and x.after < {DONE} and y.doc <= x.doc and x.line <> y.line"
+    # what is asked of x alone is put to both sides, else it would be asked of one before the shuffle and the sides differ
+    earlier = f"x.word = y.word and x.after < {DONE} + y.after - y.after and y.doc <= x.doc and x.line <> y.line"
     pairs = None
     for number in range(SLICES):
         part = rows.where(F.pmod("word", F.lit(SLICES)) == number)

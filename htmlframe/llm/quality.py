@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from htmlframe.llm.common import prepare, table
-from htmlframe.llm.labelled import held_out, sample
+from htmlframe.llm.labelled import held_out, learned
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 12, 4, 16.0
 PER_CLASS = 1200
@@ -145,8 +145,13 @@ def score(docs: DataFrame, model: SubwordClassifier, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("id"), scorer(docs.sparkSession, model)(F.col(text_col).cast("string")).alias("score"))
 
 
+def _parameters(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
+    model = train(rows)
+    return model.weight, model.bias
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> SubwordClassifier:
-    return train(sample(docs, labels, "quality", (per_class, per_class)))
+    return SubwordClassifier(*learned(docs, labels, "quality", (per_class, per_class), _parameters))
 
 
 def query(spark, sf_dir):

@@ -12,7 +12,9 @@ first components. Then a join on the keys finds every link that is left between
 leave the join. Together these give exactly the components of all links.
 
 Null and empty texts and texts without words have fingerprint zero and are linked like any other. Repeated rows share a
-fingerprint and so a component; a null id takes part, but never names a component unless it has no other id.
+fingerprint and so a component; a null id takes part, but never names a component unless it has no other id. Texts of any length are
+taken whole. An empty table gives no rows. The fingerprints read the id and the text column only; where rows are dropped, the
+others are kept, whatever their names.
 """
 
 from __future__ import annotations

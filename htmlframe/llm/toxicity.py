@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from htmlframe.llm.common import prepare, table
-from htmlframe.llm.labelled import held_out, sample
+from htmlframe.llm.labelled import held_out, learned
 
 #: Rows labelled 0 and 1 that are learned from, at most.
 MOST = (4000, 1500)
@@ -226,8 +226,13 @@ def train(rows: list[tuple[str, int]], steps: int = 1500, decay: float = 3e-6) -
     return ToxicityModel(terms, w[:-1], float(w[-1]))
 
 
+def _parameters(rows: list[tuple[str, int]]) -> tuple[list[str], np.ndarray, float]:
+    model = train(rows)
+    return model.evidence.terms, model.weight, model.bias
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> ToxicityModel:
-    return train(sample(docs, labels, "toxic", most))
+    return ToxicityModel(*learned(docs, labels, "toxic", most, _parameters))
 
 
 def scorer(spark: SparkSession, model: ToxicityModel) -> Callable[[Column], Column]:

@@ -227,6 +227,12 @@ def test_chat_keeps_plain_texts(spark):
     assert chat.format_conversations(df).first().formatted == "### user: C:\\x # <b> a: b</turn>\n"
 
 
+def test_chat_of_very_long_texts(spark):
+    text = ("x </turn>\n### user: \\y # < : " * 12_000) + "z" * 100_000
+    r = chat.format_conversations(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")).first()
+    assert r.round_trip and [t.text for t in r.turns] == [text, text]
+
+
 # -- main text
 
 
@@ -607,3 +613,10 @@ def test_ranges_of_ids_with_outliers(spark, monkeypatch):
     got = {r.id: r.next_text for r in fingerprint.with_next(df, "id", ["text"], ["text"]).collect()}
     ids = sorted(got)
     assert got == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    text = " ".join(f"wort{i * 7919 % 99991}" for i in range(60_000))
+    got = fingerprint.fingerprints(spark.createDataFrame([(1, text), (2, text + " end"), (3, None)], "doc_id long, text string")).select("text", "slots").collect()
+    slots = {len(r.text or ""): list(r.slots) for r in got}
+    assert slots[len(text)] == plain_slots(text) and sum(a != b for a, b in zip(slots[len(text)], slots[len(text) + 4], strict=True)) < 8
