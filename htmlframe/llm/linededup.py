@@ -69,7 +69,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, ln, line) of lines that aren't blank: th tells apart texts of the same id. In line, blanks stand for all
     white space."""
-    split = _texts(docs, id_col, text_col).select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split(_spaced(), "\n", -1)).alias("ln", "line"))
+    hashed = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))  # before the rows of lines, which carry no text then
+    split = hashed.select("doc", "th", F.posexplode(F.split(_spaced(), "\n", -1)).alias("ln", "line"))
     return split.where("trim(line) <> ''")
 
 
@@ -115,8 +116,10 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     held = kept(first.join(ends, "line").groupBy(F.col("doc").alias("doc_"), F.col("th").alias("th_")).agg(F.collect_list(F.struct("ln", F.col("line").alias("number"))).alias("at")), "held")
     near = _small(held, held.agg(F.sum(F.size("at"))).first()[0] or 0)
     texts = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    met = texts.join(near, (F.col("th") == F.col("th_")) & F.col("doc").eqNullSafe(F.col("doc_"))).select("doc", "th", F.split(_spaced(), "\n", -1).alias("parts"), F.explode("at").alias("p"))
-    said = met.select(F.col("p.number").alias("line"), F.struct("doc", "th", F.col("p.ln").alias("ln")).alias("at"), F.get("parts", F.col("p.ln")).alias("said"))
+    met = texts.join(near, (F.col("th") == F.col("th_")) & F.col("doc").eqNullSafe(F.col("doc_")))
+    # a text is split once, and only the lines asked for leave it
+    asked = F.transform(F.array(F.split(_spaced(), "\n", -1)), lambda parts: F.transform("at", lambda p: F.struct(p["number"].alias("line"), p["ln"].alias("ln"), F.get(parts, p["ln"]).alias("said"))))
+    said = met.select("doc", "th", F.inline(F.get(asked, F.lit(0)))).select("line", F.struct("doc", "th", "ln").alias("at"), "said")
     said = kept(said.select("*", F.inline(F.expr(f"transform(array(transform(array_distinct({WORDS.replace('line', 'said')}), x -> xxhash64(x))), {_MARKS})"))), "said")
     if said.count() > ends.count():  # rows with the same id and text
         once = kept(said.dropDuplicates(["line"]), "said")
