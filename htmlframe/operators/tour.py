@@ -7,7 +7,8 @@ that no step holds more of a document than its text.
 Edits renumber by prefix sums: whatever is left counts one, whatever is removed nothing, and a place of insertion as many
 nodes as the fragment has. The sum before a node is its new number, the sum before its close gives its new last_id. Places
 among siblings are worked out anew, so what comes out is a table of nodes like any other. Nothing is joined; all windows are
-on the document, so nodes are shuffled once.
+on the document or parts of it, so nodes that are dealt out by document (parse.shares() says in how many parts) aren't shuffled
+again.
 """
 
 from __future__ import annotations
@@ -234,14 +235,16 @@ def edit_nodes(marked: DataFrame, action: str, html: str = "", context: str = "d
     up = F.max(F.when((F.col("asks_") == 0) & F.col("key_").isNotNull(), F.col("id_"))).over(Window.partitionBy("doc_id", "key_").orderBy("asks_").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("up_", up).where("asks_ = 1")
     moved = {"node_id": F.col("new_"), "parent_id": F.when(F.col("parent_id").isNotNull(), F.col("up_")), "last_id": F.coalesce("end_", "new_")}
-    old = F.array(F.struct(*[moved.get(n, F.col(n)).cast(sc_type).alias(n) for n, sc_type in _types()]))
+    # doc_id stays a column of its own, so that nodes dealt out by it still are
+    types = [t for t in _types() if t[0] != "doc_id"]
+    old = F.array(F.struct(*[moved.get(n, F.col(n)).cast(sc_type).alias(n) for n, sc_type in types]))
     if not size:
-        return places(found.select(F.inline(old)))
+        return places(found.select("doc_id", F.inline(old)))
     deeper = F.col("depth") + (1 if action == "append" else 0)
-    changed = {"doc_id": lambda x: F.col("doc_id"), "node_id": lambda x: F.col("new_") + x["node_id"] - 1, "last_id": lambda x: F.col("new_") + x["last_id"] - 1, "depth": lambda x: deeper + x["depth"] - 1, "is_root": lambda x: F.when(x["node_type"] == 1, F.lit(False)),
+    changed = {"node_id": lambda x: F.col("new_") + x["node_id"] - 1, "last_id": lambda x: F.col("new_") + x["last_id"] - 1, "depth": lambda x: deeper + x["depth"] - 1, "is_root": lambda x: F.when(x["node_type"] == 1, F.lit(False)),
                "parent_id": lambda x: F.when(x["parent_id"] == 0, F.col("up_")).otherwise(F.col("new_") + x["parent_id"] - 1)}
-    new = F.transform(_literal(fragment), lambda x: F.struct(*[changed.get(n, lambda x, n=n: x[n])(x).cast(t).alias(n) for n, t in _types()]))
-    return places(found.select(F.inline(F.when(inserted, new).otherwise(old))))
+    new = F.transform(_literal(fragment), lambda x: F.struct(*[changed.get(n, lambda x, n=n: x[n])(x).cast(t).alias(n) for n, t in types]))
+    return places(found.select("doc_id", F.inline(F.when(inserted, new).otherwise(old))))
 
 
 def _types() -> list[tuple[str, str]]:

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from htmlframe import queries as q
 from htmlframe.functions import encodings, selectors
 from htmlframe.functions import tokens as tk
 from htmlframe.operators import decode, dom, tour
@@ -271,3 +272,28 @@ def test_chunks_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("page_id bigint, number int, chunk binary, last boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
     got = run_to_table(chunk_events(stream)).orderBy("doc_id", "pos").collect()
     assert [(r.doc_id, r.type, r.name, r.data) for r in got] == [(1, "StartTag", "p", ""), (1, "Text", "", "a b"), (1, "EndTag", "p", ""), (1, "StartTag", "i", ""), (2, "StartTag", "b", ""), (2, "Text", "", "éc"), (2, "EndTag", "b", ""), (3, "Text", "", "x")]
+
+
+@pytest.mark.parametrize("name", ["edited_nodes", "replaced_nodes", "pages_edited", "pretty_of_nodes"])
+def test_edited_nodes_are_shuffled_once(spark, sf, name):
+    """All windows of an edit, and what is asked of its result, use the one shuffle by document, whose parts are bounded."""
+    plan = q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("name", ["sel_greedy_pages", "sel_many", "sel_child"])
+def test_selected_nodes_are_shuffled_once(spark, sf, name):
+    """A selector's steps use one shuffle of what some compound matches: one for each of the two plans of sel_greedy_pages."""
+    plan = q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == (2 if name == "sel_greedy_pages" else 1) and "REPARTITION_BY_NUM" in plan
+
+
+def test_parts_grow_with_the_pages(spark, sf, monkeypatch):
+    """A task's part of the pages is bounded, so more pages make more parts."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    size = sum(len(r.html.encode()) for r in pages.collect())
+    monkeypatch.setattr(ps, "SORTED_BYTES", 10_000)
+    monkeypatch.setattr(ps, "PARSED_BYTES", 20_000)
+    assert ps.shares(pages) == (-(-size // 20_000), -(-size // 10_000))
+    assert q.dealt_nodes(spark, sf).rdd.getNumPartitions() == -(-size // 10_000)
+    assert ps.shares(pages.limit(0)) == (spark.sparkContext.defaultParallelism,) * 2
