@@ -297,3 +297,19 @@ def test_parts_grow_with_the_pages(spark, sf, monkeypatch):
     assert ps.shares(pages) == (-(-size // 20_000), -(-size // 10_000))
     assert q.dealt_nodes(spark, sf).rdd.getNumPartitions() == -(-size // 10_000)
     assert ps.shares(pages.limit(0)) == (spark.sparkContext.defaultParallelism,) * 2
+
+
+@pytest.mark.parametrize("name", ["markdown_of_rows", "attributes_edited"])
+def test_small_files_are_parsed_by_all_cores(spark, sf, name):
+    """A table of short rows comes in one split, but its rows are pages to parse: once, and by all cores."""
+    got = q.QUERIES[name](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_attributes_of_repeated_rows(spark, sf, tmp_path):
+    """A row that comes twice gives two rows, as in SQL."""
+    some = spark.read.parquet(f"{sf}/customer.parquet").limit(3)
+    some.union(some).write.parquet(str(tmp_path / "customer.parquet"))
+    assert q.QUERIES["attributes_edited"](spark, str(tmp_path)).count() == 6
