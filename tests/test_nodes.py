@@ -313,3 +313,16 @@ def test_attributes_of_repeated_rows(spark, sf, tmp_path):
     some = spark.read.parquet(f"{sf}/customer.parquet").limit(3)
     some.union(some).write.parquet(str(tmp_path / "customer.parquet"))
     assert q.QUERIES["attributes_edited"](spark, str(tmp_path)).count() == 6
+
+
+def test_chunks_are_written_by_all_cores(spark, sf, tmp_path, monkeypatch):
+    """Batches of chunks come in as many files as tasks wrote, and still are three batches with all events."""
+    monkeypatch.setattr(q, "shared_folder", lambda spark: str(tmp_path))
+    got = {(r.doc_id, r.type): r.n for r in q.QUERIES["stream_chunks"](spark, sf).collect()}
+    assert got == {(r.doc_id, r.type): r.n for r in q.QUERIES["events_by_type"](spark, sf).collect()}
+    (folder,) = tmp_path.glob("chunks-*")
+    written = [len(list((folder / str(i)).glob("*.parquet"))) for i in range(3)]
+    assert min(written) > 1, written
+    numbers = [spark.read.parquet(str(folder / str(i))) for i in range(3)]
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert sum(n.count() for n in numbers) == sum(max(1, -(-len(r.html.encode()) // 1000)) for r in pages.collect())
