@@ -9,7 +9,8 @@ stays or not. Lines of fewer than min_words different words (1 by default: blank
    a parity bitmap, and a 128-bit digest of the set. Equal sets collapse to the earliest line; the others are removed.
 3. Lines that match share a word of their prefixes. Lines are joined on these under the length filter, the positional
    filter (what can still be shared after the word's places) and the bitmap filter (words that differ in two sets flip at
-   least as many bits). Numbers that two words have in common make pairs here, but lose none.
+   least as many bits). Where prefixes are long enough to tell, a pair must share up to MOST_SHARED of their words. Numbers
+   that two words have in common make pairs here, but lose none.
 4. Of the lines of pairs that are left, a bitmap of 64 * WIDE bits is made from their texts; what passes the bitmap filter on
    these, too, is verified on the words themselves. Only these pairs meet their texts.
 
@@ -37,6 +38,10 @@ THRESHOLD, MIN_WORDS = 0.8, 1
 BUCKETS = 1 << 19
 #: Two neighbouring prefix words of more lines are dense: these lines are first compared with HEADS of them in each round.
 DENSE, HEADS, ROUNDS = 16, 4, 3
+#: So many words at most must be shared by the prefixes of a pair, if they are long enough to tell.
+MOST_SHARED = 3
+#: Prefixes of more words are looked for in dense groups by every other two neighbouring words.
+WHOLE = 8
 #: Sides of at most this many rows of a few numbers, some 20 MB, are broadcast; larger ones are joined by a shuffle.
 MOST_BROADCAST = 500_000
 #: Parts of the words that are joined one after another, so that less is on disk at a time.
@@ -74,31 +79,53 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.where("trim(line) <> ''")
 
 
-def rarity(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """array<bigint> of BUCKETS numbers whose top 16 bits are the logarithm of how often the words of a hash bucket occur
-    in all texts."""
-    words = _texts(docs, id_col, text_col).select(F.explode(F.split(F.replace(_spaced(), F.lit("\n"), F.lit(" ")), " ")).alias("x"))
-    counts = words.select(F.expr(f"cast(xxhash64(x) & {BUCKETS - 1} as int)").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    every = counts.union(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
+def hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, ln, h) of each line that isn't blank: h holds the hashes of its different words."""
+    return lines(docs, id_col, text_col).select("doc", "th", "ln", F.expr(f"array_distinct(transform({WORDS}, x -> xxhash64(x)))").alias("h"))
+
+
+def rarity(hashed: DataFrame) -> Column:
+    """array<bigint> of BUCKETS numbers whose top 16 bits are the logarithm of how many lines hold the words of a hash bucket."""
+    counts = hashed.select(F.explode("h").alias("x")).select(F.expr(f"cast(x & {BUCKETS - 1} as int)").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    every = counts.union(hashed.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
     classes = every.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.expr("shiftleft(cast(500D * log2(1D + n) as bigint), 48)").alias("class"))
     return cut(classes.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"]).alias("classes"))).scalar()
 
 
-def hashed_lines(docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """(doc, th, ln, n, sig, sig2, bits, prefix) of each line that isn't blank."""
-    number = lambda x: F.get(F.col("classes"), F.xxhash64(x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 16))
-    coded = lines(docs, id_col, text_col).withColumn("classes", rarity(docs, id_col, text_col)).select("doc", "th", "ln", F.sort_array(F.array_distinct(F.transform(F.expr(WORDS), number))).alias("s"))
+def hashed_lines(hashed: DataFrame, t: float) -> DataFrame:
+    """(doc, th, ln, n, sig, sig2, bits, prefix) of each line."""
+    # numbers that can't be null are sorted as such, not as objects
+    number = f"x -> coalesce(get(classes, cast(x & {BUCKETS - 1} as int)) | shiftrightunsigned(x, 16), 0L)"
+    coded = hashed.withColumn("classes", rarity(hashed)).select("doc", "th", "ln", F.expr(f"sort_array(transform(h, {number}))").alias("s"))
     return coded.select("doc", "th", "ln", F.size("s").alias("n"), F.xxhash64("s").alias("sig"), F.xxhash64(F.lit(1), "s").alias("sig2"), F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"), F.slice("s", 1, F.expr(f"cast(size(s) - ceil({t}D * size(s) - 1e-9D) + 1 as int)")).alias("prefix"))
 
 
-def _filters(t: float, left: str, right: str) -> str:
-    """Length, positional and bitmap filters for two lines x and y of different sets (n, bits), of which the words after
-    the shared one are given: the words in one set only are at most d, so no lower bound of them may exceed it."""
-    d = f"({(1 - t) / (1 + t)!r}D * (x.n + y.n) + 1e-9D)"
-    return (
-        f"greatest(abs(x.n - y.n), 2 - abs(x.n - y.n)) <= {d} and x.n + y.n - 2 - 2 * least({left}, {right}) <= {d}"
-        f" and bit_count(x.bits ^ y.bits) <= {d}"
-    )
+def _near(t: float) -> str:
+    """Length and bitmap filters for two lines x and y of different sets (n, bits): the words in one set only are at most d,
+    so no lower bound of them may exceed it."""
+    d = _apart(t)
+    return f"bit_count(x.bits ^ y.bits) <= {d} and greatest(abs(x.n - y.n), 2 - abs(x.n - y.n)) <= {d}"
+
+
+def _apart(t: float) -> str:
+    return f"({(1 - t) / (1 + t)!r}D * (x.n + y.n) + 1e-9D)"
+
+
+def _first(t: float, left: str, right: str) -> str:
+    """Positional filter for the first word that x and y share, given the words after it."""
+    return f"x.n + y.n - 2 - 2 * least({left}, {right}) <= {_apart(t)}"
+
+
+def _needed(t: float) -> str:
+    """How many shared words are asked for, at most MOST_SHARED: with o the least number that matching lines share, the first
+    n - o + k words of both share k at least, for what is shared after those of the line whose part ends first is o - k at
+    most. Prefixes are long enough for some k only, the fewer the less alike the lines' lengths are."""
+    least = lambda n: f"cast(ceil({t}D * {n} - 1e-9D) as int)"
+    return f"least({MOST_SHARED}, {_shared(t)} + 1 - greatest({least('x.n')}, {least('y.n')}))"
+
+
+def _shared(t: float) -> str:
+    return f"cast(ceil({t / (1 + t)!r}D * (x.n + y.n) - 1e-6D) as int)"
 
 
 #: From the hashes of a line's words, their number and a parity bitmap of WIDE numbers.
@@ -146,22 +173,26 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
     return found
 
 
-#: Hashes of each two neighbouring words of a prefix, or of its only word.
-NEIGHBOURS = "if(size(prefix) = 1, transform(prefix, x -> xxhash64(x)), transform(sequence(0, size(prefix) - 2), i -> xxhash64(get(prefix, i), get(prefix, i + 1))))"
+def _neighbours(able: DataFrame, *keep: str | Column) -> DataFrame:
+    """(keep, p, word): hashes of each two neighbouring words of a prefix, or of its only word. Prefixes of more than WHOLE words
+    give every other one, chosen by its hash: like lines have most in common, and what is missed here meets in the join."""
+    two = able.select(*keep, F.size("prefix").alias("long_"), F.posexplode(F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))).alias("p", "two_")).where("p = 0 or p < long_ - 1")
+    hashed = two.withColumn("word", F.xxhash64("two_.prefix", "two_.next")).where(f"long_ <= {WHOLE} or word & 1 = 0")
+    return hashed.drop("long_", "two_")
 
 
 def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
     """(line) of lines in dense groups that match an earlier one of the lines they are compared with."""
-    dense = cut(able.select(F.explode(F.expr(NEIGHBOURS)).alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > DENSE).select("word"))
+    dense = cut(_neighbours(able).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > DENSE).select("word"))
     gone = cut(first.select("line").limit(0))
     if dense.isEmpty():
         return gone
-    rows = able.select("line", "doc", "n", "bits", F.posexplode(F.expr(NEIGHBOURS)).alias("p", "word")).join(_small(dense), "word")
+    rows = _neighbours(able, "line", "doc", "n", "bits").join(_small(dense), "word")
     rows = kept(rows.select("word", F.struct("doc", "line", "n", "bits", F.expr("n - p - 1").alias("after")).alias("x"), F.pmod("line", F.lit(HEADS * ROUNDS)).alias("part")), "dense")
     for number in range(ROUNDS):
         heads = rows.where(F.col("part").between(number * HEADS, (number + 1) * HEADS - 1)).groupBy("word", "part").agg(F.min("x").alias("y")).select("word", "y")
         left = rows.join(_small(gone.select(F.col("line").alias("gone"))), F.col("x.line") == F.col("gone"), "left_anti")
-        near = left.join(heads, "word").where("x.line <> y.line").where(_filters(t, "x.after", "y.after"))
+        near = left.join(heads, "word").where("x.line <> y.line").where(f"{_near(t)} and {_first(t, 'x.after', 'y.after')}")
         gone = cut(gone.union(matches(near.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")), first, docs, id_col, text_col, t)).distinct())
     release(rows)
     return gone
@@ -170,7 +201,10 @@ def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, th, ln) of the lines to remove."""
     t = threshold
-    every = kept(hashed_lines(docs, id_col, text_col, t), "lines").where(F.col("n") >= min_words)
+    hashed = kept(hashes(docs, id_col, text_col), "hashes")
+    held = kept(hashed_lines(hashed, t), "lines")
+    release(hashed)
+    every = held.where(F.col("n") >= min_words)
     grouped = every.select("sig", "sig2", F.struct("doc", "th", "ln").alias("at"), F.struct("n", "bits", "prefix").alias("payload")).groupBy("sig", "sig2").agg(F.min("at").alias("at"), F.first("payload").alias("payload"), F.count("*").alias("copies"))
     first = kept(grouped.select(F.monotonically_increasing_id().alias("line"), "sig", "sig2", "copies", "at.*", "payload.*"), "sets")
 
@@ -184,19 +218,25 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("word", "line", "doc", "n", F.expr("n - p - 1 + done").alias("after"), "bits")
     # what is asked of x alone is put to both sides, else it would be asked of one before the shuffle and the sides differ
     earlier = f"x.word = y.word and x.after < {DONE} + y.after - y.after and y.doc <= x.doc and x.line <> y.line"
+    after = f"(y.after & {DONE - 1})"
     pairs = None
     for number in range(SLICES):
         part = rows.where(F.pmod("word", F.lit(SLICES)) == number)
-        met = part.alias("x").join(part.alias("y"), F.expr(f"{earlier} and {_filters(t, 'x.after', f'(y.after & {DONE - 1})')}"))
-        met = cut(met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct())
+        met = part.alias("x").join(part.alias("y"), F.expr(f"{earlier} and {_near(t)} and least(x.after, {after}) >= {_shared(t)} - {_needed(t)}"))
+        met = met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other"), F.expr(_needed(t)).alias("needed"))
+        met = cut(met.groupBy("line", "other").agg(F.count("*").alias("shared"), F.max("needed").alias("needed")))
         pairs = met if pairs is None else pairs.union(met)
-    out = cut(gone.union(matches(pairs, first, docs, id_col, text_col, t)).distinct())
+    # words of a pair are counted over all slices
+    likely = pairs.groupBy("line", "other").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed")
+    out = cut(gone.union(matches(likely, first, docs, id_col, text_col, t)).distinct())
 
     # copies of the earliest line with a set, and earliest lines that match an earlier one
     lost = first.join(_small(out.select(F.col("line").alias("gone"))), F.col("line") == F.col("gone"), "left").where("copies > 1 or gone is not null")
     fates = cut(lost.select("sig", "sig2", F.struct("doc", "th", "ln").alias("first_at"), F.col("gone").isNotNull().alias("gone")))
     placed = every.select("sig", "sig2", "doc", "th", "ln").join(_small(fates), ["sig", "sig2"])
-    return placed.where(F.col("gone") | ~F.struct("doc", "th", "ln").eqNullSafe(F.col("first_at"))).select("doc", "th", "ln")
+    removed = cut(placed.where(F.col("gone") | ~F.struct("doc", "th", "ln").eqNullSafe(F.col("first_at"))).select("doc", "th", "ln"))
+    release(held, first)  # before the texts are moved
+    return removed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
@@ -206,7 +246,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc, th, at = (f"{c}_{uuid.uuid4().hex}" for c in ("doc", "th", "gone"))
     gone = removed_lines(docs.select(id_col, text_col), id_col, text_col, threshold, min_words).groupBy("doc", "th").agg(F.collect_set("ln").alias("at"))
     gone = cut(gone.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("at").alias(at)))
-    gone = _small(gone, gone.agg(F.sum(F.size(at) + 2)).first()[0] or 0)
+    # by a shuffle at any size: what a broadcast saves on small tables isn't there on large ones
     text = F.col(text_col).cast("string")
     met = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(th)), "left")
     parts = F.split(text, "\n", -1)

@@ -1,4 +1,5 @@
 import collections
+import os
 import random
 
 import numpy as np
@@ -273,3 +274,39 @@ def test_an_index_comes_once_for_all_blocks(spark, monkeypatch):
     got = ann.neighbours(df, every=2, shard=150)
     assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in got.collect()) == want and len(want) == 3000
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_pairs_share_enough_prefix_words(spark, monkeypatch):
+    """Long lines that have one rare word in common aren't verified on their texts; those at the threshold are, in whatever
+    place their words differ."""
+    asked, matches = [], linededup.matches
+    monkeypatch.setattr(linededup, "matches", lambda pairs, *rest: asked.append(pairs.count()) or matches(pairs, *rest))
+    rnd, rows = random.Random(4), []
+    for i in range(12):  # unlike lines that have their rarest word but one in common, too long for a bitmap of 64 bits
+        words = [f"u{i}_{k}" for k in range(298)]
+        short = [f"{words[k]} {words[(k + 1) % 298]} {words[(k + 5) % 298]}" for k in range(298)]
+        rows.append((i, "\n".join([" ".join([*words, f"shared{i // 2}", f"own{i}"]), *short])))
+    assert check_lines(spark.createDataFrame(rows, "doc_id long, text string")) == 0
+    assert sum(asked) == 0
+    for i in range(30):  # 8 of 9 words at each size: likeness of 0.8 exactly, or just below
+        words = [f"w{i}_{k}" for k in range(9 * (i % 10 + 1))]
+        n = i % 10 + 1 + (i >= 20)
+        other = list(words)
+        for k in rnd.sample(range(len(words)), n):
+            other[k] = f"x{i}_{k}"
+        cut = words[: len(words) - len(words) // 5]  # a part only
+        rows += [(100 + 3 * i, " ".join(words)), (101 + 3 * i, " ".join(other)), (102 + 3 * i, " ".join(cut))]
+    assert check_lines(spark.createDataFrame(rows, "doc_id long, text string")) >= 20
+
+
+def test_line_dedup_leaves_no_tables(spark):
+    """Tables of lines and sets are gone before the texts are moved."""
+    kept, left = linededup.kept, []
+    rows = [(i, f"one two three four five six {i % 3}\nshort {i}") for i in range(12)]
+    try:
+        linededup.kept = lambda df, name: left.append(kept(df, name)) or left[-1]
+        got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        linededup.kept = kept
+    assert len(left) > 2 and not any(os.path.exists(df._kept_at.removeprefix("file:")) for df in left)
+    assert sum(r.n_removed for r in got.collect()) == 9
