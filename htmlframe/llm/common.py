@@ -37,11 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """A table written as Parquet in the shared folder and read again: cut() for larger tables."""
+    """A table written as Parquet in the shared folder and read again: cut() for larger tables.
+
+    Arrays of longs are hashes here, so no dictionary is tried for them."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    hashes = [f.name for f in df.schema if f.dataType.simpleString() == "array<bigint>"]
+    df.write.options(**{f"parquet.enable.dictionary#{name}.list.element": "false" for name in hashes}).parquet(path)
     found = spark.read.parquet(path)
     found._kept_at = path
     return found

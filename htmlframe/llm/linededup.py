@@ -94,8 +94,8 @@ def rarity(hashed: DataFrame) -> Column:
 
 def hashed_lines(hashed: DataFrame, t: float) -> DataFrame:
     """(doc, th, ln, n, sig, sig2, bits, prefix) of each line."""
-    # numbers that can't be null are sorted as such, not as objects
-    number = f"x -> coalesce(get(classes, cast(x & {BUCKETS - 1} as int)) | shiftrightunsigned(x, 16), 0L)"
+    # every bucket has a class, so numbers can't be null and are sorted as such, not as objects
+    number = f"x -> classes[x & {BUCKETS - 1}] | shiftrightunsigned(x, 16)"
     coded = hashed.withColumn("classes", rarity(hashed)).select("doc", "th", "ln", F.expr(f"sort_array(transform(h, {number}))").alias("s"))
     return coded.select("doc", "th", "ln", F.size("s").alias("n"), F.xxhash64("s").alias("sig"), F.xxhash64(F.lit(1), "s").alias("sig2"), F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"), F.slice("s", 1, F.expr(f"cast(size(s) - ceil({t}D * size(s) - 1e-9D) + 1 as int)")).alias("prefix"))
 
@@ -132,14 +132,11 @@ def _shared(t: float) -> str:
 _MARKS = f"h -> struct(size(h) as n, transform(sequence(0, {WIDE - 1}), k -> aggregate(filter(h, x -> (shiftright(x, 6) & {WIDE - 1}) = k), 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))) as wide)"
 
 
-def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """(line) of the later lines of those pairs (line, other) that match. first: (line, doc, th, ln) of each line.
+def _said(ends: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(line, at, said, n, wide) of the lines of ends (line), a checkpointed table: what they say and their bitmaps.
 
-    Only the texts that hold lines of pairs are split again."""
-    pairs = cut(pairs.select("line", "other").distinct())
-    if pairs.isEmpty():
-        return pairs.select("line")
-    ends = _small(cut(pairs.select("line").union(pairs.select("other")).distinct()))
+    Only the texts that hold them are split again."""
+    ends = _small(ends)
     held = kept(first.join(ends, "line").groupBy(F.col("doc").alias("doc_"), F.col("th").alias("th_")).agg(F.collect_list(F.struct("ln", F.col("line").alias("number"))).alias("at")), "held")
     near = _small(held, held.agg(F.sum(F.size("at"))).first()[0] or 0)
     texts = _texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
@@ -152,24 +149,37 @@ def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, te
         once = kept(said.dropDuplicates(["line"]), "said")
         release(said)
         said = once
+    release(held)
+    return said
+
+
+def matches(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float, known: DataFrame | None = None) -> DataFrame:
+    """(line) of the later lines of those pairs (line, other) that match. first: (line, doc, th, ln) of each line. known: what
+    _said() gives for these lines, if it was asked for before."""
+    pairs = cut(pairs.select("line", "other").distinct())
+    if pairs.isEmpty():
+        return pairs.select("line")
+    said = known or _said(cut(pairs.select("line").union(pairs.select("other")).distinct()), first, docs, id_col, text_col)
     marks = said.select("line", "n", "wide")
     both = pairs.join(marks.toDF("line", "n1", "wide1"), "line").join(marks.toDF("other", "n2", "wide2"), "other")
     flips = " + ".join(f"bit_count(wide1[{k}] ^ wide2[{k}])" for k in range(WIDE))
     pairs = cut(both.where(f"{flips} <= {(1 - t) / (1 + t)!r}D * (n1 + n2) + 1e-9D").select("line", "other"))
-    said_of = said.select("line", "at", "said")
-    a, b = said_of.toDF("line", "at1", "said1"), said_of.toDF("other", "at2", "said2")
+    # only what the lines of these pairs say is moved
+    left = _small(cut(pairs.select("line").union(pairs.select("other")).distinct()))
+    said_of = said.join(left, "line", "left_semi").select("line", "at", "n", "said")
+    a, b = said_of.toDF("line", "at1", "n1", "said1"), said_of.toDF("other", "at2", "n2", "said2")
     words = lambda c: f"array_remove(split({c}, ' '), '')"
 
     def later(some: DataFrame) -> DataFrame:
-        both = some.join(a, "line").join(b, "other").select("line", "other", "at1", "at2", F.expr(words("said1")).alias("w1"), F.expr(words("said2")).alias("w2"))
-        shared = both.withColumns({"shared": F.size(F.array_intersect("w1", "w2")), "all": F.size(F.array_union("w1", "w2"))})
-        like = shared.where(F.expr(f"shared >= {t}D * all - 1e-9D"))
+        both = some.join(a, "line").join(b, "other").select("line", "other", "at1", "at2", F.expr("n1 + n2").alias("n"), F.expr(words("said1")).alias("w1"), F.expr(words("said2")).alias("w2"))
+        like = both.withColumn("shared", F.size(F.array_intersect("w1", "w2"))).where(F.expr(f"shared >= {t}D * (n - shared) - 1e-9D"))
         return cut(like.select(F.when(F.col("at1") < F.col("at2"), F.col("other")).otherwise(F.col("line")).alias("line")).distinct())
 
     # one other line of each first; only lines that it doesn't remove are compared with all others
     found = later(pairs.groupBy("line").agg(F.min("other").alias("other")))
     found = cut(found.union(later(pairs.join(_small(found), "line", "left_anti"))).distinct())
-    release(held, said)
+    if known is None:
+        release(said)
     return found
 
 
@@ -189,12 +199,14 @@ def _gone_in_groups(able: DataFrame, first: DataFrame, docs: DataFrame, id_col:
         return gone
     rows = _neighbours(able, "line", "doc", "n", "bits").join(_small(dense), "word")
     rows = kept(rows.select("word", F.struct("doc", "line", "n", "bits", F.expr("n - p - 1").alias("after")).alias("x"), F.pmod("line", F.lit(HEADS * ROUNDS)).alias("part")), "dense")
+    # the texts are read once for all rounds
+    said = _said(cut(rows.select("x.line").distinct()), first, docs, id_col, text_col)
     for number in range(ROUNDS):
         heads = rows.where(F.col("part").between(number * HEADS, (number + 1) * HEADS - 1)).groupBy("word", "part").agg(F.min("x").alias("y")).select("word", "y")
         left = rows.join(_small(gone.select(F.col("line").alias("gone"))), F.col("x.line") == F.col("gone"), "left_anti")
         near = left.join(heads, "word").where("x.line <> y.line").where(f"{_near(t)} and {_first(t, 'x.after', 'y.after')}")
-        gone = cut(gone.union(matches(near.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")), first, docs, id_col, text_col, t)).distinct())
-    release(rows)
+        gone = cut(gone.union(matches(near.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")), first, docs, id_col, text_col, t, said)).distinct())
+    release(rows, said)
     return gone
 
 

@@ -310,3 +310,18 @@ def test_line_dedup_leaves_no_tables(spark):
         linededup.kept = kept
     assert len(left) > 2 and not any(os.path.exists(df._kept_at.removeprefix("file:")) for df in left)
     assert sum(r.n_removed for r in got.collect()) == 9
+
+
+def test_dense_groups_read_the_texts_once(spark, monkeypatch):
+    """However many rounds find pairs, what lines of dense groups say is read once, and once more for the pairs of the join."""
+    names, asked, kept, matches = [], [], linededup.kept, linededup.matches
+    monkeypatch.setattr(linededup, "kept", lambda df, name: names.append(name) or kept(df, name))
+    monkeypatch.setattr(linededup, "matches", lambda pairs, *rest: asked.append(pairs.count()) or matches(pairs, *rest))
+    rnd, rows = random.Random(6), []
+    for i in range(120):
+        words = [f"w{k}" for k in range(24)]
+        for k in rnd.sample(range(24), rnd.randint(0, 5)):
+            words[k] = f"n{rnd.randint(0, 30)}"
+        rows.append((i, " ".join(words)))
+    assert check_lines(spark.createDataFrame(rows, "doc_id long, text string")) > 60
+    assert sum(n > 0 for n in asked[:-1]) > 1 and names.count("held") <= 2
